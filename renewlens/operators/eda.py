@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from renewlens.sources.schemas import AGE_RANGE, EXPIRY_SENTINELS
 
-USERS = F.count(F.lit(1)).alias("n_users")
-RATE = F.avg("is_churn").alias("churn_rate")
+
+def _size_and_rate() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_users"), F.avg("is_churn").alias("churn_rate")]
 
 
 def _rates(df: DataFrame, *by: Column | str) -> DataFrame:
-    return df.groupBy(*by).agg(USERS, RATE)
+    return df.groupBy(*by).agg(*_size_and_rate())
 
 
 def cohort_rates(train: DataFrame, valid: DataFrame) -> DataFrame:
@@ -49,8 +50,7 @@ def cancel_x_autorenew(cohort: DataFrame) -> DataFrame:
     cube = cohort.cube("last_is_cancel", "last_is_auto_renew").agg(
         F.grouping("last_is_cancel").alias("no_cancel"),
         F.grouping("last_is_auto_renew").alias("no_renew"),
-        USERS,
-        RATE,
+        *_size_and_rate(),
     )
     level = (
         F.when((F.col("no_cancel") == 0) & (F.col("no_renew") == 0), "both")
@@ -72,7 +72,7 @@ def rule_segments(cohort: DataFrame) -> DataFrame:
     ).scalar()
     return (
         cohort.groupBy(segment.alias("segment"))
-        .agg(USERS, F.sum("is_churn").alias("n_churn"), RATE)
+        .agg(*_size_and_rate(), F.sum("is_churn").alias("n_churn"))
         .withColumn("t", totals)
         .select(
             "segment",
@@ -92,8 +92,7 @@ def age_validity(cohort: DataFrame) -> DataFrame:
         F.when(age.isNull(), "null").when(age.between(*AGE_RANGE), "valid").otherwise("outlier")
     )
     return cohort.groupBy(group.alias("age_group")).agg(
-        USERS,
-        RATE,
+        *_size_and_rate(),
         F.count_if(age == 0).alias("n_zero"),
         F.count_if(age < 0).alias("n_negative"),
         F.count_if(age > AGE_RANGE[1]).alias("n_over"),
