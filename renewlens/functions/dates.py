@@ -22,6 +22,16 @@ def ymd_to_date(ymd: Column | str) -> Column:
     return F.try_to_date(c.cast("string"), "yyyyMMdd")
 
 
+def date_sql(ymd: str) -> str:
+    """SQL text of :func:`ymd_to_date`, for expressions written as text."""
+    return f"try_to_date(cast({ymd} as string), 'yyyyMMdd')"
+
+
+def days_between_sql(later: str, earlier: str) -> str:
+    """SQL text of :func:`days_between`."""
+    return f"datediff({date_sql(later)}, {date_sql(earlier)})"
+
+
 def date_to_ymd(d: Column | str) -> Column:
     """DATE or TIMESTAMP -> ``yyyymmdd`` integer."""
     c = F.col(d) if isinstance(d, str) else d
@@ -38,10 +48,10 @@ def days_between(later: Column | str, earlier: Column | str) -> Column:
     return F.datediff(ymd_to_date(later), ymd_to_date(earlier))
 
 
-def days_before(cutoff: Column | str, event: Column | str) -> Column:
+def days_before_sql(cutoff: str, event: str) -> str:
     """Days an event lies before the cutoff; null when it lies after (future information)."""
-    days = days_between(cutoff, event)
-    return F.when(days >= 0, days)
+    days = days_between_sql(cutoff, event)
+    return f"case when {days} >= 0 then {days} end"
 
 
 def parse_ymd(ymd: int) -> date:

@@ -19,6 +19,11 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.when(d > 0, n / d)
 
 
+def ratio_sql(num: str, den: str) -> str:
+    """SQL text of :func:`ratio`."""
+    return f"case when {den} > 0 then cast({num} as double) / cast({den} as double) end"
+
+
 def sum_across(cols: Sequence[Column | str]) -> Column:
     """Row-wise sum that skips nulls; all-null rows give 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(as_col(c), F.lit(0)) for c in cols])

@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.functions.dates import add_days, shift_ymd
-from renewlens.functions.scalars import any_across
+from renewlens.functions.scalars import ratio_sql
 from renewlens.sources.schemas import EXPIRY_SENTINELS, KEY, LAST_COLUMNS, MEMBER_COLUMNS
 
 
@@ -94,7 +94,9 @@ def null_sentinels(df: DataFrame, column: str = "membership_expire_date") -> Dat
 
 def expire_in_window(tx: DataFrame, spec: CohortSpec) -> DataFrame:
     """Transactions declaring an expiry in the window; sentinels fall outside it."""
-    return tx.filter(F.col("membership_expire_date").between(spec.expire_start, spec.expire_end))
+    return tx.filter(
+        f"membership_expire_date between {spec.expire_start} and {spec.expire_end}"
+    )
 
 
 def observable_at_expiry(tx: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def observable_at_expiry(tx: DataFrame) -> DataFrame:
 
     Back-dated records would otherwise set a cutoff nobody knew at that time.
     """
-    return tx.filter(F.col("transaction_date") <= F.col("membership_expire_date"))
+    return tx.filter("transaction_date <= membership_expire_date")
 
 
 def observable_at_score_date(tx: DataFrame, score_date: int) -> DataFrame:
@@ -129,9 +131,9 @@ def cohort_lead_time(cutoffs: DataFrame, lead_days: int) -> DataFrame:
     return cutoffs.withColumn("cutoff", shift_ymd("cutoff", -lead_days)) if lead_days else cutoffs
 
 
-def _last_unambiguous(lo: Column, hi: Column) -> Column:
+def _last_unambiguous(c: str) -> str:
     """The single value of the last day, null when that day disagrees with itself."""
-    return F.when(lo == hi, lo)
+    return f"case when lo_{c} = hi_{c} then lo_{c} end"
 
 
 def last_unambiguous(
@@ -149,9 +151,7 @@ def last_unambiguous(
         *[F.max_by(f"lo_{c}", day).alias(f"lo_{c}") for c in columns],
         *[F.max_by(f"hi_{c}", day).alias(f"hi_{c}") for c in columns],
     )
-    return last.select(
-        KEY, *[_last_unambiguous(F.col(f"lo_{c}"), F.col(f"hi_{c}")).alias(c) for c in columns]
-    )
+    return last.selectExpr(KEY, *[f"{_last_unambiguous(c)} as {c}" for c in columns])
 
 
 def declared_expiry_asof(tx: DataFrame, score_date: int) -> DataFrame:
@@ -192,19 +192,20 @@ def daily_transactions(tx: DataFrame, *, upto: int | None = None) -> DataFrame:
     reaches the scan; the exact per-user bound needs the join.
     """
     rows = tx if upto is None else tx.filter(F.col("transaction_date") <= upto)
-    return rows.groupBy(KEY, "transaction_date").agg(
-        F.count(F.lit(1)).alias("day_n"),
-        F.sum("is_cancel").alias("day_cancel"),
-        F.sum("actual_amount_paid").alias("day_paid"),
-        F.count("actual_amount_paid").alias("day_n_paid"),
-        *[F.min(c).alias(f"lo_{c}") for c in LAST_COLUMNS],
-        *[F.max(c).alias(f"hi_{c}") for c in LAST_COLUMNS],
-    )
+    aggregates = [
+        "count(1) as day_n",
+        "sum(is_cancel) as day_cancel",
+        "sum(actual_amount_paid) as day_paid",
+        "count(actual_amount_paid) as day_n_paid",
+        *[f"min({c}) as lo_{c}" for c in LAST_COLUMNS],
+        *[f"max({c}) as hi_{c}" for c in LAST_COLUMNS],
+    ]
+    return rows.groupBy(KEY, "transaction_date").agg(*[F.expr(a) for a in aggregates])
 
 
 def asof_truncate(days: DataFrame) -> DataFrame:
     """Drop everything after the user's own cutoff, before any "last" is computed."""
-    return days.filter(F.col("transaction_date") <= F.col("cutoff"))
+    return days.filter("transaction_date <= cutoff")
 
 
 def aggregate_asof(
@@ -219,20 +220,20 @@ def aggregate_asof(
     members = cohort.select(KEY, "is_churn", "cutoff", *carry)
     days = asof_truncate(daily_transactions(tx, upto=upto).join(members, KEY, "inner"))
     day = "transaction_date"
-    agg = days.groupBy(KEY, "is_churn", "cutoff", *carry).agg(
-        F.sum("day_n").alias("n_tx"),
-        F.min(day).alias("first_tx"),
-        F.max(day).alias("last_tx"),
-        F.coalesce(F.sum("day_cancel"), F.lit(0)).alias("n_cancel_hist"),
-        F.sum("day_paid").alias("paid"),
-        F.sum("day_n_paid").alias("n_paid"),
-        F.max_by("day_n", day).alias("last_day_n_tx"),
-        *[F.max_by(f"lo_{c}", day).alias(f"lo_{c}") for c in LAST_COLUMNS],
-        *[F.max_by(f"hi_{c}", day).alias(f"hi_{c}") for c in LAST_COLUMNS],
-    )
-    lo = {c: F.col(f"lo_{c}") for c in LAST_COLUMNS}
-    hi = {c: F.col(f"hi_{c}") for c in LAST_COLUMNS}
-    return agg.select(
+    aggregates = [
+        "sum(day_n) as n_tx",
+        f"min({day}) as first_tx",
+        f"max({day}) as last_tx",
+        "coalesce(sum(day_cancel), 0) as n_cancel_hist",
+        "sum(day_paid) as paid",
+        "sum(day_n_paid) as n_paid",
+        f"max_by(day_n, {day}) as last_day_n_tx",
+        *[f"max_by(lo_{c}, {day}) as lo_{c}" for c in LAST_COLUMNS],
+        *[f"max_by(hi_{c}, {day}) as hi_{c}" for c in LAST_COLUMNS],
+    ]
+    agg = days.groupBy(KEY, "is_churn", "cutoff", *carry).agg(*[F.expr(a) for a in aggregates])
+    conflict = " or ".join(f"coalesce(lo_{c} <> hi_{c}, false)" for c in LAST_COLUMNS)
+    return agg.selectExpr(
         KEY,
         "is_churn",
         "cutoff",
@@ -241,10 +242,10 @@ def aggregate_asof(
         "first_tx",
         "last_tx",
         "n_cancel_hist",
-        F.when(F.col("n_paid") > 0, F.col("paid") / F.col("n_paid")).alias("mean_paid"),
-        *[_last_unambiguous(lo[c], hi[c]).alias(f"last_{c}") for c in LAST_COLUMNS],
+        f"{ratio_sql('paid', 'n_paid')} as mean_paid",
+        *[f"{_last_unambiguous(c)} as last_{c}" for c in LAST_COLUMNS],
         "last_day_n_tx",
-        any_across([lo[c] != hi[c] for c in LAST_COLUMNS]).alias("last_day_has_conflict"),
+        f"{conflict} as last_day_has_conflict",
     )
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.functions.dates import days_before, days_between, ymd_to_date
-from renewlens.functions.scalars import ratio
+from renewlens.functions.dates import date_sql, days_before_sql, days_between_sql
+from renewlens.functions.scalars import ratio_sql
 from renewlens.operators.guards import (
     check_logs_match_cohort,
     check_unique_key,
@@ -85,73 +85,67 @@ def variant_columns(columns: Sequence[str]) -> dict[str, list[str]]:
     return {**sets, "all": list(columns)}
 
 
-def registered_after_cutoff() -> Column:
-    """The member record did not exist yet at the cutoff. Unknown counts as visible."""
-    return F.coalesce(
-        ymd_to_date("registration_init_time") > ymd_to_date("cutoff"), F.lit(False)
-    )
+REGISTERED_AFTER_CUTOFF = (
+    f"coalesce({date_sql('registration_init_time')} > {date_sql('cutoff')}, false)"
+)
 
 
 def mask_future_member(df: DataFrame) -> DataFrame:
-    """Blank every member attribute of users registered after their cutoff."""
-    hidden = registered_after_cutoff()
-    masked = df.withColumn("member_hidden", hidden)
-    for c in MEMBER_COLUMNS:
-        masked = masked.withColumn(c, F.when(~F.col("member_hidden"), F.col(c)))
-    return masked.withColumn(
-        "in_members", ~F.col("member_hidden") & F.col("in_members")
-    ).drop("member_hidden")
-
-
-def _category(name: str, source: str | None = None) -> Column:
-    return F.coalesce(F.col(source or name), F.lit(MISSING_CATEGORY)).cast("int").alias(name)
+    """Blank every member attribute of users registered after their cutoff.
+
+    The record did not exist yet at the cutoff; an unknown registration date
+    counts as visible.
+    """
+    others = [c for c in df.columns if c not in (*MEMBER_COLUMNS, "in_members")]
+    return df.selectExpr("*", f"{REGISTERED_AFTER_CUTOFF} as member_hidden").selectExpr(
+        *others,
+        *[f"case when not member_hidden then {c} end as {c}" for c in MEMBER_COLUMNS],
+        "not member_hidden and in_members as in_members",
+    )
 
 
-def _gender() -> Column:
-    code = F.lit(MISSING_CATEGORY)
-    for label, value in GENDER_CODES.items():
-        code = F.when(F.col("gender") == label, F.lit(value)).otherwise(code)
-    return code.alias("gender_code")
+def _category(name: str) -> str:
+    return f"cast(coalesce({name}, {MISSING_CATEGORY}) as int) as {name}"
 
 
 def transaction_features(cohort: DataFrame) -> DataFrame:
     """The 23 transaction and member columns (24 with a declared expiry)."""
     require_columns(cohort, REQUIRED, "cohort table")
-    paid, price = F.col("last_actual_amount_paid"), F.col("last_plan_list_price")
-    plan, age = F.col("last_payment_plan_days"), F.col("bd")
-    valid_age = age.between(*AGE_RANGE)
+    paid, price = "last_actual_amount_paid", "last_plan_list_price"
+    plan = "last_payment_plan_days"
+    valid_age = f"bd between {AGE_RANGE[0]} and {AGE_RANGE[1]}"
+    genders = " ".join(f"when '{label}' then {code}" for label, code in GENDER_CODES.items())
     extra = []
     if "expire_date" in cohort.columns:
         # Negative is kept: an expiry already behind the scoring date is a strong signal.
-        extra.append(
-            days_between("expire_date", "cutoff").cast("double").alias("days_to_expire")
-        )
-    return mask_future_member(cohort).select(
+        days = days_between_sql("expire_date", "cutoff")
+        extra.append(f"cast({days} as double) as days_to_expire")
+    return mask_future_member(cohort).selectExpr(
         KEY,
         LABEL,
-        days_before("cutoff", "first_tx").alias("tenure_days"),
-        days_before("cutoff", "last_tx").alias("days_since_last_tx"),
-        days_before("cutoff", "registration_init_time").alias("days_since_registration"),
-        F.col("n_tx").cast("double").alias("n_tx"),
-        F.col("n_cancel_hist").cast("double").alias("n_cancel_hist"),
-        ratio("n_cancel_hist", "n_tx").alias("cancel_rate"),
+        f"{days_before_sql('cutoff', 'first_tx')} as tenure_days",
+        f"{days_before_sql('cutoff', 'last_tx')} as days_since_last_tx",
+        f"{days_before_sql('cutoff', 'registration_init_time')} as days_since_registration",
+        "cast(n_tx as double) as n_tx",
+        "cast(n_cancel_hist as double) as n_cancel_hist",
+        f"{ratio_sql('n_cancel_hist', 'n_tx')} as cancel_rate",
         "mean_paid",
-        F.col("last_is_cancel").cast("double").alias("last_is_cancel"),
-        F.col("last_is_auto_renew").cast("double").alias("last_is_auto_renew"),
-        paid.cast("double").alias("last_paid"),
-        price.cast("double").alias("last_price"),
-        plan.cast("double").alias("last_plan_days"),
-        (price - paid).cast("double").alias("discount_amount"),
-        ratio(paid, plan).alias("price_per_day"),
-        (price == 0).cast("double").alias("is_free_plan"),
-        ((paid == 0) & (price > 0)).cast("double").alias("zero_collected"),
-        F.col("in_members").cast("double").alias("in_members"),
-        F.when(valid_age, age).cast("double").alias("bd_clean"),
-        F.coalesce(valid_age, F.lit(False)).cast("double").alias("bd_valid"),
+        "cast(last_is_cancel as double) as last_is_cancel",
+        "cast(last_is_auto_renew as double) as last_is_auto_renew",
+        f"cast({paid} as double) as last_paid",
+        f"cast({price} as double) as last_price",
+        f"cast({plan} as double) as last_plan_days",
+        f"cast({price} - {paid} as double) as discount_amount",
+        f"{ratio_sql(paid, plan)} as price_per_day",
+        f"cast({price} = 0 as double) as is_free_plan",
+        f"cast({paid} = 0 and {price} > 0 as double) as zero_collected",
+        "cast(in_members as double) as in_members",
+        f"cast(case when {valid_age} then bd end as double) as bd_clean",
+        f"cast(coalesce({valid_age}, false) as double) as bd_valid",
         _category("city"),
         _category("registered_via"),
         _category("last_payment_method_id"),
-        _gender(),
+        f"case gender {genders} else {MISSING_CATEGORY} end as gender_code",
         *extra,
     )
 

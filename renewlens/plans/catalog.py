@@ -1,6 +1,6 @@
 """All registered queries (importing the modules registers them)."""
 
-from renewlens.plans import queries_data  # noqa: F401
+from renewlens.plans import queries_data, queries_eval  # noqa: F401
 from renewlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +22,40 @@ from renewlens.sources.schemas import KEY, MAX_WINDOW
 from renewlens.sources.store import FeatureTableStore
 
 
-@dataclass(frozen=True)
 class Sources:
-    """Lazily read domain tables."""
+    """Domain tables, each opened on first use."""
 
-    transactions: DataFrame
-    members: DataFrame
-    logs: DataFrame
-    labels: Callable[[CohortSpec], DataFrame]
+    def __init__(
+        self,
+        transactions: Callable[[], DataFrame],
+        members: Callable[[], DataFrame],
+        logs: Callable[[], DataFrame],
+        labels: Callable[[CohortSpec], DataFrame],
+    ) -> None:
+        self._open = {"transactions": transactions, "members": members, "logs": logs}
+        self._labels = labels
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return self._open["transactions"]()
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._open["members"]()
+
+    @cached_property
+    def logs(self) -> DataFrame:
+        return self._open["logs"]()
+
+    def labels(self, spec: CohortSpec) -> DataFrame:
+        return self._labels(spec)
 
     @classmethod
     def demo(cls, spark: SparkSession, sf_dir: str) -> Sources:
         return cls(
-            demo.transactions(spark, sf_dir),
-            demo.members(spark, sf_dir),
-            demo.logs(spark, sf_dir),
+            lambda: demo.transactions(spark, sf_dir),
+            lambda: demo.members(spark, sf_dir),
+            lambda: demo.logs(spark, sf_dir),
             lambda spec: demo.labels(spark, sf_dir, spec),
         )
 

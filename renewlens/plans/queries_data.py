@@ -83,14 +83,7 @@ def scan_transactions(src: Sources) -> DataFrame:
     return src.transactions
 
 
-_TEXT = [
-    "payment_method_id",
-    "payment_plan_days",
-    "plan_list_price",
-    "transaction_date",
-    "membership_expire_date",
-    "is_cancel",
-]
+_TEXT = demo.TEXT_COLUMNS
 
 
 @register(
@@ -99,7 +92,7 @@ _TEXT = [
     "tx",
 )
 def scan_transactions_str(src: Sources) -> DataFrame:
-    return src.transactions.select("user_id", *[F.col(c).cast("string").alias(c) for c in _TEXT])
+    return demo.as_text(src.transactions)
 
 
 @register(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from renewlens.plans.compose import Sources
@@ -21,15 +20,15 @@ def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Uniform result types: bigint, double rounded without -0.0, string."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
-            c = c.cast("int").cast("bigint")
+            c = f"cast(cast({c} as int) as bigint)"
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = f"round(cast({c} as double), {digits}) + 0.0D"
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.concat_ws("|", c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            c = f"concat_ws('|', {c})"
+        out.append(f"{c} as `{f.name}`")
+    return df.selectExpr(*out)
 
 
 def register(name: str, sql: str | None = None, *needs: str, digits: int = DIGITS):

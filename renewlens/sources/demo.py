@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.functions.dates import add_days, date_to_ymd, days_between
+from renewlens.functions.dates import add_days, days_between_sql
 from renewlens.operators.cohort import CohortSpec, cutoff_by_expiry
 from renewlens.sources.readers import check_members
 
@@ -29,97 +29,118 @@ Q3_FIXED = CohortSpec("q3_fixed", 20000701, 20000930, labels="q3", score_date=20
 SPECS = {s.name: s for s in (Q2, Q3, Q2_T7, Q3_T7, Q2_FIXED, Q3_FIXED)}
 
 
+# The columns read from each commerce table. Declaring them spares the footer-reading
+# job of schema inference; column pruning drops whatever a query does not use.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _ymd(day: str) -> str:
+    return f"cast(date_format({day}, 'yyyyMMdd') as int)"
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.col("o_orderdate").cast("date")
-    plan = F.lit(30)
-    for digit, days in PLAN_DAYS.items():
-        plan = F.when(F.col("o_orderpriority").startswith(digit), F.lit(days)).otherwise(plan)
-    price = F.floor(F.col("o_totalprice") / 1000).cast("int")
-    cancel = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0)
-    paid = F.when(F.col("o_orderkey") % 11 == 0, F.lit(0)).otherwise(
-        F.greatest(price - (F.col("o_orderkey") % 3).cast("int"), F.lit(0))
+    plans = " ".join(
+        f"when o_orderpriority like '{digit}%' then {days}" for digit, days in PLAN_DAYS.items()
+    )
+    raw = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey as user_id",
+        "o_orderkey",
+        "cast(o_orderdate as date) as day",
+        f"case {plans} else 30 end as plan",
+        "cast(floor(o_totalprice / 1000) as int) as price",
+        "o_orderstatus = 'F' and o_orderkey % 3 = 0 as cancel",
     )
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("user_id"),
-        (F.col("o_orderkey") % 33).cast("int").alias("payment_method_id"),
-        plan.cast("int").alias("payment_plan_days"),
-        price.alias("plan_list_price"),
-        paid.cast("int").alias("actual_amount_paid"),
-        (cancel | (F.col("o_orderkey") % 4 != 0)).cast("int").alias("is_auto_renew"),
-        date_to_ymd(day).alias("transaction_date"),
-        date_to_ymd(F.date_add(day, plan)).alias("membership_expire_date"),
-        cancel.cast("int").alias("is_cancel"),
+    return raw.selectExpr(
+        "user_id",
+        "cast(o_orderkey % 33 as int) as payment_method_id",
+        "plan as payment_plan_days",
+        "price as plan_list_price",
+        "case when o_orderkey % 11 = 0 then 0"
+        " else greatest(price - cast(o_orderkey % 3 as int), 0) end as actual_amount_paid",
+        "cast(cancel or o_orderkey % 4 <> 0 as int) as is_auto_renew",
+        f"{_ymd('day')} as transaction_date",
+        f"{_ymd('date_add(day, plan)')} as membership_expire_date",
+        "cast(cancel as int) as is_cancel",
     )
 
 
+TEXT_COLUMNS = (
+    "payment_method_id",
+    "payment_plan_days",
+    "plan_list_price",
+    "transaction_date",
+    "membership_expire_date",
+    "is_cancel",
+)
+
+
 def transactions_str(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = transactions(spark, sf_dir)
-    columns = (
-        "payment_method_id",
-        "payment_plan_days",
-        "plan_list_price",
-        "transaction_date",
-        "membership_expire_date",
-        "is_cancel",
-    )
-    return tx.select("user_id", *[F.col(c).cast("string").alias(c) for c in columns])
+    """The same rows as text, as the labeller reads them."""
+    return as_text(transactions(spark, sf_dir))
+
+
+def as_text(tx: DataFrame) -> DataFrame:
+    return tx.selectExpr("user_id", *[f"cast({c} as string) as {c}" for c in TEXT_COLUMNS])
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    registered = F.date_add(F.lit("1995-01-01").cast("date"), ((key * 37) % 2200).cast("int"))
+    registered = "date_add(date'1995-01-01', cast((c_custkey * 37) % 2200 as int))"
     return check_members(
         table(spark, sf_dir, "customer")
         # About one customer in nine is unknown to the member snapshot.
-        .filter(key % 9 != 0)
-        .select(
-            key.alias("user_id"),
-            F.col("c_nationkey").alias("city"),
-            F.floor(F.col("c_acctbal") / 100).cast("int").alias("bd"),
-            F.when(F.col("c_mktsegment") == "BUILDING", "male")
-            .when(F.col("c_mktsegment") == "MACHINERY", "female")
-            .alias("gender"),
-            (key % 18).cast("int").alias("registered_via"),
-            date_to_ymd(registered).alias("registration_init_time"),
+        .filter("c_custkey % 9 <> 0")
+        .selectExpr(
+            "c_custkey as user_id",
+            "c_nationkey as city",
+            "cast(floor(c_acctbal / 100) as int) as bd",
+            "case c_mktsegment when 'BUILDING' then 'male' when 'MACHINERY' then 'female' end"
+            " as gender",
+            "cast(c_custkey % 18 as int) as registered_via",
+            f"{_ymd(registered)} as registration_init_time",
         )
     )
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per user and day, stretched over the 300 days before the anchor."""
-    back = 10 * F.datediff(
-        F.lit(EVENTS_LAST_DAY).cast("date"), F.col("ts").cast("date")
-    ) + F.hour("ts") % 10
-    day = date_to_ymd(F.date_sub(F.lit(LOG_ANCHOR).cast("date"), back))
+EVENT_COLUMNS = {
+    "view": "num_25",
+    "click": "num_50",
+    "signup": "num_75",
+    "error": "num_985",
+    "purchase": "num_100",
+}
 
-    def hits(kind: str):
-        return F.count_if(F.col("event_type") == kind).cast("int")
 
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user and day, stretched over the 300 days before the anchor."""
+    back = f"10 * datediff(date'{EVENTS_LAST_DAY}', cast(ts as date)) + hour(ts) % 10"
+    counts = [
+        f"cast(count_if(event_type = '{kind}') as int) as {name}"
+        for kind, name in EVENT_COLUMNS.items()
+    ]
+    # One flag per event kind counts the distinct kinds without a second shuffle.
+    kinds = " + ".join(f"max(cast(event_type = '{kind}' as int))" for kind in EVENT_COLUMNS)
     return (
         table(spark, sf_dir, "events")
-        .select(
-            (F.col("user_id") * 10 + F.col("event_id") % 10).alias("user_id"),
-            day.alias("date"),
+        .selectExpr(
+            "user_id * 10 + event_id % 10 as user_id",
+            f"{_ymd(f"date_sub(date'{LOG_ANCHOR}', {back})")} as date",
             "event_type",
-            F.round(F.col("value") * 1000).cast("bigint").alias("millis"),
+            "cast(round(value * 1000) as bigint) as millis",
         )
         .groupBy("user_id", "date")
         .agg(
-            hits("view").alias("num_25"),
-            hits("click").alias("num_50"),
-            hits("signup").alias("num_75"),
-            hits("error").alias("num_985"),
-            hits("purchase").alias("num_100"),
-            # Five event kinds exist, so a bit per kind counts the distinct ones in one pass.
-            sum(
-                F.max((F.col("event_type") == k).cast("int"))
-                for k in ("view", "click", "signup", "error", "purchase")
-            ).alias("num_unq"),
-            (F.sum("millis") / 1000.0).alias("total_secs"),
+            *[F.expr(c) for c in counts],
+            F.expr(f"{kinds} as num_unq"),
+            F.expr("cast(sum(millis) as double) / 1000 as total_secs"),
         )
     )
 
@@ -133,23 +154,19 @@ def labels(spark: SparkSession, sf_dir: str, spec: CohortSpec) -> DataFrame:
     expiry = cutoff_by_expiry(tx, spec)
     horizon = add_days(spec.expire_end, CHURN_GAP_DAYS)
     renewals = (
-        tx.filter(F.col("transaction_date").between(spec.expire_start, horizon))
-        .filter(F.col("is_cancel") == 0)
+        tx.filter(
+            f"transaction_date between {spec.expire_start} and {horizon} and is_cancel = 0"
+        )
         .select("user_id", "transaction_date")
         .distinct()
     )
-    gap = F.min(
-        F.when(
-            F.col("transaction_date") > F.col("cutoff"),
-            days_between("transaction_date", "cutoff"),
-        )
+    gap = (
+        "min(case when transaction_date > cutoff then "
+        f"{days_between_sql('transaction_date', 'cutoff')} end)"
     )
     return (
         expiry.join(renewals, "user_id", "left")
         .groupBy("user_id")
-        .agg(gap.alias("gap"))
-        .select(
-            "user_id",
-            (~F.coalesce(F.col("gap") < CHURN_GAP_DAYS, F.lit(False))).cast("int").alias("is_churn"),
-        )
+        .agg(F.expr(f"{gap} as gap"))
+        .selectExpr("user_id", f"cast(coalesce(gap, {CHURN_GAP_DAYS}) >= {CHURN_GAP_DAYS} as int) as is_churn")
     )
