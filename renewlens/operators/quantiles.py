@@ -38,7 +38,7 @@ def exact_quantiles(
     keys = list(keys)
     inner = [i / buckets for i in range(1, buckets)]
     sketch = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [F.lit(p) for p in inner], SKETCH_ACCURACY).alias("edges")
+        F.percentile_approx(value, inner, SKETCH_ACCURACY).alias("edges")
     )
     # One short array per group. Fixing the edges as data keeps both passes below
     # consistent even when a lost executor forces part of the work to be redone.

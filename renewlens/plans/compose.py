@@ -71,7 +71,7 @@ FIXED_SCORER = LinearScorer(
         "last_is_cancel": 0.6,
         "last_is_auto_renew": -0.4,
         "price_per_day": 0.01,
-        "discount_amount": 0.05,
+        "discount_amount": 0.005,
         "in_members": -0.1,
         "gender_code": 0.05,
         "log_has_logs": -0.2,
@@ -100,7 +100,7 @@ FIXED_SCORER = LinearScorer(
 )
 
 # Offers are cheap relative to the small amounts of the demo tables.
-DEMO_PARAMS = BusinessParams(c_offer=30.0)
+DEMO_PARAMS = BusinessParams(c_offer=50.0)
 
 
 def cohort_table(src: Sources, spec: CohortSpec) -> DataFrame:

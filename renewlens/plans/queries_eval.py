@@ -467,7 +467,7 @@ def _curve_block(name: str, source: str, edges: str, by: str = "") -> str:
         f"""SELECT {cols}bin, e[bin] AS lo, e[bin + 1] AS hi, count(*) AS n, avg(p) AS mean_pred,
   avg(is_churn) AS actual_rate FROM (
   SELECT {f's.{by}, ' if by else ''}s.p, s.is_churn, e.e,
-    len(list_filter(e.e[2:len(e.e) - 1], x -> x <= s.p)) + 1 AS bin
+    len(list_filter(e.e[2:len(e.e) - 1], lambda x: x <= s.p)) + 1 AS bin
   FROM {source} s JOIN {name}_edges e {join}) b GROUP BY {cols}bin, e""",
         source,
         f"{name}_edges",
@@ -477,7 +477,9 @@ def _curve_block(name: str, source: str, edges: str, by: str = "") -> str:
 
 _DECILES = "[" + ", ".join(f"{i / 10}" for i in range(11)) + "]"
 _CURVE = _curve_block("curve", _S3, f"quantile_cont(p, {_DECILES})")
-_UCURVE = _curve_block("ucurve", _S3, "[" + ", ".join(f"{i / 10}::DOUBLE" for i in range(11)) + "]")
+_UCURVE = _curve_block(
+    "ucurve", _S3, "any_value([" + ", ".join(f"{i / 10}::DOUBLE" for i in range(11)) + "])"
+)
 _CURVE_SQL = """SELECT bin, {lo}, {hi}, n, {m}, {a}, {g}, CAST(n >= {k} AS BIGINT) AS enough FROM {t}"""
 
 
@@ -987,7 +989,7 @@ FROM {tag}_ref GROUP BY {keys}""",
     )
     k = ", ".join(f"x.{c}" for c in keys.split(", "))
     label = """CASE WHEN x.v IS NULL THEN '__missing__'
-    WHEN s.kind = 'quantile' THEN concat('range_', lpad(CAST(len(list_filter(s.e, t -> t <= x.v)) AS VARCHAR), 2, '0'))
+    WHEN s.kind = 'quantile' THEN concat('range_', lpad(CAST(len(list_filter(s.e, lambda t: t <= x.v)) AS VARCHAR), 2, '0'))
     WHEN kn.v IS NOT NULL THEN concat('=', regexp_replace(CAST(CAST(x.v AS DECIMAL(28, 6)) AS VARCHAR), '\\.?0+$', ''))
     ELSE '__unseen__' END"""
 
@@ -1060,7 +1062,7 @@ def psi_detail(src: Sources) -> DataFrame:
 @register(
     "fit_bins",
     """SELECT feature, kind, CASE WHEN kind = 'quantile' THEN array_to_string(
-  list_transform(e, x -> CAST(CAST(x AS DECIMAL(28, 4)) AS VARCHAR)), '|') ELSE '' END AS edges FROM fp_scheme""",
+  list_transform(e, lambda x: CAST(CAST(x AS DECIMAL(28, 4)) AS VARCHAR)), '|') ELSE '' END AS edges FROM fp_scheme""",
     "fp_scheme",
 )
 def fit_bins(src: Sources) -> DataFrame:

@@ -17,6 +17,7 @@ SESSION_CONF: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    "spark.ui.showConsoleProgress": "false",
     # Call-site capture inspects the Python stack on every column operation; building
     # wide plans is several times faster without it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
