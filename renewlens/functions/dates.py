@@ -1,56 +1,51 @@
 """``yyyymmdd`` integers and real dates.
 
 Integers are only a storage format: ``20170301 - 7`` is not a date. All
-arithmetic goes through DATE.
+arithmetic goes through DATE. The helpers return SQL text, so a whole projection
+is one call into the JVM however many dates it handles.
 """
 
 from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def ymd_to_date(ymd: Column | str) -> Column:
-    """Lenient ``yyyymmdd`` -> DATE: anything that is not a calendar day is null.
-
-    Mentions its input once, so nested date expressions do not multiply when
-    the optimizer merges projections.
-    """
-    c = F.col(ymd) if isinstance(ymd, str) else ymd
-    return F.try_to_date(c.cast("string"), "yyyyMMdd")
-
 
 def date_sql(ymd: str) -> str:
-    """SQL text of :func:`ymd_to_date`, for expressions written as text."""
+    """SQL text: lenient ``yyyymmdd`` -> DATE, null for anything but a calendar day."""
     return f"try_to_date(cast({ymd} as string), 'yyyyMMdd')"
 
 
+def known_date_sql(ymd: str) -> str:
+    """``yyyymmdd`` known to be a calendar day -> DATE, without text; anything else fails."""
+    return (
+        f"make_date(cast({ymd} div 10000 as int), cast({ymd} div 100 % 100 as int),"
+        f" cast({ymd} % 100 as int))"
+    )
+
+
 def days_between_sql(later: str, earlier: str) -> str:
-    """SQL text of :func:`days_between`."""
-    return f"datediff({date_sql(later)}, {date_sql(earlier)})"
+    """Whole days between two calendar days; negative if reversed."""
+    return f"datediff({known_date_sql(later)}, {known_date_sql(earlier)})"
 
 
-def date_to_ymd(d: Column | str) -> Column:
-    """DATE or TIMESTAMP -> ``yyyymmdd`` integer."""
-    c = F.col(d) if isinstance(d, str) else d
-    return F.date_format(c, "yyyyMMdd").cast("int")
+def lenient_days_between_sql(later: str, earlier: str) -> str:
+    """The same for columns that may hold no calendar day: null instead of an error."""
+    return f"datediff({date_sql(later)}, {date_sql(earlier)})"
 
 
-def shift_ymd(ymd: Column | str, days: int) -> Column:
-    """Move a ``yyyymmdd`` integer by whole days."""
-    return date_to_ymd(F.date_add(ymd_to_date(ymd), days))
+def ymd_sql(day: str) -> str:
+    """DATE -> ``yyyymmdd`` integer."""
+    return f"year({day}) * 10000 + month({day}) * 100 + day({day})"
 
 
-def days_between(later: Column | str, earlier: Column | str) -> Column:
-    """Whole days from ``earlier`` to ``later``, both ``yyyymmdd``; negative if reversed."""
-    return F.datediff(ymd_to_date(later), ymd_to_date(earlier))
+def shift_ymd_sql(ymd: str, days: int) -> str:
+    """Move a ``yyyymmdd`` integer by whole days: never by integer arithmetic on the digits."""
+    return ymd_sql(f"date_add({known_date_sql(ymd)}, {days})")
 
 
 def days_before_sql(cutoff: str, event: str) -> str:
     """Days an event lies before the cutoff; null when it lies after (future information)."""
-    days = days_between_sql(cutoff, event)
+    days = lenient_days_between_sql(cutoff, event)
     return f"case when {days} >= 0 then {days} end"
 
 

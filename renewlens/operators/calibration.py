@@ -34,16 +34,19 @@ def calibration_in_the_large(df: DataFrame, y: str = "is_churn", p: str = "p") -
 
 
 def _edges(df: DataFrame, p: str, bins: int, strategy: str, by: list[str]) -> DataFrame:
+    """Bin edges as one sorted array per group, stored: both uses must see the same edges."""
     if strategy == "uniform":
         ticks = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-        return df.select(*by).distinct().withColumn("edges", ticks) if by else None
+        groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+        return groups.withColumn("edges", ticks).select(*by, "edges")
     if strategy != "quantile":
         raise ValueError(f"unknown binning strategy {strategy!r}: use 'quantile' or 'uniform'")
     counts = stage(value_counts(df, p, keys=by), "score-counts")
-    return (
+    return stage(
         exact_quantiles(counts, [i / bins for i in range(bins + 1)], keys=by)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
+        .agg(F.array_sort(F.collect_set("quantile")).alias("edges")),
+        "edges",
     )
 
 
@@ -65,21 +68,22 @@ def reliability_curve(
     """
     keys = list(by)
     edges = _edges(df, p, n_bins, strategy, keys)
-    if edges is None:
-        tagged = df.withColumn("edges", F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))
-    elif keys:
-        tagged = df.join(edges, keys, "inner")
-    else:
-        tagged = df.withColumn("edges", edges.select("edges").scalar())
+
+    def attach(table: DataFrame) -> DataFrame:
+        """Edges next to each row: a join on the group, one scalar without groups."""
+        if keys:
+            return table.join(edges, keys, "inner")
+        return table.withColumn("edges", edges.select("edges").scalar())
+
+    tagged = attach(df)
     inner_edges = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     rows = tagged.filter(F.size("edges") > 1).select(
-        *keys, "edges", (bins_below(inner_edges, p) + 1).alias("bin"), F.col(y).alias("y"), p
+        *keys, (bins_below(inner_edges, p) + 1).alias("bin"), F.col(y).alias("y"), p
     )
-    # Edges are constant per group, so they add nothing to the key but ride along.
-    curve = rows.groupBy(*keys, "bin", "edges").agg(
+    curve = rows.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_pred"), F.avg("y").alias("actual_rate")
     )
-    return curve.select(
+    return attach(curve).select(
         *keys,
         "bin",
         F.element_at("edges", F.col("bin")).alias("lo"),

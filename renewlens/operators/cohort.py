@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.functions.dates import add_days, shift_ymd
+from renewlens.functions.dates import add_days, shift_ymd_sql
 from renewlens.functions.scalars import ratio_sql
 from renewlens.sources.schemas import EXPIRY_SENTINELS, KEY, LAST_COLUMNS, MEMBER_COLUMNS
 
@@ -128,7 +128,9 @@ def cutoff_by_expiry(tx: DataFrame, spec: CohortSpec) -> DataFrame:
 
 def cohort_lead_time(cutoffs: DataFrame, lead_days: int) -> DataFrame:
     """Members are chosen by expiry first; only then does the cutoff move."""
-    return cutoffs.withColumn("cutoff", shift_ymd("cutoff", -lead_days)) if lead_days else cutoffs
+    if not lead_days:
+        return cutoffs
+    return cutoffs.withColumn("cutoff", F.expr(shift_ymd_sql("cutoff", -lead_days)))
 
 
 def _last_unambiguous(c: str) -> str:

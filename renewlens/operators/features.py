@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.functions.dates import date_sql, days_before_sql, days_between_sql
+from renewlens.functions.dates import date_sql, days_before_sql, lenient_days_between_sql
 from renewlens.functions.scalars import ratio_sql
 from renewlens.operators.guards import (
     check_logs_match_cohort,
@@ -118,7 +118,7 @@ def transaction_features(cohort: DataFrame) -> DataFrame:
     extra = []
     if "expire_date" in cohort.columns:
         # Negative is kept: an expiry already behind the scoring date is a strong signal.
-        days = days_between_sql("expire_date", "cutoff")
+        days = lenient_days_between_sql("expire_date", "cutoff")
         extra.append(f"cast({days} as double) as days_to_expire")
     return mask_future_member(cohort).selectExpr(
         KEY,

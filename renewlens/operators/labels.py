@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from renewlens.functions.dates import days_between
+from renewlens.functions.dates import days_between_sql
 from renewlens.sources.schemas import KEY, NO_RENEWAL_GAP
 
 CHURN_GAP_DAYS = 30
@@ -157,16 +157,20 @@ def renewal_gap(tx: DataFrame, candidates: DataFrame, spec: LabelSpec) -> DataFr
     keys = official_keys(tx.filter(F.col("transaction_date") > str(spec.history_end)))
     renewals = first_renewal(keys)
     cancels = earliest_cancel_before_renewal(keys, renewals)
-    effective = F.least("last_expire", "cancel_expire")
+    days = days_between_sql("renewal_day", "effective")
     return (
         candidates.join(renewals, KEY, "left")
         .join(cancels, KEY, "left")
-        .select(
+        .selectExpr(
+            KEY,
+            "last_expire",
+            "renewal.day as renewal_day",
+            "least(last_expire, cancel_expire) as effective",
+        )
+        .selectExpr(
             KEY,
             "last_expire",
-            F.when(F.col("renewal").isNull(), F.lit(NO_RENEWAL_GAP))
-            .otherwise(days_between(F.col("renewal.day"), effective))
-            .alias("gap"),
+            f"case when renewal_day is null then {NO_RENEWAL_GAP} else {days} end as gap",
         )
     )
 

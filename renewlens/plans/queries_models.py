@@ -153,7 +153,7 @@ FROM {t} a JOIN {t} b ON a.model < b.model"""
 
 @register(
     "reverse_validation",
-    f"""SELECT f.model_a, f.model_b, {r6('f.s', 'forward_sigma', 4)}, {r6('r.s', 'reverse_sigma', 4)},
+    f"""SELECT f.model_a, f.model_b, {r6('f.s', 'forward_sigma', 2)}, {r6('r.s', 'reverse_sigma', 2)},
   CAST((f.s < 0) = (r.s < 0) AS BIGINT) AS same_direction,
   CASE WHEN (f.s < 0) = (r.s < 0) AND abs(f.s) >= 1 AND abs(r.s) >= 1 THEN 'trusted'
     WHEN abs(f.s) < 1 AND abs(r.s) < 1 THEN 'noise' ELSE 'doubtful' END AS verdict
@@ -165,7 +165,7 @@ FROM ({_pair_sql('forward_runs')}) f JOIN ({_pair_sql('reverse_runs')}) r
 def reverse_validation(src: Sources) -> DataFrame:
     out = experiments.reverse_validation(*_directions(src))
     for c in ("forward_sigma", "reverse_sigma"):
-        out = out.withColumn(c, F.round(c, 4))
+        out = out.withColumn(c, F.round(c, 2))
     return out
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.functions.dates import add_days, days_between_sql
+from renewlens.functions.dates import add_days, days_between_sql, ymd_sql
 from renewlens.operators.cohort import CohortSpec, cutoff_by_expiry
 from renewlens.sources.readers import check_members
 
@@ -43,10 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ymd(day: str) -> str:
-    return f"cast(date_format({day}, 'yyyyMMdd') as int)"
-
-
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = " ".join(
         f"when o_orderpriority like '{digit}%' then {days}" for digit, days in PLAN_DAYS.items()
@@ -67,8 +63,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when o_orderkey % 11 = 0 then 0"
         " else greatest(price - cast(o_orderkey % 3 as int), 0) end as actual_amount_paid",
         "cast(cancel or o_orderkey % 4 <> 0 as int) as is_auto_renew",
-        f"{_ymd('day')} as transaction_date",
-        f"{_ymd('date_add(day, plan)')} as membership_expire_date",
+        f"{ymd_sql('day')} as transaction_date",
+        f"{ymd_sql('date_add(day, plan)')} as membership_expire_date",
         "cast(cancel as int) as is_cancel",
     )
 
@@ -105,7 +101,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
             "case c_mktsegment when 'BUILDING' then 'male' when 'MACHINERY' then 'female' end"
             " as gender",
             "cast(c_custkey % 18 as int) as registered_via",
-            f"{_ymd(registered)} as registration_init_time",
+            f"{ymd_sql(registered)} as registration_init_time",
         )
     )
 
@@ -132,7 +128,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events")
         .selectExpr(
             "user_id * 10 + event_id % 10 as user_id",
-            f"{_ymd(f"date_sub(date'{LOG_ANCHOR}', {back})")} as date",
+            f"{ymd_sql(f"date_sub(date'{LOG_ANCHOR}', {back})")} as date",
             "event_type",
             "cast(round(value * 1000) as bigint) as millis",
         )
