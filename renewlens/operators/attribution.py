@@ -140,10 +140,12 @@ def top_contributors(
     k: int = 3,
     min_shap: float = 0.0,
     carry: Sequence[str] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Up to ``k`` groups per user that push the risk up, strongest first.
 
-    Only totals above ``min_shap`` qualify; a user with fewer gets fewer.
+    Only totals above ``min_shap`` qualify; a user with fewer gets fewer. With
+    ``keep_empty`` a user without any keeps one row of nulls.
     """
     if k < 1:
         raise ValueError(f"k must be positive: {k}")
@@ -170,7 +172,7 @@ def top_contributors(
         KEY,
         *carry,
         (-F.try_element_at("strongest", F.lit(1))["minus_total"]).alias("top_shap"),
-        F.posexplode("strongest").alias("pos", "g"),
+        (F.posexplode_outer if keep_empty else F.posexplode)("strongest").alias("pos", "g"),
     ).select(
         KEY,
         *carry,

@@ -86,7 +86,7 @@ def fit_bins(
         .when(F.col("n_values") <= bins, "discrete")
         .otherwise("quantile")
     )
-    kinds = stage(kinds.select(*keys, kind.alias("kind")), "bin-kinds")
+    kinds = kinds.select(*keys, kind.alias("kind"))
     continuous = (
         seen.filter(F.col("value").isNotNull())
         .join(kinds.filter("kind = 'quantile'"), keys, "left_semi")
@@ -165,9 +165,9 @@ def psi_detail(
     ``counts`` (from :func:`paired_counts`) should be a stored table.
     """
     keys = list(keys)
-    binned = apply_bins(
-        counts, fit_bins(counts, keys=keys, categorical=categorical, bins=bins), keys=keys
-    )
+    # A row per feature, used twice below: stored so that both uses see the same bins.
+    scheme = stage(fit_bins(counts, keys=keys, categorical=categorical, bins=bins), "bins")
+    binned = apply_bins(counts, scheme, keys=keys)
     totals = counts.groupBy(*keys).agg(
         F.sum("ref_n").alias("ref_total"), F.sum("cur_n").alias("cur_total")
     )

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from renewlens.operators.attribution import LinearScorer, top_contributors
 from renewlens.operators.guards import require_columns
 from renewlens.sources.schemas import (
     GENDER_CODES,
@@ -275,8 +276,9 @@ def add_reasons(top: DataFrame) -> DataFrame:
         (F.col("context_values")[F.col("context")] - F.col("value"))
         / F.lit(float((CONTEXT_WIDE - CONTEXT_NARROW) // CONTEXT_NARROW)),
     )
-    known = F.when(F.col("noun").isNotNull(), render_reason()).otherwise(
-        F.raise_error(F.concat(F.lit("no wording for feature "), F.col("feature")))
+    known = F.when(F.col("noun").isNotNull(), render_reason()).when(
+        F.col("feature").isNotNull(),
+        F.raise_error(F.concat(F.lit("no wording for feature "), F.col("feature"))).cast("string"),
     )
     return joined.select(
         *[c for c in top.columns if c != "context_values"],
@@ -309,19 +311,24 @@ def mark_display(top: DataFrame, min_relative: float = MIN_RELATIVE_SHARE) -> Da
 
 def explain(
     df: DataFrame,
-    scorer,
+    scorer: LinearScorer,
     *,
     k: int = 3,
     min_shap: float = 0.0,
     min_relative: float = MIN_RELATIVE_SHARE,
     carry: Sequence[str] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Top groups, sentences and display marks of every row, without a shuffle."""
-    from renewlens.operators.attribution import top_contributors
-
     rows = df.withColumn("context_values", context_struct(df))
     top = top_contributors(
-        rows, scorer, groups=GROUPS, k=k, min_shap=min_shap, carry=[*carry, "context_values"]
+        rows,
+        scorer,
+        groups=GROUPS,
+        k=k,
+        min_shap=min_shap,
+        carry=[*carry, "context_values"],
+        keep_empty=keep_empty,
     )
     return mark_display(add_reasons(top), min_relative)
 
@@ -428,10 +435,8 @@ def top1_groups(marked: DataFrame) -> DataFrame:
     )
 
 
-def grouped_vs_plain_top1(df: DataFrame, scorer) -> DataFrame:
+def grouped_vs_plain_top1(df: DataFrame, scorer: LinearScorer) -> DataFrame:
     """Does summing inside groups change which group wins?"""
-    from renewlens.operators.attribution import top_contributors
-
     grouped = top_contributors(df, scorer, groups=GROUPS, k=1).groupBy("group").agg(
         F.count(F.lit(1)).alias("grouped_users")
     )

@@ -115,7 +115,9 @@ def score_table(
     a = assumptions.select(
         F.struct("r_save", "c_offer", "ltv_saved", "p_star").alias("a")
     ).scalar()
-    reasons = explain(base, scorer, k=top_k)
+    # The score rides along, and users without a reason keep a row, so one grouping on the
+    # user rebuilds the whole answer.
+    reasons = explain(base, scorer, k=top_k, carry=["p"], keep_empty=True)
     cell = F.struct(
         "rank",
         "group",
@@ -128,21 +130,24 @@ def score_table(
         F.round("relative_to_top", 4).alias("relative_to_top"),
         "suppression_reason",
     )
-    nested = reasons.groupBy(KEY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("displayed"), cell))).alias("reasons"),
-        F.array_sort(F.collect_list(F.when(~F.col("displayed"), cell))).alias("suppressed"),
-        F.coalesce(
-            F.max(F.when(F.col("displayed"), F.col("expiry_dated"))), F.lit(False)
-        ).alias("shows_dated"),
+    joined = (
+        reasons.groupBy(KEY, "p")
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("displayed"), cell))).alias("reasons"),
+            F.array_sort(F.collect_list(F.when(~F.col("displayed"), cell))).alias("suppressed"),
+            F.coalesce(
+                F.max(F.when(F.col("displayed"), F.col("expiry_dated"))), F.lit(False)
+            ).alias("shows_dated"),
+        )
+        .withColumn("a", a)
     )
-    joined = base.select(KEY, "p").withColumn("a", a).join(nested, KEY, "left")
     own = F.array(
         F.when(
-            F.coalesce(F.size("reasons"), F.lit(0)) <= 0,
+            F.size("reasons") == 0,
             "no feature group raises the risk: there is no reason to name",
         ),
         F.when(
-            F.lit(at_expiry) & F.coalesce(F.col("shows_dated"), F.lit(False)),
+            F.lit(at_expiry) & F.col("shows_dated"),
             "a reason describes the expiry day itself and is unknown before it",
         ),
     )

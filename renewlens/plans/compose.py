@@ -16,7 +16,6 @@ from renewlens.operators.guards import check_cohort
 from renewlens.operators.logs import build_log_features, window_bounds
 from renewlens.operators.metrics import repeat_vs_new
 from renewlens.operators.reasons import audit_frame, explain, wide_reasons
-from renewlens.session import stage
 from renewlens.sources import demo
 from renewlens.sources.schemas import KEY, MAX_WINDOW
 from renewlens.sources.store import FeatureTableStore
@@ -171,9 +170,13 @@ def offers_with_reasons(
     *,
     k: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
-    """Offer list and audit table. Only listed users are explained."""
-    listed = stage(offer_list(scored, assumptions), "offers")
-    marked = stage(explain(listed, scorer, k=k), "reasons")
+    """Offer list and audit table. Only listed users are explained.
+
+    ``scored`` should be a stored table. Explanations are row-local, so neither
+    result waits for the other.
+    """
+    listed = offer_list(scored, assumptions)
+    marked = explain(listed, scorer, k=k)
     wide = wide_reasons(marked, listed.select(KEY, "p", "expected_net"), k)
     return wide, audit_frame(marked)
 

@@ -1557,15 +1557,15 @@ FROM {_S3} s JOIN assumptions a ON true LEFT JOIN {_TOP} t ON t.user_id = s.user
     _A,
 )
 def score_table(src: Sources) -> DataFrame:
-    out = score.score_table(stage(feature_table(src, Q3), "features"), _SCORER, assumptions(src))
+    out = score.score_table(feature_table(src, Q3), _SCORER, assumptions(src))
     return out.select(
         "user_id",
         "p",
         "p_star",
         "above_threshold",
         "expected_net",
-        F.coalesce(F.size("reasons"), F.lit(0)).alias("n_reasons"),
-        F.coalesce(F.size("suppressed"), F.lit(0)).alias("n_suppressed"),
+        F.size("reasons").alias("n_reasons"),
+        F.size("suppressed").alias("n_suppressed"),
     )
 
 
