@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from renewlens.llm.op10_decontaminate import op10_decontaminate
+from renewlens.llm.op5_token_shards import op5_token_shards
 
 QUERIES = {
+    "op5_token_shards": op5_token_shards,
     "op10_decontaminate": op10_decontaminate,
 }
 
