@@ -9,7 +9,8 @@ distance.
 
 Keys shared by more than ``GROUP`` fingerprints are refined: the bits not yet fixed are cut into
 four parts, one of which two fingerprints within three bits share, and each part with the old key
-is a key of its own, until every group is small. Nothing is dropped. From each group only a
+is a key of its own. Groups that stay large after two such steps (dense balls of fingerprints) are
+compared in pairs of blocks, each pair a task's work. Nothing is dropped. From each group only a
 spanning forest leaves, so the links written grow with the fingerprints and not with pairs, and
 components come from rounds over that forest.
 
@@ -37,6 +38,7 @@ SEED = 42
 RADIUS = 3
 SEGMENTS = 4
 GROUP = 4096
+REFINED = 2  # times that the keys of a large group are refined
 DIRECT = 8  # groups up to this size are compared pair by pair
 
 
@@ -192,22 +194,40 @@ def _links_of_keys(keys: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
+def _block_pairs(keys: DataFrame, counts: DataFrame, group: int) -> DataFrame:
+    """Rows of large groups dealt to pairs of blocks of about half a group, each pair a key of its own."""
+    blocks = F.ceil(F.col("count") * 2 / group).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks").cast("bigint")).cast("int")
+    return (
+        keys.join(counts.select("key", blocks.alias("blocks")), "key")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "seg", "mask", "fp"
+        )
+    )
+
+
 def links(distinct: DataFrame, *, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints (column fp) as all pairs within ``radius`` do."""
     if radius > RADIUS:
         raise ValueError(f"the key layout is made for at most {RADIUS} bits")
     keys = distinct.select("fp").mapInArrow(_first_keys, _KEY_SCHEMA)
     out = None
-    while True:
-        hot = stage(keys.groupBy("key").count().where(F.col("count") > group).select("key"), "hot-keys")
+    for level in range(REFINED + 1):
+        hot = stage(keys.groupBy("key").count().where(F.col("count") > group), "hot-keys")
         some_hot = not hot.isEmpty()
         cold = keys.join(hot, "key", "left_anti") if some_hot else keys
         found = stage(_links_of_keys(cold, radius), "links")
         out = found if out is None else out.unionByName(found)
         if not some_hot:
-            return out.distinct()
-        finer = keys.join(hot, "key", "left_semi").select("key", "seg", "mask", "fp").mapInArrow(_finer_keys, _KEY_SCHEMA)
-        keys = stage(finer, "finer-keys")
+            break
+        large = keys.join(hot, "key", "left_semi").select("key", "seg", "mask", "fp")
+        if level < REFINED:
+            keys = stage(large.mapInArrow(_finer_keys, _KEY_SCHEMA), "finer-keys")
+        else:
+            out = out.unionByName(stage(_links_of_keys(_block_pairs(large, hot, group), radius), "links"))
+    return out.distinct()
 
 
 def near_duplicates(prints: DataFrame, *, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
