@@ -5,8 +5,10 @@ from __future__ import annotations
 from renewlens.llm.op10_decontaminate import op10_decontaminate
 from renewlens.llm.op5_token_shards import op5_token_shards
 from renewlens.llm.op6_simhash import op6_simhash
+from renewlens.llm.op7_toxicity import op7_toxicity
 
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op6_simhash": op6_simhash,
     "op5_token_shards": op5_token_shards,
     "op10_decontaminate": op10_decontaminate,
