@@ -8,8 +8,10 @@ from renewlens.llm.op6_simhash import op6_simhash
 from renewlens.llm.op7_toxicity import op7_toxicity
 from renewlens.llm.op4_pii import op4_pii
 from renewlens.llm.op1_mixing import op1_mixing
+from renewlens.llm.op8_html import op8_html
 
 QUERIES = {
+    "op8_html": op8_html,
     "op1_mixing": op1_mixing,
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
