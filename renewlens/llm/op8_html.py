@@ -73,10 +73,13 @@ _SCOPE = set("table ul ol dl div section article main body html td th blockquote
 @dataclass
 class Element:
     tag: str
-    path: str
+    path: int  # number of its root-to-leaf tag path
+    depth: int
     outside: bool  # not part of an article
+    inside: bool  # in an article or main element
     parent: Element | None
-    kept: float = 0.0  # characters selected inside
+    kept: int = 0  # characters selected inside
+    taken: bool = False  # in the root of the article
 
 
 @dataclass
@@ -91,10 +94,7 @@ def _outside(tag: str, attrs: str, parent: Element | None) -> bool:
         return True
     if tag in _NOT_ARTICLE:
         return True
-    inside = False  # a header inside an article is part of it
-    at = parent
-    while at is not None and not inside:
-        inside, at = at.tag in ("article", "main"), at.parent
+    inside = parent is not None and parent.inside  # a header inside an article is part of it
     if tag == "header":
         return not inside
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -114,9 +114,10 @@ def _outside(tag: str, attrs: str, parent: Element | None) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order."""
-    root = Element("", "", False, None)
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks of a page in order, and its block elements, parents first."""
+    root = Element("", 0, 0, False, False, None)
+    elements, paths = [root], {(-1, ""): 0}
     stack, out, text, links, in_link = [root], [], [], 0, 0
     at, low, n = 0, None, len(page)
 
@@ -170,14 +171,17 @@ def blocks(page: str) -> list[Block]:
         up, attrs = stack[-1], m["attrs"]
         first = re.search(r"class\s*=\s*[\"']?([\w-]+)", attrs) if attrs else None
         name = tag + (f".{first[1]}" if first else "")
-        stack.append(Element(tag, f"{up.path}/{name}", _outside(tag, attrs, up), up))
+        path = paths.setdefault((up.path, name), len(paths))
+        inside = up.inside or tag in ("article", "main")
+        elements.append(Element(tag, path, up.depth + 1, _outside(tag, attrs, up), inside, up))
+        stack.append(elements[-1])
     flush()
-    return out
+    return out, elements
 
 
-def _ratios(found: list[Block]) -> dict[str, float]:
+def _ratios(found: list[Block]) -> dict[int, float]:
     """Fused ratio of every path: characters per block (links apart) times punctuation per block."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in found:
         s = sums.setdefault(b.element.path, [0, 0, 0])
         s[0] += max(0, len(b.text) - b.links)
@@ -186,12 +190,12 @@ def _ratios(found: list[Block]) -> dict[str, float]:
     return {p: (c / n) * math.sqrt(1 + q / n) for p, (c, q, n) in sums.items()}
 
 
-def _selected(found: list[Block]) -> set[str]:
+def _selected(found: list[Block]) -> set[int]:
     """Paths whose smoothed ratio reaches the page's threshold."""
     ratio = _ratios(found)
     raw = [ratio[b.element.path] for b in found]
     half = len(SMOOTH) // 2
-    smooth: dict[str, list[float]] = {}
+    smooth: dict[int, list[float]] = {}
     for i, b in enumerate(found):
         near = [(SMOOTH[k + half], raw[i + k]) for k in range(-half, half + 1) if 0 <= i + k < len(raw)]
         smooth.setdefault(b.element.path, []).append(sum(w * r for w, r in near) / sum(w for w, _ in near))
@@ -204,34 +208,30 @@ def _selected(found: list[Block]) -> set[str]:
 
 def extract(page: str) -> str:
     """Main text of one page."""
-    candidates = [b for b in blocks(page) if not b.element.outside]
+    found, elements = blocks(page)
+    candidates = [b for b in found if not b.element.outside]
     if not candidates:
         return ""
-    paths = _selected(candidates)
-    total = 0.0
-    elements: dict[int, Element] = {}
+    paths, total = _selected(candidates), 0
     for b in candidates:
-        if b.element.path not in paths:
-            continue
-        total += len(b.text)
-        at: Element | None = b.element
-        while at is not None:
-            at.kept += len(b.text)
-            elements[id(at)] = at
-            at = at.parent
-    holders = [e for e in elements.values() if e.kept >= MOST * total]
+        if b.element.path in paths:
+            b.element.kept += len(b.text)
+            total += len(b.text)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.kept += e.kept
+    holders = [e for e in elements if e.kept >= MOST * total]
     named = [e for e in holders if e.tag in ("article", "main")]
     # the innermost article or main that holds the text; else the innermost element at all
-    root = max(named or [e for e in holders if e.tag != "p"], key=lambda e: e.path.count("/"))
+    root = max(named or [e for e in holders if e.tag != "p"], key=lambda e: e.depth)
+    for e in elements:
+        e.taken = e is root or e.parent is not None and e.parent.taken
     body = bool(named) or root.tag not in ("", "html", "body")
-    out = []
-    for b in candidates:
-        at = b.element
-        while at is not None and at is not root:
-            at = at.parent
-        if at is root and (body or b.element.path in paths or b.links * 2 < len(b.text)):
-            out.append(b.text)
-    return "\n".join(out)
+    return "\n".join(
+        b.text
+        for b in candidates
+        if b.element.taken and (body or b.element.path in paths or b.links * 2 < len(b.text))
+    )
 
 
 def extract_pages(pages: DataFrame, *, html: str = "html") -> DataFrame:
