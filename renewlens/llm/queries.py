@@ -9,8 +9,10 @@ from renewlens.llm.op7_toxicity import op7_toxicity
 from renewlens.llm.op4_pii import op4_pii
 from renewlens.llm.op1_mixing import op1_mixing
 from renewlens.llm.op8_html import op8_html
+from renewlens.llm.op9_ann import op9_ann
 
 QUERIES = {
+    "op9_ann": op9_ann,
     "op8_html": op8_html,
     "op1_mixing": op1_mixing,
     "op4_pii": op4_pii,
