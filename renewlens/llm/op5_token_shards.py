@@ -8,7 +8,7 @@ and occurrence lookup from the stored bytes without restoring the sequence.
 
 Encoding keeps a bounded table of white-space separated words already encoded. White space is
 dropped by the tokenizer and no normalisation, piece or merge crosses it, so a text's ids are its
-words' ids in a row; a text that holds a special token's marker is encoded whole.
+words' ids in a row; a text that may hold a special token's marker is encoded whole.
 
 Defined results: null text is empty (only the end id); empty tables give no rows; equal ids are
 ordered by their text; a null id comes first.
@@ -41,6 +41,26 @@ RANK_BITS = 2048  # bits between two stored rank counts
 # --- encoding ---------------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet as a translation of Latin-1: printable bytes stand for themselves,
+    the others, in order, for code points from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+class _Known(dict):
+    """Words met so far and their ids; a word not met yet is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Encodes texts word by word with a bounded table of known words; ids as uint16 bytes."""
 
@@ -48,48 +68,46 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids over 16 bits are not supported")
+        self.model_ids = self.tokenizer.model.tokenize
+        self.normal = self.tokenizer.normalizer.normalize_str
+        self.pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = _byte_letters()
         self.limit = cache_words
-        self.known: dict[bytes, bytes] = {}
-        self.marks = {
-            w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in (".", ",")
-        }
+        self.known = _Known(self._word)
+        self.marks = {w: self.whole(w) for w in (b".", b",")}
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def whole(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
-
-    def _plain(self, word: bytes) -> bytes:
-        """A word of a-z only: normalisation and splitting leave it as it is."""
-        return np.array([t.id for t in self.model.tokenize(word.decode())], "<u2").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, rest = self.known, []
-        for w in words:
-            base, tail = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
-            if base.isalpha() and base.isascii():
-                known[w] = (known.get(base) or self._plain(base)) + (self.marks[tail.decode()] if tail else b"")
-            else:
-                rest.append(w)
-        if rest:
-            texts = [w.decode("utf-8", "replace") for w in rest]
-            for w, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+        return self._packed(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word with a-z for A-Z and without a special token's marker.
+
+        Words of a-z, or of Latin letters that normalisation leaves alone, are one piece: they go
+        to the merges directly. Others go through normalisation and splitting first.
+        """
+        base, tail = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
+        if tail and base.isalpha():
+            return self.known[base] + self.marks[tail]
+        if word.isalpha():
+            return self._packed([t.id for t in self.model_ids(word.decode())])
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0130":
+            piece = text.lower().encode().decode("latin-1").translate(self.letters)
+            return self._packed([t.id for t in self.model_ids(piece)])
+        return self._packed([t.id for p, _ in self.pieces(self.normal(text)) for t in self.model_ids(p)])
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
             return self.whole(text)
-        words = text.lower().split()
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = set(words)
-            self._learn(new)
-        return b"".join([known[w] for w in words])
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
