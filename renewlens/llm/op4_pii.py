@@ -257,16 +257,18 @@ def digest_spans(found: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()
 
 
+def _count(kind: str):
+    base = F.filter("spans", lambda s: ~s["added"] & (s["kind"] == kind))
+    return F.size(base).cast("bigint").alias(f"n_{kind}")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s["added"])
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("spans", lambda s, k=k: ~s["added"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}")
-            for k in KINDS
-        ],
+        *[_count(k) for k in KINDS],
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
     )

@@ -10,8 +10,10 @@ from renewlens.llm.op4_pii import op4_pii
 from renewlens.llm.op1_mixing import op1_mixing
 from renewlens.llm.op8_html import op8_html
 from renewlens.llm.op9_ann import op9_ann
+from renewlens.llm.op2_importance import op2_importance
 
 QUERIES = {
+    "op2_importance": op2_importance,
     "op9_ann": op9_ann,
     "op8_html": op8_html,
     "op1_mixing": op1_mixing,
