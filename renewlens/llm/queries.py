@@ -11,8 +11,10 @@ from renewlens.llm.op1_mixing import op1_mixing
 from renewlens.llm.op8_html import op8_html
 from renewlens.llm.op9_ann import op9_ann
 from renewlens.llm.op2_importance import op2_importance
+from renewlens.llm.op3_transcripts import op3_transcripts
 
 QUERIES = {
+    "op3_transcripts": op3_transcripts,
     "op2_importance": op2_importance,
     "op9_ann": op9_ann,
     "op8_html": op8_html,
