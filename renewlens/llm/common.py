@@ -30,8 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(df: DataFrame) -> Column:
-    """64-bit key of a whole row; rows that agree in every column share it."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """64-bit key of a whole row; rows that agree in every column (maps apart) share it."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
+def by_row(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as often as ``copies`` (row_key, copies) says in sum for its key.
+
+    Rows that share a key are alike; they are made one before they are repeated, in a branch of
+    their own, so that a table without repeated rows is not grouped by its texts.
+    """
+    key, times = "__row_key", "__copies"
+    total = copies.groupBy("row_key").agg(F.sum("copies").cast("int").alias(times), F.count("*").alias("n"))
+    total = total.where(F.col(times) > 0)
+    keyed = docs.withColumn(key, row_key(docs))
+    joined = lambda rows, t: rows.join(t.withColumnRenamed("row_key", key), key)
+    single = joined(keyed, total.where("n = 1").drop("n"))
+    several = total.where("n > 1").drop("n")
+    if not several.isEmpty():
+        single = single.unionByName(joined(keyed, several).dropDuplicates([key]))
+    return single.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times)
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

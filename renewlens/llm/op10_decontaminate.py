@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import byte_texts, table, word_hashes
+from renewlens.llm.common import byte_texts, row_key, table, word_hashes
 from renewlens.session import stage
 
 SEGMENT_WORDS = 1 << 21
@@ -274,6 +274,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     return search(build_index(docs, key=key), benchmark, window=window)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a window of an item, all columns kept."""
+    key = "__row_key"
+    keyed = docs.withColumn(key, row_key(docs))
+    found = decontaminate(keyed, benchmark, key=key).where(F.size("hits") > 0)
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").drop(key)
+
+
 def digest(found: DataFrame) -> DataFrame:
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(

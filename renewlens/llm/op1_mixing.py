@@ -20,10 +20,10 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import row_key, table
+from renewlens.llm.common import by_row, row_key, table
 from renewlens.session import stage
 
 SHARE = 1.5  # tokens of the mix, as a multiple of all tokens
@@ -149,10 +149,13 @@ def _passed(total, rate, shift):
     return F.shiftright(total + rate + shift, 20) - F.shiftright(total + shift, 20)
 
 
-def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """``docs`` (with source and size) -> row_key, doc_id, source, size, source_size, target, rate, copies."""
+def mix(docs: DataFrame, *, row: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """``docs`` (with source and size) -> row_key, doc_id, source, size, source_size, target, rate, copies.
+
+    ``row`` is a key of the row; the hash of all columns unless given.
+    """
     rows = stage(
-        docs.select(row_key(docs).alias("row_key"), "doc_id", F.col("source").cast("string").alias("source"), "size"),
+        docs.select((row_key(docs) if row is None else row).alias("row_key"), "doc_id", F.col("source").cast("string").alias("source"), "size"),
         "sizes",
     )
     classes = stage(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "size-classes")
@@ -235,6 +238,12 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE) -> D
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it, all columns kept."""
+    rows = sized(docs.select(row_key(docs).alias("key"), "doc_id", "source", "text"))
+    return by_row(docs, mix(rows, row=F.col("key")).select("row_key", "copies"))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return found.select(

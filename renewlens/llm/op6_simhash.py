@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import byte_texts, table
+from renewlens.llm.common import by_row, byte_texts, row_key, table
 from renewlens.llm.components import components
 from renewlens.session import stage
 
@@ -65,16 +65,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every document."""
+def fingerprints(docs: DataFrame, *, text: str = "text", row: Column | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, row_key, fp) of every document; ``row`` is a key of the row, null if not given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [fingerprint(t, shingle) for t in byte_texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
-
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+            values = [fingerprint(t, shingle) for t in byte_texts(b.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(values, pa.int64())], names=["doc_id", "row_key", "fp"]
+            )
+
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("k"),
+        (F.lit(None) if row is None else row).cast("bigint").alias("r"),
+        F.col(text).cast("string").alias("t"),
+    )
+    return rows.mapInArrow(run, "doc_id bigint, row_key bigint, fp bigint")
 
 
 # --- candidate keys ---------------------------------------------------------------------
@@ -231,18 +237,30 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, group: int = GROUP) -> D
 
 
 def near_duplicates(prints: DataFrame, *, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id), the smallest doc_id that links reach."""
-    prints = stage(prints.select("doc_id", "fp"), "fingerprints")
+    """(doc_id, fp, ...) -> the same rows with root, a fingerprint that names the component, and
+    component_id, the smallest doc_id that links reach."""
+    prints = stage(prints, "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     roots = components(links(distinct, radius=radius, group=group))
     member = roots.select(F.col("node").alias("fp"), "root").unionByName(
         roots.select(F.col("root").alias("fp"), "root").distinct()
     )
     low = member.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component"))
-    labels = distinct.join(member.join(low, "root").select("fp", "component"), "fp", "left").select(
-        "fp", F.coalesce("component", "low").alias("component_id")
+    labels = distinct.join(member.join(low, "root"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "low").alias("component_id")
     )
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest doc_id (null last, ties by row key), all columns kept."""
+    found = near_duplicates(fingerprints(docs, row=row_key(docs)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row_key").alias("row_key"))
+    # one per component: of rows alike in all columns, one stays
+    counts = found.groupBy("row_key").agg(F.count("*").alias("n"))
+    one = kept.join(counts, "row_key").select("row_key", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(2)))).alias("i"))
+    return by_row(docs, one.select("row_key", (F.col("i") == 1).cast("int").alias("copies")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
