@@ -70,7 +70,8 @@ def _sigma(x: float) -> float:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0
+    """Whether a document is in the held-out fifth; a null id is not."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def _bag(text: str) -> tuple[int, list[str]]:
