@@ -46,8 +46,8 @@ class LinearScorer:
             lambda acc, f: acc + self.contribution(f), self.features, F.lit(float(self.base))
         )
 
-    def score(self, df: DataFrame, out: str = "p", digits: int = 6) -> DataFrame:
-        return df.withColumn(out, F.round(sigmoid(self.log_odds()), digits))
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        return df.withColumn(out, sigmoid(self.log_odds()))
 
 
 def attribute(df: DataFrame, scorer: LinearScorer, carry: Sequence[str] = ()) -> DataFrame:

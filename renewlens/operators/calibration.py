@@ -16,7 +16,6 @@ from renewlens.session import stage
 DEFAULT_BINS = 10
 MIN_BIN_COUNT = 1000
 JEFFREYS = 0.5
-SCORE_DIGITS = 6
 
 
 def calibration_in_the_large(df: DataFrame, y: str = "is_churn", p: str = "p") -> DataFrame:
@@ -135,7 +134,7 @@ class Calibrator:
     def apply(self, df: DataFrame, p: str = "p", out: str = "p_calibrated") -> DataFrame:
         """Map and clip; scores outside the fitted range take the end values."""
         model = self.model.copy().setFeaturesCol("score_in").setPredictionCol("score_out")
-        rows = df.withColumn("score_in", F.round(F.col(p).cast("double"), SCORE_DIGITS))
+        rows = df.withColumn("score_in", F.col(p).cast("double"))
         clipped = F.least(F.greatest("score_out", F.lit(self.floor)), F.lit(self.ceiling))
         return model.transform(rows).withColumn(out, clipped).drop("score_in", "score_out")
 
@@ -169,11 +168,11 @@ def fit_isotonic(
 ) -> Calibrator:
     """Fit on a held-out segment.
 
-    Rows are first merged to one weighted point per score (six decimals), so
-    the regression sees at most a million points however many users there are.
+    Rows of exactly equal score are merged to one weighted point first; pooling
+    runs inside partitions before the last step, so blocks travel and not users.
     """
     points = stage(
-        df.select(F.col(y).cast("double").alias("y"), F.round(F.col(p), SCORE_DIGITS).alias("x"))
+        df.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("x"))
         .groupBy("x")
         .agg(
             F.avg("y").alias("label"),

@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from renewlens.functions.scalars import mean_across
 
-# Two-sided 95 % Student t by degrees of freedom.
-T_CRITICAL_95 = {
-    1: 12.7062,
-    2: 4.3027,
-    3: 3.1824,
-    4: 2.7764,
-    5: 2.5706,
-    6: 2.4469,
-    7: 2.3646,
-    8: 2.3060,
-    9: 2.2622,
-    10: 2.2281,
-    14: 2.1448,
-    19: 2.0930,
-    29: 2.0452,
-}
+def t_critical(freedom: int, level: float = 0.95) -> float:
+    """Two-sided critical value of Student's t, by bisection on its distribution.
+
+    With t = sqrt(freedom) * tan(angle), the probability within +-t is a finite sum of powers
+    of the angle's cosine.
+    """
+
+    def within(angle: float) -> float:
+        c, s = math.cos(angle), math.sin(angle)
+        odd = freedom % 2
+        term = total = (c if odd else 1.0) if freedom > 1 else 0.0
+        for k in range(2 if odd else 1, freedom - 1, 2):
+            term *= c * c * k / (k + 1)
+            total += term
+        return (angle + s * total) * 2 / math.pi if odd else s * total
+
+    low, high = 0.0, math.pi / 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if within(middle) < level else (low, middle)
+    return math.sqrt(freedom) * math.tan(low)
+
+
+TABLED = 30  # degrees of freedom up to which critical values are tabled
+Z_95 = 1.959963984540054  # fixed value: the normal limit
+
+
+def t_critical_column(freedom: Column) -> Column:
+    """95 % critical value per row: exact up to TABLED degrees, beyond by expansion in 1/freedom."""
+    table = F.create_map(*[F.lit(x) for k in range(1, TABLED + 1) for x in (k, t_critical(k))])
+    z, n = Z_95, freedom.cast("double")
+    expansion = (
+        F.lit(z)
+        + (z**3 + z) / (4 * n)
+        + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * n * n)
+        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * n * n * n)
+    )
+    return F.coalesce(table[freedom.cast("int")], expansion)
+
+
 # Fixed value: paired noise scale of a single comparison.
 NOISE_SIGMA = 0.00044
 
@@ -157,8 +182,7 @@ def multi_seed_paired(runs: DataFrame) -> DataFrame:
         F.count_if(F.col("d") < 0).alias("a_wins"),
         F.count_if(F.col("d") > 0).alias("b_wins"),
     )
-    table = F.create_map(*[F.lit(x) for kv in T_CRITICAL_95.items() for x in kv])
-    critical = F.coalesce(table[(F.col("n_seeds") - 1).cast("int")], F.lit(1.96))
+    critical = t_critical_column(F.col("n_seeds") - 1)
     half = critical * F.col("sigma") / F.sqrt("n_seeds")
     return (
         stats.withColumn("lo", F.col("mean_diff") - half)

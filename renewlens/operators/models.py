@@ -23,6 +23,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ from renewlens.sources.schemas import CATEGORICAL, KEY
 
 MISSING_FILL = -999.0
 FAMILIES = ("gbt", "forest", "logistic")
-SCORE_DIGITS = 6
 
 # Small but fixed budgets; raise them through ``params`` on real data.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -56,6 +56,8 @@ class Fitted:
     features: tuple[str, ...]
     rounds: int
     params: Mapping[str, Any] = field(default_factory=dict)
+    # of the logistic family: standard deviation of each input on the training rows
+    deviations: tuple[float, ...] = ()
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         """Churn probability per row; keeps the input columns."""
@@ -63,7 +65,7 @@ class Fitted:
         drop = [c for c in scored.columns if c not in df.columns and c != "probability"]
         return (
             scored.drop(*drop)
-            .withColumn(out, F.round(vector_to_array("probability")[1], SCORE_DIGITS))
+            .withColumn(out, vector_to_array("probability")[1])
             .drop("probability")
         )
 
@@ -125,11 +127,15 @@ def fit_scorer(
     matrix = assembler.transform(data).select("vector", "label", "is_es").persist()
     try:
         model = estimator.fit(matrix)
+        deviations: tuple[float, ...] = ()
+        if family == "logistic":
+            spread = matrix.select(Summarizer.metrics("variance").summary(F.col("vector")).alias("s"))
+            deviations = tuple(math.sqrt(v) for v in spread.first().s.variance)
     finally:
         matrix.unpersist()
     rounds = model.getNumTrees if family in ("gbt", "forest") else int(model.summary.totalIterations)
     return Fitted(
-        family, PipelineModel([assembler, model]), tuple(features), rounds, dict(params or {})
+        family, PipelineModel([assembler, model]), tuple(features), rounds, dict(params or {}), deviations
     )
 
 
@@ -154,7 +160,8 @@ def gains(fitted: Fitted) -> dict[str, float]:
     model = fitted.model.stages[-1]
     n = len(fitted.features)
     if fitted.name == "logistic":
-        raw = [abs(float(c)) for c in model.coefficients]
+        # per standard deviation of the training rows, so that units do not count
+        raw = [abs(float(c)) * s for c, s in zip(model.coefficients, fitted.deviations, strict=True)]
     else:
         raw = [float(v) for v in model.featureImportances.toArray()]
     return {f: raw[i] + raw[n + i] for i, f in enumerate(fitted.features)}

@@ -98,6 +98,8 @@ FIXED_SCORER = LinearScorer(
     missing={"log_min_days_before": 0.3, "log_trend_30_90": 0.1, "log30_plays": 0.15},
 )
 
+COMPARED_DIGITS = 12
+
 # Offers are cheap relative to the small amounts of the demo tables.
 DEMO_PARAMS = BusinessParams(c_offer=50.0)
 
@@ -127,8 +129,12 @@ def scored_table(
     previous: CohortSpec | None = None,
     scorer: LinearScorer = FIXED_SCORER,
 ) -> DataFrame:
-    """Feature table with score ``p`` and, given the previous cohort, the repeat/new segment."""
-    scored = scorer.score(feature_table(src, spec))
+    """Feature table with score ``p`` and, given the previous cohort, the repeat/new segment.
+
+    The demo score has :data:`COMPARED_DIGITS` decimals: two engines that compute ``exp`` with
+    different last bits then agree on which scores are equal. Operators never round.
+    """
+    scored = scorer.score(feature_table(src, spec)).withColumn("p", F.round("p", COMPARED_DIGITS))
     return scored if previous is None else repeat_vs_new(scored, cutoff_table(src, previous))
 
 

@@ -97,7 +97,7 @@ block(
   CASE c_mktsegment WHEN 'BUILDING' THEN 'male' WHEN 'MACHINERY' THEN 'female' END AS gender,
   CAST(c_custkey % 18 AS INTEGER) AS registered_via,
   {ymd("DATE '1995-01-01' + CAST((c_custkey * 37) % 2200 AS INTEGER)")} AS registration_init_time
-FROM customer WHERE c_custkey % 9 <> 0""",
+FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""",
 )
 block(
     "logs",
@@ -384,11 +384,11 @@ def scored_block(
     title = name or f"scored_{spec.name}"
     inner = f"SELECT *, {log_odds(scorer)} AS z FROM {features}"
     if previous is None:
-        return block(title, f"SELECT *, round({SIGMOID}, 6) AS p FROM ({inner}) s", features)
+        return block(title, f"SELECT *, round({SIGMOID}, 12) AS p FROM ({inner}) s", features)
     before = cutoffs_block(previous)
     return block(
         title,
-        f"""SELECT s.*, round({SIGMOID}, 6) AS p,
+        f"""SELECT s.*, round({SIGMOID}, 12) AS p,
   CASE WHEN s.user_id IN (SELECT user_id FROM {before}) THEN 'repeat' ELSE 'new' END AS segment
 FROM ({inner}) s""",
         features,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.functions.scalars import seeded_hash
@@ -25,69 +25,104 @@ from renewlens.sources.demo import Q2, Q2_T7, Q3, Q3_T7
 _S3 = O.scored_block(Q3, Q2)
 _S2 = O.scored_block(Q2)
 
-# --- run tables derived from the fixed scorer ------------------------------
+# --- run tables of fitted models -------------------------------------------
 #
-# Three models per run: the scores, the scores pulled half-way to one half, and
-# their mean. A seed picks the half of the users a run is judged on.
+# Three small models that both engines can fit exactly: the training churn rate, the rate by
+# whether the user ever cancelled, and the rate by tenth of the score. Cell rates are pulled
+# towards the overall rate by PRIOR users. A seed picks the training half of q2; every run is
+# judged on all users of the other cohort.
 
 SEEDS = (1, 2, 3, 4)
-_MODELS = {
-    "plain": "p",
-    "shrunk": "round(0.5::DOUBLE * p + 0.25::DOUBLE, 6)",
-    "mixed": "round(0.75::DOUBLE * p + 0.125::DOUBLE, 6)",
+PRIOR = 10.0
+_CELLS = {"rate": 1, "cancel": 2, "binned": 10}  # fitted cells of each model
+_CELL_SQL = {
+    "rate": "0",
+    "cancel": "CASE WHEN cancel_rate > 0 THEN 1 ELSE 0 END",
+    "binned": "CAST(least(floor(p * 10), 9) AS INTEGER)",
 }
+_RUN_COLUMNS = ("user_id", "is_churn", "p", "cancel_rate")
 
 
-def _model_columns() -> dict[str, object]:
-    return {
-        "plain": F.col("p"),
-        "shrunk": F.round(F.lit(0.5) * F.col("p") + F.lit(0.25), 6),
-        "mixed": F.round(F.lit(0.75) * F.col("p") + F.lit(0.125), 6),
+def _celled(rows: DataFrame) -> DataFrame:
+    """Each row once per model, with its cell."""
+    cells = {
+        "rate": F.lit(0),
+        "cancel": F.when(F.col("cancel_rate") > 0, 1).otherwise(0),
+        "binned": F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int"),
     }
+    packed = F.array(*[F.struct(F.lit(m).alias("model"), c.alias("cell")) for m, c in cells.items()])
+    return rows.withColumn("c", F.explode(packed)).select(*rows.columns, "c.model", "c.cell")
 
 
-def _losses(rows: DataFrame, *by: str) -> DataFrame:
-    cells = F.array(
-        *[F.struct(F.lit(m).alias("model"), c.alias("q")) for m, c in _model_columns().items()]
+def _fits(train: DataFrame, *by: str) -> DataFrame:
+    """Fitted probability of every model and cell (per ``by`` group)."""
+    every = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.lit(i).alias("cell")) for m, n in _CELLS.items() for i in range(n)]
     )
-    long = rows.withColumn("m", F.explode(cells))
-    return long.groupBy(*by, F.col("m.model").alias("model")).agg(
-        log_loss("is_churn", F.col("m.q")).alias("log_loss")
+    grid = train.groupBy(*by).agg(F.avg("is_churn").alias("r")).withColumn("c", F.explode(every))
+    sums = _celled(train).groupBy(*by, "model", "cell").agg(F.count("*").alias("n"), F.sum("is_churn").alias("k"))
+    known = F.coalesce("k", F.lit(0)) + F.col("r") * PRIOR
+    q = F.when(F.col("model") == "rate", F.col("r")).otherwise(known / (F.coalesce("n", F.lit(0)) + PRIOR))
+    return (
+        grid.select(*by, "r", "c.model", "c.cell")
+        .join(sums, [*by, "model", "cell"], "left")
+        .select(*by, "model", "cell", q.alias("q"))
     )
 
 
-def _losses_sql(source: str, by: str = "", where: str = "true") -> str:
-    cols = f"{by}, " if by else ""
-    return " UNION ALL ".join(
-        f"SELECT {cols}'{m}' AS model, avg({O.log_loss(p=e)}) AS log_loss FROM {source}"
-        f" WHERE {where} {f'GROUP BY {by}' if by else ''}"
-        for m, e in _MODELS.items()
+def _losses(train: DataFrame, valid: DataFrame, *by: str) -> DataFrame:
+    """Loss on ``valid`` of every model fitted on ``train`` (of the same group, if ``valid`` has it)."""
+    own = [c for c in by if c in valid.columns]
+    return (
+        _celled(valid)
+        .join(_fits(train, *by), [*own, "model", "cell"])
+        .groupBy(*by, "model")
+        .agg(log_loss("is_churn", F.col("q")).alias("log_loss"))
     )
 
 
-def _seed_runs(rows: DataFrame) -> DataFrame:
-    picks = F.array(
-        *[
-            F.when(F.substring(seeded_hash(s, "user_id"), 1, 1) < "8", F.lit(s))
-            for s in SEEDS
-        ]
-    )
-    return _losses(rows.withColumn("seed", F.explode(F.array_compact(picks))), "seed")
+def _losses_sql(train: str, valid: str, by: str = "", own: bool = False) -> str:
+    b = f"{by}, " if by else ""
+
+    def celled(source: str) -> str:
+        return " UNION ALL ".join(f"SELECT *, '{m}' AS model, {c} AS cell FROM {source}" for m, c in _CELL_SQL.items())
+
+    values = ", ".join(f"('{m}', {i})" for m, n in _CELLS.items() for i in range(n))
+    using = ", ".join([*([by] if by else []), "model", "cell"])
+    fits = f"""SELECT {b}model, cell, CASE WHEN model = 'rate' THEN r
+    ELSE (coalesce(k, 0) + {PRIOR}::DOUBLE * r) / (coalesce(n, 0) + {PRIOR}::DOUBLE) END AS q
+  FROM (SELECT * FROM (SELECT {b}avg(is_churn) AS r FROM {train} GROUP BY ALL) b0, (VALUES {values}) g(model, cell)) g0
+  LEFT JOIN (SELECT {b}model, cell, count(*) AS n, sum(is_churn)::DOUBLE AS k FROM ({celled(train)}) c0 GROUP BY ALL) s0
+  USING ({using})"""
+    match = ", ".join([*([by] if own else []), "model", "cell"])
+    return f"""SELECT {b}model, avg({O.log_loss(p='q')}) AS log_loss FROM ({celled(valid)}) v0
+  JOIN ({fits}) f0 USING ({match}) GROUP BY ALL"""
+
+
+def _in_half(seed: int) -> str:
+    return f"substr(md5(concat_ws(':', '{seed}', CAST(user_id AS VARCHAR))), 1, 1) < '8'"
+
+
+def _cohorts(src: Sources) -> tuple[DataFrame, DataFrame]:
+    """What the run tables need of q2 and q3."""
+    return tuple(stage(scored_table(src, s).select(*_RUN_COLUMNS), f"runs-{s.name}") for s in (Q2, Q3))
+
+
+def _seed_runs(src: Sources) -> DataFrame:
+    q2, q3 = _cohorts(src)
+    first = {s: F.substring(seeded_hash(s, "user_id"), 1, 1) for s in SEEDS}
+    picks = F.array(*[F.when(first[s] < "8", F.lit(s)) for s in SEEDS])
+    return _losses(q2.withColumn("seed", F.explode(F.array_compact(picks))), q3, "seed")
 
 
 O.block(
-    "seed_runs",
+    "seed_train",
     " UNION ALL ".join(
-        f"SELECT {s} AS seed, * FROM ("
-        + _losses_sql(
-            _S3,
-            where=f"substr(md5(concat_ws(':', '{s}', CAST(user_id AS VARCHAR))), 1, 1) < '8'",
-        )
-        + ") x"
-        for s in SEEDS
+        f"SELECT {s} AS seed, user_id, is_churn, p, cancel_rate FROM {_S2} WHERE {_in_half(s)}" for s in SEEDS
     ),
-    _S3,
+    _S2,
 )
+O.block("seed_runs", _losses_sql("seed_train", _S3, "seed"), "seed_train", _S3)
 
 
 @register(
@@ -96,7 +131,7 @@ O.block(
     "seed_runs",
 )
 def seed_runs(src: Sources) -> DataFrame:
-    return _seed_runs(slim(src))
+    return _seed_runs(src)
 
 
 @register(
@@ -106,7 +141,7 @@ def seed_runs(src: Sources) -> DataFrame:
     "seed_runs",
 )
 def marginal_spread(src: Sources) -> DataFrame:
-    return experiments.marginal_spread(_seed_runs(slim(src)))
+    return experiments.marginal_spread(_seed_runs(src))
 
 
 @register(
@@ -117,20 +152,21 @@ def marginal_spread(src: Sources) -> DataFrame:
 FROM (SELECT a.model AS model_a, b.model AS model_b, count(*) AS n_seeds, avg(a.log_loss - b.log_loss) AS m,
     stddev_samp(a.log_loss - b.log_loss) AS s, count(*) FILTER (WHERE a.log_loss < b.log_loss) AS a_wins,
     count(*) FILTER (WHERE a.log_loss > b.log_loss) AS b_wins,
-    3.1824::DOUBLE * stddev_samp(a.log_loss - b.log_loss) / sqrt(count(*)) AS h
+    3.1824463052842624::DOUBLE * stddev_samp(a.log_loss - b.log_loss) / sqrt(count(*)) AS h
   FROM seed_runs a JOIN seed_runs b ON a.seed = b.seed AND a.model < b.model GROUP BY a.model, b.model) x""",
     "seed_runs",
 )
 def multi_seed_paired(src: Sources) -> DataFrame:
-    return experiments.multi_seed_paired(_seed_runs(slim(src)))
+    return experiments.multi_seed_paired(_seed_runs(src))
 
 
-O.block("forward_runs", _losses_sql(_S3), _S3)
-O.block("reverse_runs", _losses_sql(_S2), _S2)
+O.block("forward_runs", _losses_sql(_S2, _S3), _S2, _S3)
+O.block("reverse_runs", _losses_sql(_S3, _S2), _S2, _S3)
 
 
 def _directions(src: Sources) -> tuple[DataFrame, DataFrame]:
-    return _losses(scored_table(src, Q3)), _losses(scored_table(src, Q2))
+    q2, q3 = _cohorts(src)
+    return _losses(q2, q3), _losses(q3, q2)
 
 
 @register(
@@ -169,88 +205,123 @@ def reverse_validation(src: Sources) -> DataFrame:
     return out
 
 
+_GAIN = "1 - log_loss / (SELECT log_loss FROM forward_runs WHERE model = 'rate')"
+_SIZE = "CAST(CASE model " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in _CELLS.items()) + " END AS BIGINT)"
+
+
+def _size() -> Column:
+    return F.create_map(*[F.lit(x) for kv in _CELLS.items() for x in kv])[F.col("model")]
+
+
+def _constant(runs: DataFrame) -> float:
+    """Loss of the constant model."""
+    return runs.filter("model = 'rate'").first()["log_loss"]
+
+
 @register(
     "direction_table",
     f"""SELECT model, {r6('log_loss', 'log_loss')}, {r6('log_loss / (SELECT min(log_loss) FROM forward_runs) - 1', 'relative_to_best')},
-  {r6('1 - log_loss / 0.7::DOUBLE', 'gain_over_constant')} FROM forward_runs""",
+  {r6(_GAIN, 'gain_over_constant')} FROM forward_runs""",
     "forward_runs",
 )
 def direction_table(src: Sources) -> DataFrame:
-    return experiments.direction_table(_losses(scored_table(src, Q3)), 0.7)
+    runs = stage(_losses(*_cohorts(src)), "runs")
+    return experiments.direction_table(runs, _constant(runs))
 
 
 @register(
     "comparison_table",
     f"""SELECT model AS label, {r6('log_loss', 'log_loss')},
-  {r6("log_loss / (SELECT log_loss FROM forward_runs WHERE model = 'plain') - 1", 'relative_to_first')},
-  {r6('1 - log_loss / 0.7::DOUBLE', 'gain_over_constant')} FROM forward_runs""",
+  {r6("log_loss / (SELECT log_loss FROM forward_runs WHERE model = 'rate') - 1", 'relative_to_first')},
+  {r6(_GAIN, 'gain_over_constant')} FROM forward_runs""",
     "forward_runs",
 )
 def comparison_table(src: Sources) -> DataFrame:
-    runs = _losses(scored_table(src, Q3)).withColumnRenamed("model", "label")
-    return experiments.comparison_table(runs, "plain", 0.7)
+    runs = stage(_losses(*_cohorts(src)), "runs")
+    constant = _constant(runs)
+    return experiments.comparison_table(runs.withColumnRenamed("model", "label"), "rate", constant)
 
 
 @register(
     "winner_row",
-    f"""SELECT model, {r6('log_loss', 'log_loss')}, CAST(length(model) AS BIGINT) AS size FROM forward_runs
-ORDER BY round(log_loss, 4), length(model) LIMIT 1""",
+    f"""SELECT model, {r6('log_loss', 'log_loss')}, {_SIZE} AS size FROM forward_runs
+ORDER BY round(log_loss, 4), {_SIZE} LIMIT 1""",
     "forward_runs",
 )
 def winner(src: Sources) -> DataFrame:
-    runs = _losses(scored_table(src, Q3)).withColumn("size", F.length("model"))
+    runs = _losses(*_cohorts(src)).withColumn("size", _size())
     return winner_row(runs, "log_loss", "size")
 
 
-_SWEEP = """SELECT model AS label, log_loss AS sel_log_loss, CAST(length(model) AS BIGINT) AS n_features,
-  CASE WHEN model <> 'shrunk' THEN log_loss + 0.01::DOUBLE END AS valid_log_loss FROM reverse_runs"""
+# Selection losses come from the other half of q2. Only the largest model and the one that wins
+# the selection are scored on q3.
+O.block("half", f"SELECT user_id, is_churn, p, cancel_rate FROM {_S2} WHERE {_in_half(1)}", _S2)
+O.block("held", f"SELECT user_id, is_churn, p, cancel_rate FROM {_S2} WHERE NOT {_in_half(1)}", _S2)
+O.block("sel_runs", _losses_sql("half", "held"), "half", "held")
+O.block("valid_runs", _losses_sql("half", _S3), "half", _S3)
+_SWEEP = f"""SELECT model AS label, s.log_loss AS sel_log_loss, {_SIZE} AS n_features,
+  CASE WHEN model = 'binned' OR s.log_loss = (SELECT min(log_loss) FROM sel_runs) THEN v.log_loss END AS valid_log_loss
+FROM sel_runs s JOIN valid_runs v USING (model)"""
 
 
 def _sweep(src: Sources) -> DataFrame:
-    runs = _losses(scored_table(src, Q2))
-    return runs.select(
+    q2, q3 = _cohorts(src)
+    in_half = F.substring(seeded_hash(1, "user_id"), 1, 1) < "8"
+    half, held = q2.filter(in_half), q2.filter(~in_half)
+    sel = stage(_losses(half, held), "sel-runs")
+    best = sel.agg(F.min("log_loss")).scalar()
+    valid = _losses(half, q3).withColumnRenamed("log_loss", "v")
+    judged = (F.col("model") == "binned") | (F.col("log_loss") == best)
+    return sel.join(valid, "model").select(
         F.col("model").alias("label"),
         F.col("log_loss").alias("sel_log_loss"),
-        F.length("model").alias("n_features"),
-        F.when(F.col("model") != "shrunk", F.col("log_loss") + F.lit(0.01)).alias(
-            "valid_log_loss"
-        ),
+        _size().alias("n_features"),
+        F.when(judged, F.col("v")).alias("valid_log_loss"),
     )
 
 
 @register(
     "threshold_sweep",
     f"""SELECT label, {r6('sel_log_loss', 'sel_log_loss')}, n_features, {r6('valid_log_loss', 'valid_log_loss')},
-  {r6("sel_log_loss / (SELECT sel_log_loss FROM sweep WHERE label = 'plain') - 1", 'relative')} FROM sweep""",
-    O.block("sweep", _SWEEP, "reverse_runs"),
+  {r6("sel_log_loss / (SELECT sel_log_loss FROM sweep WHERE label = 'binned') - 1", 'relative')} FROM sweep""",
+    O.block("sweep", _SWEEP, "sel_runs", "valid_runs"),
 )
 def threshold_sweep(src: Sources) -> DataFrame:
-    return experiments.threshold_sweep(_sweep(src), reference="plain")
+    return experiments.threshold_sweep(_sweep(src), reference="binned")
 
 
 @register(
     "before_after",
     f"""SELECT label, {r6('sel_log_loss', 'sel_log_loss')}, n_features, {r6('valid_log_loss', 'valid_log_loss')},
-  {r6("valid_log_loss / (SELECT arg_max(valid_log_loss, n_features) FROM sweep WHERE valid_log_loss IS NOT NULL AND label = 'plain') - 1", 'relative')}
+  {r6("valid_log_loss / (SELECT valid_log_loss FROM sweep WHERE label = 'binned') - 1", 'relative')}
 FROM sweep WHERE valid_log_loss IS NOT NULL""",
     "sweep",
 )
 def before_after(src: Sources) -> DataFrame:
-    runs = _sweep(src).withColumn(
-        "n_features", F.when(F.col("label") == "plain", 6).otherwise(F.col("n_features"))
+    return experiments.before_after(_sweep(src))
+
+
+# One model per fold, fitted on the other folds of q3.
+def _arm_blocks(arm: str, folds: str) -> None:
+    O.block(
+        f"{arm}_rows",
+        f"SELECT s.user_id, s.is_churn, s.p, s.cancel_rate, f.fold FROM {_S3} s JOIN {folds} f"
+        " ON f.user_id = s.user_id AND f.cohort = 'q3'",
+        _S3,
+        folds,
     )
-    out = experiments.before_after(runs)
-    return out.withColumn("n_features", F.length("label"))
+    O.block(
+        f"{arm}_train",
+        f"SELECT r.user_id, r.is_churn, r.p, r.cancel_rate, o.fold FROM {arm}_rows r,"
+        f" (SELECT DISTINCT fold FROM {arm}_rows) o WHERE o.fold <> r.fold",
+        f"{arm}_rows",
+    )
+    fitted = _losses_sql(f"{arm}_train", f"{arm}_rows", "fold", own=True)
+    O.block(arm, f"SELECT fold, log_loss FROM ({fitted}) x WHERE model = 'binned'", f"{arm}_train", f"{arm}_rows")
 
 
-_ARMS = {
-    "garm": f"SELECT fold, avg({O.log_loss()}) AS log_loss FROM {_S3} s JOIN gfolds f"
-    " ON f.user_id = s.user_id AND f.cohort = 'q3' GROUP BY fold",
-    "rarm": f"SELECT fold, avg({O.log_loss()}) AS log_loss FROM {_S3} s JOIN rfolds f"
-    " ON f.user_id = s.user_id AND f.cohort = 'q3' GROUP BY fold",
-}
-O.block("garm", _ARMS["garm"].replace("is_churn", "s.is_churn"), _S3, "gfolds")
-O.block("rarm", _ARMS["rarm"].replace("is_churn", "s.is_churn"), _S3, "rfolds")
+_arm_blocks("garm", "gfolds")
+_arm_blocks("rarm", "rfolds")
 
 
 @register(
@@ -267,11 +338,14 @@ FROM (SELECT g, r, sqrt((gs * gs + rs * rs) / 2) AS pool FROM
 def fold_arms(src: Sources) -> DataFrame:
     from renewlens.plans.queries_eval import merged
 
-    rows = slim(src).select("user_id", "is_churn", "p")
+    _, q3 = _cohorts(src)
 
     def arm(folds: DataFrame) -> DataFrame:
-        own = folds.filter("cohort = 'q3'").select("user_id", "fold")
-        return rows.join(own, "user_id").groupBy("fold").agg(log_loss().alias("log_loss"))
+        rows = stage(q3.join(folds.filter("cohort = 'q3'").select("user_id", "fold"), "user_id"), "arm")
+        numbers = [r.fold for r in rows.select("fold").distinct().collect()]  # one per fold
+        others = F.array(*[F.when(F.col("fold") != n, F.lit(n)) for n in numbers])
+        train = rows.withColumn("fold", F.explode(F.array_compact(others)))
+        return _losses(train, rows, "fold").filter("model = 'binned'").drop("model")
 
     both = stage(merged(src), "merged")
     return experiments.grouped_vs_random(
