@@ -7,17 +7,18 @@ chain of built-in string functions. Suppressed candidates are kept and marked.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from renewlens.operators.attribution import LinearScorer, top_contributors
 from renewlens.operators.guards import require_columns
+from renewlens.operators.logs import TRENDS, feature_group_of, log_columns, window_measure
+from renewlens.operators.quantiles import exact_quantiles, value_counts
+from renewlens.session import stage
 from renewlens.sources.schemas import (
     GENDER_CODES,
     KEY,
-    LOG_WINDOWS,
     MAX_WINDOW,
     MISSING_CATEGORY,
 )
@@ -30,167 +31,138 @@ EXPIRY, SHIFTED, SNAPSHOT = "expiry", "shifted", "snapshot"
 CONTEXT_NARROW, CONTEXT_WIDE = 30, 90
 
 
-@dataclass(frozen=True)
-class Meaning:
-    """How one feature is grouped and put into words."""
-
-    group: str
-    noun: str
-    unit: str = ""
-    digits: int = 0
-    horizon: str = SHIFTED
-    percent: bool = False
-    category: bool = False
-    template: str | None = None
-    flag: tuple[str, str] | None = None
-    context: str | None = None
-
-
-def _transaction_meanings() -> dict[str, Meaning]:
-    return {
-        "tenure_days": Meaning("tenure", "Days since first transaction", "days"),
-        "days_since_last_tx": Meaning("tenure", "Days since last transaction", "days"),
-        "days_since_registration": Meaning("tenure", "Days since registration", "days"),
-        "n_tx": Meaning("tenure", "Transactions so far", "transactions"),
-        "days_to_expire": Meaning("tenure", "Days until expiry", "days"),
-        "last_is_cancel": Meaning(
-            "cancel",
-            "Cancel flag of the last transaction",
-            horizon=EXPIRY,
-            flag=("Last transaction is a cancellation", "Last transaction is not a cancellation"),
-        ),
-        "n_cancel_hist": Meaning("cancel", "Cancellations so far", "times"),
-        "cancel_rate": Meaning("cancel", "Share of cancellations", digits=1, percent=True),
-        "last_is_auto_renew": Meaning(
-            "renewal",
-            "Auto-renewal setting",
-            flag=("Auto-renewal is on", "Auto-renewal is off"),
-        ),
-        "last_payment_method_id": Meaning("renewal", "Payment method", category=True),
-        "last_paid": Meaning("plan_price", "Last amount paid", "units"),
-        "last_price": Meaning("plan_price", "Last list price", "units"),
-        "last_plan_days": Meaning("plan_price", "Last plan length", "days"),
-        "discount_amount": Meaning("plan_price", "Last discount", "units"),
-        "price_per_day": Meaning("plan_price", "Price per day", "units", 2),
-        "mean_paid": Meaning("plan_price", "Average amount paid", "units", 1),
-        "is_free_plan": Meaning(
-            "plan_price", "Free-plan flag", flag=("On a free plan", "Not on a free plan")
-        ),
-        "zero_collected": Meaning(
-            "plan_price",
-            "Zero-collection flag",
-            flag=("Priced plan but nothing collected", "Payment collected normally"),
-        ),
-        "in_members": Meaning(
-            "member",
-            "Member record",
-            horizon=SNAPSHOT,
-            flag=("Member record found", "No member record"),
-        ),
-        "bd_clean": Meaning("member", "Age", "years", horizon=SNAPSHOT),
-        "bd_valid": Meaning(
-            "member",
-            "Age validity",
-            horizon=SNAPSHOT,
-            flag=("Age is plausible", "Age is not plausible"),
-        ),
-        "city": Meaning("member", "City", horizon=SNAPSHOT, category=True),
-        "registered_via": Meaning(
-            "member", "Registration channel", horizon=SNAPSHOT, category=True
-        ),
-        "gender_code": Meaning("member", "Gender", horizon=SNAPSHOT, category=True),
-    }
-
-
-# Measure -> group, noun, unit, digits, percent, additive (can be split by time).
-_LOG_MEASURES = {
-    "active_days": ("log_frequency", "active days", "days", 0, False, True),
-    "active_ratio": ("log_frequency", "share of active days", "", 1, True, False),
-    "secs": ("log_intensity", "listening time", "seconds", 0, False, True),
-    "plays": ("log_intensity", "plays", "plays", 0, False, True),
-    "completed": ("log_intensity", "completed plays", "plays", 0, False, True),
-    "unq": ("log_intensity", "different songs", "songs", 0, False, False),
-    "completion": ("log_intensity", "completion rate", "", 1, True, False),
-    "secs_per_active_day": (
-        "log_intensity",
-        "listening time per active day",
-        "seconds",
-        0,
-        False,
-        False,
+# Which columns a reason counts together. Log columns follow their behaviour group.
+TOPICS = {
+    "tenure": ("tenure_days", "days_since_last_tx", "days_since_registration", "n_tx", "days_to_expire"),
+    "cancel": ("last_is_cancel", "n_cancel_hist", "cancel_rate"),
+    "renewal": ("last_is_auto_renew", "last_payment_method_id"),
+    "plan_price": (
+        "last_paid", "last_price", "last_plan_days", "discount_amount", "price_per_day", "mean_paid",
+        "is_free_plan", "zero_collected",
     ),
+    "member": ("in_members", "bd_clean", "bd_valid", "city", "registered_via", "gender_code"),
+}
+# What a column or a log measure is called.
+NOUNS = {
+    "tenure_days": "Days since first transaction",
+    "days_since_last_tx": "Days since last transaction",
+    "days_since_registration": "Days since registration",
+    "n_tx": "Transactions so far",
+    "days_to_expire": "Days until expiry",
+    "last_is_cancel": "Cancel flag of the last transaction",
+    "n_cancel_hist": "Cancellations so far",
+    "cancel_rate": "Share of cancellations",
+    "last_is_auto_renew": "Auto-renewal setting",
+    "last_payment_method_id": "Payment method",
+    "last_paid": "Last amount paid",
+    "last_price": "Last list price",
+    "last_plan_days": "Last plan length",
+    "discount_amount": "Last discount",
+    "price_per_day": "Price per day",
+    "mean_paid": "Average amount paid",
+    "is_free_plan": "Free-plan flag",
+    "zero_collected": "Zero-collection flag",
+    "in_members": "Member record",
+    "bd_clean": "Age",
+    "bd_valid": "Age validity",
+    "city": "City",
+    "registered_via": "Registration channel",
+    "gender_code": "Gender",
+    "log_min_days_before": "Days since latest activity",
+    "log_max_days_before": "Days since earliest activity",
+    "log_has_logs": f"Activity in the last {MAX_WINDOW} days",
+    "active_days": "active days",
+    "active_ratio": "share of active days",
+    "secs": "listening time",
+    "plays": "plays",
+    "completed": "completed plays",
+    "unq": "different songs",
+    "completion": "completion rate",
+    "secs_per_active_day": "listening time per active day",
 }
+# Units, decimals and shares; what is not listed has no unit, no decimals, no percent.
+UNITS = {
+    "days": (
+        "tenure_days", "days_since_last_tx", "days_since_registration", "days_to_expire", "last_plan_days",
+        "log_min_days_before", "log_max_days_before", "active_days",
+    ),
+    "transactions": ("n_tx",),
+    "times": ("n_cancel_hist",),
+    "units": ("last_paid", "last_price", "discount_amount", "price_per_day", "mean_paid"),
+    "years": ("bd_clean",),
+    "seconds": ("secs", "secs_per_active_day"),
+    "plays": ("plays", "completed"),
+    "songs": ("unq",),
+}
+DECIMALS = {1: ("cancel_rate", "mean_paid", "active_ratio", "completion"), 2: ("price_per_day", *TRENDS)}
+PERCENT = ("cancel_rate", "active_ratio", "completion")
+CODES = ("last_payment_method_id", "city", "registered_via", "gender_code")
+# Sentences of yes/no columns.
+FLAGS = {
+    "last_is_cancel": ("Last transaction is a cancellation", "Last transaction is not a cancellation"),
+    "last_is_auto_renew": ("Auto-renewal is on", "Auto-renewal is off"),
+    "is_free_plan": ("On a free plan", "Not on a free plan"),
+    "zero_collected": ("Priced plan but nothing collected", "Payment collected normally"),
+    "in_members": ("Member record found", "No member record"),
+    "bd_valid": ("Age is plausible", "Age is not plausible"),
+    "log_has_logs": (f"Active in the last {MAX_WINDOW} days", f"No activity in the last {MAX_WINDOW} days"),
+}
+# Columns known only on the expiry day; member columns come from a snapshot.
+ON_EXPIRY_DAY = ("last_is_cancel",)
+# Sums of days can be set against the rest of the wide window.
+SPLITTABLE = ("active_days", "secs", "plays", "completed")
+
+
+def _listed(table, name: str, default):
+    """Key under which a table of lists holds a name."""
+    return next((key for key, names in table.items() if name in names), default)
+
+
+def wording(feature: str) -> dict:
+    """One row of the wording table, from the column's name and the lists above."""
+    measure = window_measure(feature) or feature
+    window = feature[3 : feature.index("_")] if measure != feature else ""
+    noun, template = NOUNS.get(measure, ""), None
+    if window:
+        noun = f"Last {window} days: {noun}"
+    elif feature in TRENDS:
+        of, short, long = TRENDS[feature]
+        noun = f"Trend of {NOUNS[of]} over {short} against {long} days"
+        template = f"Daily {NOUNS[of]} of the last {short} days is {{v}} times that of {long} days"
+    behaviour = feature_group_of(feature) or ("recency" if feature == "log_has_logs" else None)
+    topic = f"log_{behaviour}" if behaviour else _listed(TOPICS, feature, None)
+    set_against_rest = measure in SPLITTABLE and window == str(CONTEXT_NARROW)
+    flag_on, flag_off = FLAGS.get(feature, (None, None))
+    return {
+        "feature": feature,
+        "meta_group": topic,
+        "horizon": EXPIRY if feature in ON_EXPIRY_DAY else SNAPSHOT if topic == "member" else SHIFTED,
+        "noun": noun,
+        "unit": _listed(UNITS, measure, ""),
+        "digits": _listed(DECIMALS, measure, 0),
+        "percent": measure in PERCENT,
+        "category": feature in CODES,
+        "template": template,
+        "flag_on": flag_on,
+        "flag_off": flag_off,
+        "context": f"log{CONTEXT_WIDE}_{measure}" if set_against_rest else None,
+        "is_log": feature.startswith("log"),
+    }
 
 
-def _log_meanings() -> dict[str, Meaning]:
-    out = {
-        "log_min_days_before": Meaning("log_recency", "Days since latest activity", "days"),
-        "log_max_days_before": Meaning("log_recency", "Days since earliest activity", "days"),
-        "log_has_logs": Meaning(
-            "log_recency",
-            f"Activity in the last {MAX_WINDOW} days",
-            flag=(
-                f"Active in the last {MAX_WINDOW} days",
-                f"No activity in the last {MAX_WINDOW} days",
-            ),
-        ),
-    }
-    for name, what, short, long in (
-        ("log_trend_7_30", "listening time", 7, 30),
-        ("log_trend_30_90", "listening time", 30, 90),
-        ("log_trend_active_7_30", "active days", 7, 30),
-    ):
-        out[name] = Meaning(
-            "log_trend",
-            f"Trend of {what} over {short} against {long} days",
-            digits=2,
-            template=f"Daily {what} of the last {short} days is {{v}} times that of {long} days",
-        )
-    for w in LOG_WINDOWS:
-        for measure, (group, noun, unit, digits, percent, additive) in _LOG_MEASURES.items():
-            with_context = additive and w == CONTEXT_NARROW
-            out[f"log{w}_{measure}"] = Meaning(
-                group,
-                f"Last {w} days: {noun}",
-                unit,
-                digits,
-                percent=percent,
-                context=f"log{CONTEXT_WIDE}_{measure}" if with_context else None,
-            )
-    return out
-
-
-MEANINGS: dict[str, Meaning] = {**_transaction_meanings(), **_log_meanings()}
-GROUPS: dict[str, str] = {f: m.group for f, m in MEANINGS.items()}
+WORDED = (*[f for names in TOPICS.values() for f in names], *log_columns())
+GROUPS: dict[str, str] = {f: wording(f)["meta_group"] for f in WORDED}
 GENDER_NAMES = {code: name for name, code in GENDER_CODES.items()}
 
 
 def missing_metadata(features: Iterable[str]) -> list[str]:
-    return [f for f in features if f not in MEANINGS]
+    return [f for f in features if f not in GROUPS]
 
 
 def feature_metadata(spark: SparkSession) -> DataFrame:
     """The wording as a table: one row per known feature, fixed in size."""
-    rows = [
-        (
-            f,
-            m.group,
-            m.horizon,
-            m.noun,
-            m.unit,
-            m.digits,
-            m.percent,
-            m.category,
-            m.template,
-            m.flag[0] if m.flag else None,
-            m.flag[1] if m.flag else None,
-            m.context,
-            f.startswith("log"),
-        )
-        for f, m in MEANINGS.items()
-    ]
     return spark.createDataFrame(
-        rows,
+        [tuple(wording(f).values()) for f in WORDED],
         "feature string, meta_group string, horizon string, noun string, unit string, digits int,"
         " percent boolean, category boolean, template string, flag_on string, flag_off string,"
         " context string, is_log boolean",
@@ -199,7 +171,7 @@ def feature_metadata(spark: SparkSession) -> DataFrame:
 
 def context_columns(df: DataFrame) -> list[str]:
     """Columns the renderer needs besides the explained value."""
-    wanted = sorted({m.context for m in MEANINGS.values() if m.context})
+    wanted = sorted({f"log{CONTEXT_WIDE}_{m}" for m in SPLITTABLE})
     return [c for c in [*wanted, "log_has_logs"] if c in df.columns]
 
 
@@ -346,10 +318,9 @@ def display_impact(marked: DataFrame) -> DataFrame:
         F.count_if(F.col("n_hidden") > 0).alias("affected_users"),
         (F.count_if(F.col("n_hidden") > 0) / F.count(F.lit(1))).alias("affected_share"),
     )
-    middle = marked.filter(hidden).agg(
-        F.percentile_approx("relative_to_top", F.lit(0.5), F.lit(100000))
-    ).scalar()
-    return people.withColumn("median_suppressed_share", middle)
+    counts = stage(value_counts(marked.filter(hidden), "relative_to_top"), "suppressed-shares")
+    middle = stage(exact_quantiles(counts, [0.5]).select("quantile"), "suppressed-median")
+    return people.withColumn("median_suppressed_share", middle.agg(F.max("quantile")).scalar())
 
 
 def expiry_dated_share(marked: DataFrame) -> DataFrame:

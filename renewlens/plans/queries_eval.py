@@ -1324,36 +1324,33 @@ def _q(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
 
-def _number(m: reasons.Meaning, x: str) -> str:
-    if m.percent:
-        return f"concat(format('{{:,.{m.digits}f}}', {x} * 100), '%')"
-    return f"format('{{:,.{m.digits}f}}', {x})"
+def _number(m: dict, x: str) -> str:
+    if m["percent"]:
+        return f"concat(format('{{:,.{m['digits']}f}}', {x} * 100), '%')"
+    return f"format('{{:,.{m['digits']}f}}', {x})"
 
 
 def _sentence(f: str) -> str:
     """SQL rendering of one feature's sentence, written per feature."""
-    m = reasons.MEANINGS[f]
-    if f.startswith("log"):
-        absent = (
-            f"CASE WHEN t.log_has_logs = 0 THEN 'No activity in the last 90 days'"
-            f" ELSE {_q(m.noun + ' is missing')} END"
-        )
-    else:
-        absent = _q(m.noun + " is missing")
-    tail = f" {m.unit}" if m.unit else ""
-    if m.flag:
-        body = f"CASE WHEN value >= 0.5 THEN {_q(m.flag[0])} ELSE {_q(m.flag[1])} END"
-    elif m.category:
+    m = reasons.wording(f)
+    noun, unit = m["noun"], m["unit"]
+    absent = _q(noun + " is missing")
+    if m["is_log"]:
+        absent = f"CASE WHEN t.log_has_logs = 0 THEN 'No activity in the last 90 days' ELSE {absent} END"
+    tail = f" {unit}" if unit else ""
+    if m["flag_on"]:
+        body = f"CASE WHEN value >= 0.5 THEN {_q(m['flag_on'])} ELSE {_q(m['flag_off'])} END"
+    elif m["category"]:
         body = (
-            f"CASE WHEN value = -1 THEN {_q(m.noun + ' is unknown')} WHEN value = 0 THEN"
-            f" {_q(m.noun + ' is male')} ELSE {_q(m.noun + ' is female')} END"
+            f"CASE WHEN value = -1 THEN {_q(noun + ' is unknown')} WHEN value = 0 THEN"
+            f" {_q(noun + ' is male')} ELSE {_q(noun + ' is female')} END"
         )
-    elif m.template:
-        body = f"replace({_q(m.template)}, '{{v}}', {_number(m, 'value')})"
+    elif m["template"]:
+        body = f"replace({_q(m['template'])}, '{{v}}', {_number(m, 'value')})"
     else:
-        body = f"concat({_q(m.noun + ' ')}, {_number(m, 'value')}, {_q(tail)})"
-    if m.context:
-        earlier = f"((CAST(t.{m.context} AS DOUBLE) - value) / 2.0)"
+        body = f"concat({_q(noun + ' ')}, {_number(m, 'value')}, {_q(tail)})"
+    if m["context"]:
+        earlier = f"((CAST(t.{m['context']} AS DOUBLE) - value) / 2.0)"
         body = (
             f"concat({body}, CASE WHEN {earlier} >= 0 THEN concat(' (average per 30 days over the"
             f" 60 days before: ', {_number(m, earlier)}, {_q(tail + ')')}) ELSE '' END)"
@@ -1361,9 +1358,7 @@ def _sentence(f: str) -> str:
     return f"CASE WHEN value IS NULL THEN {absent} ELSE {body} END"
 
 
-_HORIZON = " ".join(
-    f"WHEN '{f}' THEN '{reasons.MEANINGS[f].horizon}'" for f in _SCORER.features
-)
+_HORIZON = " ".join(f"WHEN '{f}' THEN '{reasons.wording(f)['horizon']}'" for f in _SCORER.features)
 _MARKED = O.block(
     "marked",
     f"""SELECT x.*, x.total / x.top_total AS relative_to_top, x.total / x.top_total >= 0.05 AS displayed,
@@ -1419,14 +1414,15 @@ def relative_to_top(src: Sources) -> DataFrame:
 @register(
     "display_impact",
     f"""SELECT candidates, displayed, suppressed, affected_users,
-  {r6('affected_users::DOUBLE / users', 'affected_share')} FROM (SELECT count(*) AS candidates,
+  {r6('affected_users::DOUBLE / users', 'affected_share')}, {r6('middle', 'median_suppressed_share')} FROM (SELECT count(*) AS candidates,
   count(*) FILTER (WHERE displayed) AS displayed, count(*) FILTER (WHERE NOT displayed) AS suppressed,
   count(DISTINCT CASE WHEN NOT displayed THEN user_id END) AS affected_users,
+  quantile_cont(CASE WHEN NOT displayed THEN relative_to_top END, 0.5) AS middle,
   count(DISTINCT user_id) AS users FROM {_MARKED}) x""",
     _MARKED,
 )
 def display_impact(src: Sources) -> DataFrame:
-    return reasons.display_impact(_marked(src)).drop("median_suppressed_share")
+    return reasons.display_impact(stage(_marked(src), "marked"))
 
 
 @register(
