@@ -30,7 +30,6 @@ from renewlens.session import stage
 from renewlens.sources.schemas import KEY
 
 ENCODED_COLUMN = "last_payment_method_id"
-FAST = {"maxIter": 5, "maxDepth": 3}
 
 
 def feature_names(table: DataFrame) -> list[str]:
@@ -183,6 +182,20 @@ def lead_time(
     }
 
 
+def long_report(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Several small result tables as one: part, name of the row, measure, value."""
+    out = None
+    for part, table in parts.items():
+        named = [c for c, kind in table.dtypes if kind == "string"]
+        numbers = [c for c, kind in table.dtypes if kind != "string"]
+        cells = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers]
+        rows = table.select(
+            F.lit(part).alias("part"), F.concat_ws("/", *named).alias("name"), F.explode(F.array(*cells)).alias("c")
+        ).select("part", "name", "c.measure", "c.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def fold_arms(
     parts: Mapping[str, DataFrame], *, k: int = 4, params: Mapping[str, Any] | None = None
 ) -> tuple[DataFrame, DataFrame]:

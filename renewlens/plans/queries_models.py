@@ -573,58 +573,45 @@ def keep_features(src: Sources) -> DataFrame:
 
 
 # --- Spark ML jobs (rows only) ---------------------------------------------
+#
+# All features, families, column sets, percentiles and folds, on all rows. The numbers of trials
+# and of label shuffles are settings of the experiments.
 
-_ML_FEATURES = (
-    "tenure_days",
-    "days_since_last_tx",
-    "n_tx",
-    "cancel_rate",
-    "mean_paid",
-    "last_is_auto_renew",
-    "price_per_day",
-    "last_payment_method_id",
-    "log90_active_days",
-    "log30_secs",
-)
-_FAST = {"gbt": jobs.FAST, "forest": {"numTrees": 5, "maxDepth": 3}, "logistic": {"maxIter": 10}}
-
+N_TRIALS, N_NULL, NULL_ROUNDS = 4, 5, 10
 
-def _small(src: Sources, spec) -> DataFrame:
-    return stage(
-        feature_table(src, spec).select("user_id", "is_churn", *_ML_FEATURES), f"ml-{spec.name}"
-    )
+def _table(src: Sources, spec) -> DataFrame:
+    """Key, label and all features of a cohort."""
+    return stage(feature_table(src, spec), f"ml-{spec.name}")
 
 
 def _rows(src: Sources) -> DataFrame:
-    return stage(split.split_three(_small(src, Q2)), "ml-split")
+    return stage(split.split_three(_table(src, Q2)), "ml-split")
 
 
 @register("fit_scorer")
 def fit_scorer(src: Sources) -> DataFrame:
     """Boosted scorer fitted on q2, applied to q3."""
-    fitted = models.fit_scorer(_rows(src), _ML_FEATURES, params=jobs.FAST)
-    return fitted.predict(_small(src, Q3)).select("user_id", "is_churn", "p")
+    rows = _rows(src)
+    fitted = models.fit_scorer(rows, jobs.feature_names(rows))
+    return fitted.predict(_table(src, Q3)).select("user_id", "is_churn", "p")
 
 
 @register("fit_candidates")
 def fit_candidates(src: Sources) -> DataFrame:
     """Three families on one split, compared on q3 with their mean ensemble."""
     rows = _rows(src)
-    valid = jobs.tagged_validation(rows, _small(src, Q3))
-    runs, _ = models.compare_candidates(rows, stage(valid, "valid"), _ML_FEATURES)
+    valid = jobs.tagged_validation(rows, _table(src, Q3))
+    runs, _ = models.compare_candidates(rows, stage(valid, "valid"), jobs.feature_names(rows))
     return runs
 
 
 @register("mean_ensemble")
 def mean_ensemble(src: Sources) -> DataFrame:
-    """Mean of two families' probabilities."""
+    """Mean of the families' probabilities."""
     rows = _rows(src)
-    fitted = [
-        models.fit_scorer(rows, _ML_FEATURES, family=f, params=_FAST[f])
-        for f in ("forest", "logistic")
-    ]
-    return models.mean_ensemble(_small(src, Q3), fitted).select(
-        "user_id", "p_forest", "p_logistic", "p_ensemble"
+    fitted = models.fit_candidates(rows, jobs.feature_names(rows))
+    return models.mean_ensemble(_table(src, Q3), fitted).select(
+        "user_id", *[f"p_{m.name}" for m in fitted], "p_ensemble"
     )
 
 
@@ -632,7 +619,7 @@ def mean_ensemble(src: Sources) -> DataFrame:
 def importance_table(src: Sources) -> DataFrame:
     """Gain per feature of the boosted scorer; unused features stay with 0."""
     rows = _rows(src)
-    fitted = models.fit_scorer(rows, _ML_FEATURES, params=jobs.FAST)
+    fitted = models.fit_scorer(rows, jobs.feature_names(rows))
     return fitted.importance(rows.sparkSession)
 
 
@@ -640,8 +627,8 @@ def importance_table(src: Sources) -> DataFrame:
 def train_baseline(src: Sources) -> DataFrame:
     """Loss of the baseline against the constant prediction."""
     rows = _rows(src)
-    valid = jobs.tagged_validation(rows, _small(src, Q3))
-    out = models.train_baseline(rows, valid, _ML_FEATURES, params=jobs.FAST, specs=(Q2, Q3))
+    valid = jobs.tagged_validation(rows, _table(src, Q3))
+    out = models.train_baseline(rows, valid, jobs.feature_names(rows), specs=(Q2, Q3))
     line = [(out.log_loss, out.constant_log_loss, out.improvement, out.beats_constant)]
     return rows.sparkSession.createDataFrame(
         line, "log_loss double, constant_log_loss double, improvement double, beats boolean"
@@ -651,92 +638,74 @@ def train_baseline(src: Sources) -> DataFrame:
 @register("cv_variance")
 def cv_variance(src: Sources) -> DataFrame:
     """Fold losses at fixed rounds."""
-    folds = stage(split.folds_stratified(_small(src, Q2), k=3), "cv")
-    return models.cv_summary(models.cv_variance(folds, _ML_FEATURES, params=jobs.FAST))
+    folds = stage(split.folds_stratified(_table(src, Q2)), "cv")
+    return models.cv_summary(models.cv_variance(folds, jobs.feature_names(folds)))
 
 
 @register("random_search")
 def random_search(src: Sources) -> DataFrame:
-    """Two sampled settings against the base, judged on the selection segment."""
+    """Sampled settings against the base, judged on the selection segment."""
     space = {
         "stepSize": {"type": "loguniform", "low": 0.02, "high": 0.3},
-        "maxDepth": {"type": "int", "low": 2, "high": 4},
+        "maxDepth": {"type": "int", "low": 2, "high": 5},
+        "minInstancesPerNode": {"type": "int", "low": 1, "high": 20},
     }
-    return models.random_search(
-        _rows(src), _ML_FEATURES, space, n_trials=2, base={"maxIter": 5}
-    )
+    rows = _rows(src)
+    return models.random_search(rows, jobs.feature_names(rows), space, n_trials=N_TRIALS)
 
 
 @register("null_importance")
 def null_importance(src: Sources) -> DataFrame:
     """Real and label-shuffled gains of the boosted scorer."""
-    actual, null = models.null_importance(_rows(src), _ML_FEATURES, rounds=3, n_runs=3)
+    rows = _rows(src)
+    actual, null = models.null_importance(rows, jobs.feature_names(rows), rounds=NULL_ROUNDS, n_runs=N_NULL)
     return experiments.null_summary(actual, null)
 
 
 @register("select_features_by_null_importance")
 def select_by_null(src: Sources) -> DataFrame:
     """Threshold sweep on the selection segment, winner and full set scored on q3."""
+    rows = _rows(src)
     return jobs.select_by_null_importance(
-        _rows(src),
-        _small(src, Q3),
-        _ML_FEATURES,
-        n_runs=2,
-        rounds=3,
-        percentiles=(50, 100),
-        params=jobs.FAST,
+        rows, _table(src, Q3), jobs.feature_names(rows), n_runs=N_NULL, rounds=NULL_ROUNDS
     )
 
 
 @register("ablation")
 def ablation(src: Sources) -> DataFrame:
     """Column sets against transactions only."""
-    return jobs.ablation(
-        _small(src, Q2),
-        _small(src, Q3),
-        params=jobs.FAST,
-        variants=("txn_only", "log_only", "all"),
-    )
+    return jobs.ablation(_table(src, Q2), _table(src, Q3))
 
 
 @register("multi_seed_runs")
 def multi_seed_runs(src: Sources) -> DataFrame:
-    """Paired comparison of two families over two seeds of the split."""
-    runs = jobs.multi_seed(
-        _small(src, Q2),
-        _small(src, Q3),
-        seeds=(1, 2),
-        families=("forest", "logistic"),
-        params=_FAST,
-    )
+    """Paired comparison of all families over the seeds of the split."""
+    runs = jobs.multi_seed(_table(src, Q2), _table(src, Q3), seeds=SEEDS)
     return experiments.multi_seed_paired(runs)
 
 
 @register("swap_directions")
 def swap_directions(src: Sources) -> DataFrame:
     """q2 to q3 and back: are the differences between families stable?"""
-    forward, reverse = jobs.swap_directions(
-        _small(src, Q2), _small(src, Q3), families=("forest", "logistic"), params=_FAST
-    )
+    forward, reverse = jobs.swap_directions(_table(src, Q2), _table(src, Q3))
     return experiments.reverse_validation(forward, reverse)
 
 
 @register("lead_time_models")
 def lead_time_models(src: Sources) -> DataFrame:
-    """Loss of the T=0 and the T-7 model on the users both can score."""
+    """The whole lead-time report in long form: own losses, losses on the users both versions can
+    score, who is lost, and how gains shift."""
     out = jobs.lead_time(
-        (_small(src, Q2), _small(src, Q3)),
-        (_small(src, Q2_T7), _small(src, Q3_T7)),
-        params=jobs.FAST,
+        (_table(src, Q2), _table(src, Q3)), (_table(src, Q2_T7), _table(src, Q3_T7))
     )
-    return out["common"]
+    return jobs.long_report(out)
 
 
 @register("fold_arm_models")
 def fold_arm_models(src: Sources) -> DataFrame:
     """Whole-user folds against ungrouped folds with refitted models."""
     grouped, control = jobs.fold_arms(
-        {"q2": _small(src, Q2), "q3": _small(src, Q3)}, k=2, params=jobs.FAST
+        {"q2": _table(src, Q2), "q3": _table(src, Q3)}
     )
     return experiments.grouped_vs_random(grouped, control)
 
@@ -744,15 +713,15 @@ def fold_arm_models(src: Sources) -> DataFrame:
 @register("target_encoding_experiment")
 def target_encoding_experiment(src: Sources) -> DataFrame:
     """Native codes, out-of-fold encoding and the three leaking controls."""
-    return jobs.target_encoding_experiment(_rows(src), _small(src, Q3), params=jobs.FAST)
+    return jobs.target_encoding_experiment(_rows(src), _table(src, Q3))
 
 
 @register("calibration_decision")
 def calibration_decision(src: Sources) -> DataFrame:
     """Calibrator fitted on cal, judged on sel."""
-    parts = {"q2": _small(src, Q2), "q3": _small(src, Q3)}
+    parts = {"q2": _table(src, Q2), "q3": _table(src, Q3)}
     rows = stage(split.split_four_group(split.merge_cohorts(parts)), "four")
-    fitted = models.fit_scorer(rows, _ML_FEATURES, params=jobs.FAST)
+    fitted = models.fit_scorer(rows, jobs.feature_names(rows))
     out = models.calibration_decision(fitted, rows)
     names = ("raw", "calibrated", "delta", "actual_rate", "mean_raw", "mean_calibrated")
     schema = ", ".join(f"{n} double" for n in names) + ", adopted boolean"
@@ -766,14 +735,14 @@ def model_bundle(src: Sources) -> DataFrame:
     """Save, verify, reload; scores of the reloaded model must be identical."""
     rows = _rows(src)
     spark = rows.sparkSession
-    fitted = models.fit_scorer(rows, _ML_FEATURES, params=jobs.FAST)
+    fitted = models.fit_scorer(rows, jobs.feature_names(rows))
     meta = jobs.bundle_metadata(
         Q2,
         Q3,
         train_churn_rate=float(rows.agg(F.avg("is_churn")).first()[0]),
         ltv_saved=600.0,
         params=BusinessParams(c_offer=50.0),
-        model_params=jobs.FAST,
+        model_params=models.DEFAULTS["gbt"],
     )
     path = f"{staging_root(spark)}/bundle-{uuid.uuid4().hex}"
     models.save_bundle(fitted, path, meta, spark)
