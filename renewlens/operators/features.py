@@ -108,8 +108,8 @@ def _category(name: str) -> str:
     return f"cast(coalesce({name}, {MISSING_CATEGORY}) as int) as {name}"
 
 
-def transaction_features(cohort: DataFrame) -> DataFrame:
-    """The 23 transaction and member columns (24 with a declared expiry)."""
+def transaction_features(cohort: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The 23 transaction and member columns (24 with a declared expiry), then ``keep`` as given."""
     require_columns(cohort, REQUIRED, "cohort table")
     paid, price = "last_actual_amount_paid", "last_plan_list_price"
     plan = "last_payment_plan_days"
@@ -147,13 +147,25 @@ def transaction_features(cohort: DataFrame) -> DataFrame:
         _category("last_payment_method_id"),
         f"case gender {genders} else {MISSING_CATEGORY} end as gender_code",
         *extra,
+        *keep,
     )
 
 
 def attach_logs(features: DataFrame, logs: DataFrame) -> DataFrame:
-    """Left join. Users without records get ``log_has_logs = 0`` and nulls, never zeros."""
+    """Left join. Users without records get ``log_has_logs = 0`` and nulls, never zeros.
+
+    A user with two log rows is an error: it would multiply rows of the feature table.
+    """
     require_columns(logs, [KEY, "cutoff", "log_has_logs"], "log features")
-    joined = features.join(logs.drop("cutoff"), KEY, "left")
+    values = [c for c in logs.columns if c not in (KEY, "cutoff")]
+    grouped = logs.groupBy(KEY).agg(
+        F.count("*").alias("n"), F.first(F.struct(*values)).alias("v")
+    )
+    once = F.when(F.col("n") == 1, F.col("v")).otherwise(
+        F.raise_error(F.concat(F.lit("several log rows for user "), F.col(KEY).cast("string")))
+    )
+    logs = grouped.select(KEY, once.alias("v")).select(KEY, "v.*")
+    joined = features.join(logs, KEY, "left")
     return joined.withColumn("log_has_logs", F.coalesce("log_has_logs", F.lit(0.0)))
 
 

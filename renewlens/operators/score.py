@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.operators.attribution import LinearScorer
-from renewlens.operators.features import attach_logs, transaction_features
+from renewlens.operators.features import transaction_features
 from renewlens.operators.guards import GuardViolation, require_columns
 from renewlens.operators.logs import log_columns
 from renewlens.operators.reasons import explain
@@ -43,23 +43,33 @@ def check_request(df: DataFrame, log_fields: Sequence[str] = ()) -> None:
 
 
 def rows_to_features(
-    requests: DataFrame, feature_order: Sequence[str], *, with_logs: bool = True
+    requests: DataFrame,
+    feature_order: Sequence[str],
+    *,
+    with_logs: bool = True,
+    allow_empty: bool = False,
 ) -> DataFrame:
-    """Requests through the same feature builder as the offline table.
+    """Requests through the same feature builder as the offline table, row by row.
 
-    Log fields are optional; what is not supplied is missing, never zero.
+    Log fields are optional; what is not supplied is missing, never zero. A log
+    field from after the cutoff and, unless allowed, an empty table are errors.
     """
+    if not allow_empty and requests.isEmpty():
+        raise ValueError("there are no requests to score")
     log_fields = log_columns() if with_logs else []
     check_request(requests, log_fields)
     given = [c for c in log_fields if c in requests.columns]
     shaped = requests.withColumn("is_churn", F.lit(None).cast("int")).withColumn(
         "in_members", F.col("city").isNotNull()
     )
-    features = transaction_features(shaped.drop(*given))
-    if with_logs:
-        known = [F.col(c).cast("double").alias(c) for c in given]
-        absent = [F.lit(None).cast("double").alias(c) for c in log_fields if c not in given]
-        features = attach_logs(features, requests.select(KEY, "cutoff", *known, *absent))
+    supplied = {c: F.col(c).cast("double") if c in given else F.lit(None).cast("double") for c in log_fields}
+    if log_fields:
+        latest = supplied["log_min_days_before"]
+        supplied["log_min_days_before"] = F.when(
+            latest < 0, F.raise_error(F.lit("a log field reaches past the cutoff")).cast("double")
+        ).otherwise(latest)
+        supplied["log_has_logs"] = F.coalesce(supplied["log_has_logs"], F.lit(0.0))
+    features = transaction_features(shaped.withColumns(supplied) if supplied else shaped, log_fields)
     missing = sorted(set(feature_order) - set(features.columns))
     extra = sorted(set(features.columns) - set(feature_order) - {KEY, "is_churn"})
     if missing or extra:
@@ -111,13 +121,14 @@ def score_table(
 ) -> DataFrame:
     """Score, threshold decision, value, nested reasons and warnings per user."""
     require_columns(features, scorer.features, "features")
-    base = scorer.score(features)
+    # A number per row keeps two requests of one user apart.
+    base = scorer.score(features).withColumn("request_no", F.monotonically_increasing_id())
     a = assumptions.select(
         F.struct("r_save", "c_offer", "ltv_saved", "p_star").alias("a")
     ).scalar()
     # The score rides along, and users without a reason keep a row, so one grouping on the
     # user rebuilds the whole answer.
-    reasons = explain(base, scorer, k=top_k, carry=["p"], keep_empty=True)
+    reasons = explain(base, scorer, k=top_k, carry=["p", "request_no"], keep_empty=True)
     cell = F.struct(
         "rank",
         "group",
@@ -131,7 +142,7 @@ def score_table(
         "suppression_reason",
     )
     joined = (
-        reasons.groupBy(KEY, "p")
+        reasons.groupBy(KEY, "p", "request_no")
         .agg(
             F.array_sort(F.collect_list(F.when(F.col("displayed"), cell))).alias("reasons"),
             F.array_sort(F.collect_list(F.when(~F.col("displayed"), cell))).alias("suppressed"),

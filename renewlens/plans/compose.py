@@ -18,7 +18,7 @@ from renewlens.operators.metrics import repeat_vs_new
 from renewlens.operators.reasons import audit_frame, explain, wide_reasons
 from renewlens.sources import demo
 from renewlens.sources.schemas import KEY, MAX_WINDOW
-from renewlens.sources.store import FeatureTableStore
+from renewlens.sources.store import FeatureTableStore, inputs_version
 
 
 class Sources:
@@ -146,7 +146,8 @@ def stored_feature_table(
     Guards run on the stored tables: building twice just to check would double
     the cost, and a stored table must be re-checked on every read anyway.
     """
-    params = {"spec": spec.__dict__, "windows": MAX_WINDOW}
+    read = inputs_version(src.transactions, src.members, src.logs)
+    params = {"spec": spec.__dict__, "windows": MAX_WINDOW, "inputs": read}
     data_end = src.transactions.agg(F.max("transaction_date")).first()[0]
     cohort = store.get_or_build(
         f"cohort_{spec.name}",

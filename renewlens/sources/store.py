@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -21,11 +22,19 @@ def params_version(params: Mapping[str, Any]) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:12]
 
 
+def inputs_version(*tables: DataFrame) -> str:
+    """Short hash of the files behind some tables: new or rewritten files give another one."""
+    files = sorted({f for t in tables for f in t.inputFiles()})
+    return hashlib.sha256("\n".join(files).encode()).hexdigest()[:12]
+
+
 class FeatureTableStore:
     """Tables under ``root/name/v=<version>`` with a one-row manifest beside the data.
 
-    The manifest is written only after the stored data passed its guards, so a
-    half-written or unchecked table is never mistaken for a finished one.
+    Every build goes to a folder of its own. The manifest names it and is written
+    last, after the stored data passed its guards, so a half-written or unchecked
+    table is never mistaken for a finished one and a rebuild leaves the old data
+    readable until it is published.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -47,8 +56,9 @@ class FeatureTableStore:
         self, name: str, params: Mapping[str, Any], df: DataFrame, check: Check | None = None
     ) -> DataFrame:
         path = self.path(name, params)
-        df.write.mode("overwrite").parquet(f"{path}/data")
-        stored = self.spark.read.schema(df.schema).parquet(f"{path}/data")
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.mode("error").parquet(f"{path}/{folder}")
+        stored = self.spark.read.schema(df.schema).parquet(f"{path}/{folder}")
         if check:
             check(stored)
         row = {
@@ -56,6 +66,7 @@ class FeatureTableStore:
             "version": params_version(params),
             "params": json.dumps(dict(params), sort_keys=True, default=str),
             "columns": json.dumps(df.columns),
+            "folder": folder,
         }
         self.spark.createDataFrame(
             [tuple(row.values())], ", ".join(f"{k} string" for k in row)
@@ -66,9 +77,10 @@ class FeatureTableStore:
         self, name: str, params: Mapping[str, Any], check: Check | None = None
     ) -> DataFrame | None:
         """A finished table of exactly this version; guards run again on it."""
-        if self.manifest(name, params) is None:
+        found = self.manifest(name, params)
+        if found is None:
             return None
-        stored = self.spark.read.parquet(f"{self.path(name, params)}/data")
+        stored = self.spark.read.parquet(f"{self.path(name, params)}/{found['folder']}")
         if check:
             check(stored)
         return stored

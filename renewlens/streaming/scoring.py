@@ -31,7 +31,7 @@ def score_batch(
     at_expiry: bool = True,
 ) -> DataFrame:
     """Requests -> decisions, with the warnings about each request."""
-    features = rows_to_features(requests, feature_order)
+    features = rows_to_features(requests, feature_order, allow_empty=True)
     return score_table(
         features, scorer, assumptions, at_expiry=at_expiry, warnings=request_warnings(requests)
     )

@@ -30,7 +30,7 @@ def rows(spark):
 
 
 def test_contributions_add_up(rows):
-    scored = SCORER.score(rows, digits=12)
+    scored = SCORER.score(rows)
     total = A.attribute(scored, SCORER).groupBy("user_id").agg((F.sum("shap") + F.max("base")).alias("z"))
     for r in scored.join(total, "user_id").collect():
         assert 1 / (1 + 2.718281828459045 ** -r["z"]) == pytest.approx(r["p"], abs=1e-9)
@@ -277,3 +277,42 @@ def test_streamed_requests_equal_batch(spark, cohort, tmp_path):
     streamed = {r["user_id"]: r["p"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = SC.score_table(SC.rows_to_features(req, order), FIXED_SCORER, assumptions(spark))
     assert streamed == {r["user_id"]: r["p"] for r in batch.collect()}
+
+
+def test_scores_keep_full_precision(spark):
+    """A probability of 3e-7 stays itself through scoring, loss, the submission check and calibration."""
+    import math
+
+    from renewlens.operators import calibration as C
+    from renewlens.operators.attribution import LinearScorer
+    from renewlens.operators.metrics import log_loss
+
+    z = math.log(3e-7 / (1 - 3e-7))
+    rows = spark.createDataFrame([("u1", 1, z), ("u2", 0, -z)], "user_id string, is_churn int, x double")
+    scored = LinearScorer(0.0, {"x": 1.0}).score(rows)
+    p = {r.user_id: r.p for r in scored.collect()}
+    assert p["u1"] == pytest.approx(3e-7, rel=1e-9) and p["u2"] == pytest.approx(1 - 3e-7, rel=1e-12)
+    assert scored.agg(log_loss()).first()[0] == pytest.approx(-math.log(3e-7), rel=1e-6)
+    SC.assert_submission(rows, scored.select("user_id", F.col("p").alias("is_churn")))
+    points = [(float(i % 2), 1e-7 * (1 + i)) for i in range(6)] + [(1.0, 1 - 1e-7)]
+    fitted = C.fit_isotonic(spark.createDataFrame(points, "is_churn double, p double"))
+    assert fitted.n_fit == 7 and len({x for x in fitted.model.boundaries}) > 2
+
+
+def test_two_requests_of_one_user_stay_two(cohort):
+    from renewlens.operators.features import transaction_features
+
+    req = requests_of(cohort.filter("user_id = 'u4'"))
+    names = [c for c in transaction_features(cohort).columns if c not in ("user_id", "is_churn")]
+    both = SC.rows_to_features(req.unionByName(req), names, with_logs=False)
+    assert both.count() == 2
+    with pytest.raises(ValueError, match="no requests"):
+        SC.rows_to_features(req.filter("false"), names, with_logs=False)
+
+
+def test_repeated_log_rows_are_refused(spark, cohort):
+    from renewlens.operators.features import attach_logs, transaction_features
+
+    logs = spark.createDataFrame([("u1", 20170301, 1.0)] * 2, "user_id string, cutoff int, log_has_logs double")
+    with pytest.raises(Exception, match="several log rows"):
+        attach_logs(transaction_features(cohort), logs).collect()

@@ -143,7 +143,7 @@ def test_paired_comparison(spark):
     table = runs(spark, *[(s, "a", 0.15 + s * 0.01) for s in range(8)], *[(s, "b", 0.153 + s * 0.01 + (s % 2) * 1e-4) for s in range(8)])
     r = X.multi_seed_paired(table).first()
     assert (r["model_a"], r["n_seeds"], r["a_wins"], r["b_wins"], r["verdict"]) == ("a", 8, 8, 0, "trusted")
-    assert r["hi"] - r["mean_diff"] == pytest.approx(2.3646 * r["sigma"] / 8**0.5)
+    assert r["hi"] - r["mean_diff"] == pytest.approx(2.364624251592784 * r["sigma"] / 8**0.5)
     close = runs(spark, (1, "a", 0.1), (2, "a", 0.2), (1, "b", 0.2), (2, "b", 0.1))
     assert X.multi_seed_paired(close).first()["verdict"] == "undecided"
 
@@ -184,3 +184,18 @@ def test_only_compliant_encodings_may_win(spark):
         "label string, compliant boolean, valid_log_loss double",
     )
     assert [r["label"] for r in X.encoding_variants_report(table).filter("best_compliant").collect()] == ["oof"]
+
+
+def test_t_quantiles():
+    """Table values of Student's t, and the expansion beyond the table."""
+    from renewlens.operators.experiments import t_critical
+
+    known = {1: 12.7062, 2: 4.3027, 9: 2.2622, 11: 2.2010, 17: 2.1098, 25: 2.0595, 60: 2.0003, 120: 1.9799}
+    assert {k: round(t_critical(k), 4) for k in known} == known
+
+
+def test_critical_values_have_no_holes(spark):
+    from renewlens.operators.experiments import t_critical, t_critical_column
+
+    rows = spark.range(1, 200).select("id", t_critical_column(F.col("id")).alias("t")).collect()
+    assert all(abs(r.t - t_critical(r.id)) < 1e-5 for r in rows)
