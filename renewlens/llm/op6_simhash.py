@@ -249,7 +249,8 @@ def near_duplicates(prints: DataFrame, *, radius: int = RADIUS, group: int = GRO
     labels = distinct.join(member.join(low, "root"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "low").alias("component_id")
     )
-    return prints.join(labels, "fp")
+    # written first, so that both sides of the join are plain shuffles and a hot fingerprint is split
+    return prints.join(stage(labels, "labels"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
