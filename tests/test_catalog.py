@@ -17,6 +17,9 @@ SOME = (
     "aggregate_asof build_features build_features_fixed build_labels row_index_per_user"
     " split_four_group target_encode_oof roc_auc reliability_curve campaign_curve"
     " sensitivity_grid psi_table noise_floor audit_frame rows_to_features data_contract"
+    " seed_runs multi_seed_paired reverse_validation direction_table comparison_table threshold_sweep"
+    " before_after grouped_vs_random_arms display_impact calibration_summary segment_report score_table"
+    " attach_logs"
 ).split()
 CHOSEN = sorted(catalog.ORACLES) if os.environ.get("ALL_QUERIES") else SOME
 
