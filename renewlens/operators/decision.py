@@ -185,7 +185,10 @@ def optimal_point(curve: DataFrame, by: str = "expected_net") -> DataFrame:
     """The curve row with the largest value, the smallest K on ties."""
     if by not in curve.columns:
         raise KeyError(f"curve has no column {by!r}")
-    return argmax_row(curve, by, "k")
+    points = stage(curve, "curve")
+    if points.isEmpty():
+        raise ValueError("an empty curve has no optimal point")
+    return argmax_row(points, by, "k")
 
 
 def campaign_by_segment(

@@ -49,7 +49,7 @@ def slim(src: Sources) -> DataFrame:
 
 def merged(src: Sources) -> DataFrame:
     parts = {s.name: cutoff_table(src, s).select("user_id", "is_churn") for s in (Q2, Q3)}
-    return split.merge_cohorts(parts, check=False)
+    return split.merge_cohorts(parts)
 
 
 def assumptions(src: Sources) -> DataFrame:
@@ -185,7 +185,7 @@ FROM {_MERGED} m JOIN grank g ON g.user_id = m.user_id""",
     "split_four_group", f"SELECT user_id, {ints('is_churn')}, cohort, segment FROM four", "four"
 )
 def split_four(src: Sources) -> DataFrame:
-    return split.split_four_group(merged(src), check=False)
+    return split.split_four_group(merged(src))
 
 
 @register(
@@ -195,7 +195,7 @@ def split_four(src: Sources) -> DataFrame:
     "four",
 )
 def segment_assign(src: Sources) -> DataFrame:
-    return split.split_summary(split.split_four_group(merged(src), check=False))
+    return split.split_summary(split.split_four_group(merged(src)))
 
 
 @register(

@@ -329,3 +329,11 @@ def test_noise_floor_is_small_and_shared(spark):
     assert 0 < row["psi_mean"] < 0.05 and row["rounds"] == 3 and row["psi_max"] >= row["psi_mean"]
     with pytest.raises(ValueError):
         DR.noise_floor(df, ["x"], rounds=1)
+
+
+def test_empty_curve_has_no_optimum(spark):
+    from renewlens.operators.decision import optimal_point
+
+    empty = spark.createDataFrame([], "k double, expected_net double")
+    with pytest.raises(ValueError, match="empty curve"):
+        optimal_point(empty)
