@@ -3,10 +3,11 @@
 A page is cut into text blocks, each with its root-to-leaf path of block elements (with their first
 class). Per path, text length and punctuation are summed over its blocks; the length per block and
 the punctuation per block are fused, smoothed along the page, and paths above a threshold set by the
-page's own mean and deviation are content. The element that holds the selected text is the root of
-the article: all of its blocks are taken, in page order, but for those inside elements that say by
-their tag, role, class or id that they are not the article (menus, headers, footers, sidebars,
-notices, adverts, forms, comments).
+page's own mean and deviation are content: every block with such a path is taken, wherever it stands.
+Blocks under the threshold (headings, short lines) join them if their container holds selected text,
+if they are in an article or main element that does, or if they stand between selected blocks.
+Elements that say by their tag, role, class or id that they are not the article (menus, headers,
+footers, sidebars, notices, adverts, forms, comments) are left out first.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by line feeds. Line breaks (br) are white space inside a block.
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from renewlens.llm.common import str_texts, table
 
 SMOOTH = (0.25, 0.5, 1.0, 0.5, 0.25)  # weights of a block's neighbours along the page
-MOST = 0.8  # share of the selected text that the root element holds
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -52,6 +52,12 @@ _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var".split()
 )
+_PAGE = {"", "html", "body"}
+# Elements that are text or parts of it; all others are containers.
+_TEXT = set(
+    "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr td th figure"
+    " figcaption address details summary".split()
+)
 _NOT_ARTICLE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "fieldset", "head"}
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _WORDS = set(
@@ -74,12 +80,14 @@ _SCOPE = set("table ul ol dl div section article main body html td th blockquote
 class Element:
     tag: str
     path: int  # number of its root-to-leaf tag path
-    depth: int
     outside: bool  # not part of an article
     inside: bool  # in an article or main element
     parent: Element | None
-    kept: int = 0  # characters selected inside
-    taken: bool = False  # in the root of the article
+    first: int | float = math.inf  # numbers of the first and last selected block inside
+    last: int = -1
+    direct: bool = False  # hosts selected text itself
+    host: Element | None = None  # the container around, or itself
+    holder: Element | None = None  # the innermost element around that holds selected text
 
 
 @dataclass
@@ -116,7 +124,7 @@ def _outside(tag: str, attrs: str, parent: Element | None) -> bool:
 
 def blocks(page: str) -> tuple[list[Block], list[Element]]:
     """Text blocks of a page in order, and its block elements, parents first."""
-    root = Element("", 0, 0, False, False, None)
+    root = Element("", 0, False, False, None)
     elements, paths = [root], {(-1, ""): 0}
     stack, out, text, links, in_link = [root], [], [], 0, 0
     at, low, n = 0, None, len(page)
@@ -173,7 +181,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         name = tag + (f".{first[1]}" if first else "")
         path = paths.setdefault((up.path, name), len(paths))
         inside = up.inside or tag in ("article", "main")
-        elements.append(Element(tag, path, up.depth + 1, _outside(tag, attrs, up), inside, up))
+        elements.append(Element(tag, path, _outside(tag, attrs, up), inside, up))
         stack.append(elements[-1])
     flush()
     return out, elements
@@ -212,26 +220,29 @@ def extract(page: str) -> str:
     candidates = [b for b in found if not b.element.outside]
     if not candidates:
         return ""
-    paths, total = _selected(candidates), 0
-    for b in candidates:
+    paths = _selected(candidates)
+    for i, b in enumerate(candidates):
         if b.element.path in paths:
-            b.element.kept += len(b.text)
-            total += len(b.text)
+            b.element.first, b.element.last = min(i, b.element.first), i
+    for e in elements:  # parents first
+        up = e.parent
+        e.host = e if up is None or e.tag not in _TEXT else up.host
+        e.host.direct = e.host.direct or e.last >= 0
     for e in reversed(elements):
         if e.parent is not None:
-            e.parent.kept += e.kept
-    holders = [e for e in elements if e.kept >= MOST * total]
-    named = [e for e in holders if e.tag in ("article", "main")]
-    # the innermost article or main that holds the text; else the innermost element at all
-    root = max(named or [e for e in holders if e.tag != "p"], key=lambda e: e.depth)
+            e.parent.first, e.parent.last = min(e.first, e.parent.first), max(e.last, e.parent.last)
     for e in elements:
-        e.taken = e is root or e.parent is not None and e.parent.taken
-    body = bool(named) or root.tag not in ("", "html", "body")
-    return "\n".join(
-        b.text
-        for b in candidates
-        if b.element.taken and (body or b.element.path in paths or b.links * 2 < len(b.text))
-    )
+        e.holder = e if e.last >= 0 or e.parent is None else e.parent.holder
+    return "\n".join(b.text for i, b in enumerate(candidates) if b.element.path in paths or _joins(b, i))
+
+
+def _joins(b: Block, i: int) -> bool:
+    """Whether a block under the threshold belongs to the selected ones around it."""
+    e = b.element
+    host, holder = e.host, e.holder
+    if host.direct or host.last >= 0 and host.tag not in _PAGE or holder.inside:
+        return True
+    return b.links * 2 < len(b.text) and (holder.first < i < holder.last or e.tag == "h1")
 
 
 def extract_pages(pages: DataFrame, *, html: str = "html") -> DataFrame:

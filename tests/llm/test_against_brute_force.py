@@ -370,6 +370,29 @@ def test_html_boilerplate_and_broken_markup():
     assert len(extract("<div>" * 20_000 + "x")) == 1 and extract("<p " + 'a="b ' * 20_000)
 
 
+_LONG = "Words of the article, more of them, and then some; it goes on, as texts do. "
+
+
+@pytest.mark.parametrize(
+    "holder",
+    ["<ul><li>{0}<li>{0}</ul>", "<pre>{0}</pre>", "<blockquote>{0}</blockquote>", "<table><tr><td>{0}</table>", "<ul><li>{0}{0}</ul>"],
+)
+def test_html_text_around_its_largest_element(holder):
+    from renewlens.llm.op8_html import extract
+
+    got = extract(f"<body><div><h1>T</h1><p>An intro.</p>{holder.format(_LONG * 8)}<p>The end.</p></div></body>").split("\n")
+    assert got[:2] == ["T", "An intro."] and got[-1] == "The end." and len(got) > 3
+
+
+@pytest.mark.parametrize("tag", ["div class=part1|div class=part2", "article|article", "article|section"])
+def test_html_text_in_two_parts(tag):
+    from renewlens.llm.op8_html import extract
+
+    one, two = tag.split("|")
+    page = f"<body><{one}>" + f"<p>{_LONG * 2}</p>" * 17 + f"</{one.split()[0]}><{two}>" + f"<p>{_LONG * 2}</p>" * 3
+    assert len(extract(page + f"</{two.split()[0]}></body>").split("\n")) == 20
+
+
 def test_toxicity_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     from renewlens.llm.op7_toxicity import fit, score
