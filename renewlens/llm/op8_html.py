@@ -6,8 +6,9 @@ the punctuation per block are fused, smoothed along the page, and paths above a
 page's own mean and deviation are content: every block with such a path is taken, wherever it stands.
 Blocks under the threshold (headings, short lines) join them if their container holds selected text,
 if they are in an article or main element that does, or if they stand between selected blocks.
-Elements that say by their tag, role, class or id that they are not the article (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) are left out first.
+Elements that say by their tag, role, whole class or whole id that they are not the article (menus,
+headers, footers, sidebars, notices, adverts, comments) are left out first, unless they hold most of the
+text; so are the controls of a form, in which nothing joins.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by line feeds. Line breaks (br) are white space inside a block.
@@ -58,7 +59,8 @@ _TEXT = set(
     "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote table caption thead tbody tfoot tr td th figure"
     " figcaption address details summary".split()
 )
-_NOT_ARTICLE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "fieldset", "head"}
+_NOT_ARTICLE = {"nav", "aside", "footer", "menu", "dialog", "button", "select", "datalist", "optgroup", "option", "head"}
+_FORMS = {"form", "fieldset"}
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent"
@@ -67,7 +69,11 @@ _WORDS = set(
     " social related recommended recommendations widget toolbar pagination pager login search skip copyright"
     " disclaimer".split()
 )
-_ARTICLE_WORDS = {"article", "entry", "post", "content", "story"}
+# Parts of a class or id that say where or how something is, not what.
+_PLACES = set(
+    "area bar block box bottom container group home inner item items left link links list main outer page panel"
+    " primary right section secondary site slot text top unit wrap wrapper".split()
+)
 # What a start tag closes when it is open.
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -76,13 +82,20 @@ _CLOSES = {
 _SCOPE = set("table ul ol dl div section article main body html td th blockquote aside nav header footer form".split())
 
 
+NEVER, WORDED, FORM = 1, 2, 3  # kinds of marks
+
+
 @dataclass
 class Element:
     tag: str
     path: int  # number of its root-to-leaf tag path
-    outside: bool  # not part of an article
-    inside: bool  # in an article or main element
+    mark: int  # how it says that it is not part of an article
+    top: Element | None  # the outermost article or main element around, or itself
     parent: Element | None
+    outside: bool = False  # not part of the article
+    form: bool = False  # in a form: only what passes the threshold is text
+    size: int = 0  # characters inside
+    size_named: int = 0  # of these, those in an article or main element
     first: int | float = math.inf  # numbers of the first and last selected block inside
     last: int = -1
     direct: bool = False  # hosts selected text itself
@@ -97,34 +110,62 @@ class Block:
     links: int
 
 
-def _outside(tag: str, attrs: str, parent: Element | None) -> bool:
-    if parent is not None and parent.outside:
-        return True
+def _mark(tag: str, attrs: str, inside: bool) -> int:
+    """How an element says by itself that it is not part of an article; ``inside`` an article or main, a header is."""
     if tag in _NOT_ARTICLE:
-        return True
-    inside = parent is not None and parent.inside  # a header inside an article is part of it
+        return NEVER
     if tag == "header":
-        return not inside
+        return 0 if inside else WORDED
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return FORM if tag in _FORMS else 0
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return WORDED
         if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id"):
-            parts = {w.lower() for w in _NAME_PART.findall(value)}
-            if parts & _WORDS or "header" in parts and not inside and not parts & _ARTICLE_WORDS:
-                return True
+            return WORDED
+        if name in ("class", "id") and any(_tells(token, inside) for token in value.split()):
+            return WORDED
         if name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-    return False
+            return WORDED
+    return FORM if tag in _FORMS else 0
+
+
+def _tells(token: str, inside: bool) -> bool:
+    """Whether a whole class or id is made of words for what is not the article."""
+    parts = {w.lower() for w in _NAME_PART.findall(token)} - _PLACES
+    return bool(parts) and parts <= (_WORDS if inside else _WORDS | {"header"})
+
+
+def _exclude(found: list[Block], elements: list[Element]) -> None:
+    """Settle which elements are not part of the article. An element with most of the text of the page's
+    articles (of the article it is in; of a page without any) is never left out."""
+    for b in found:
+        b.element.size += len(b.text)
+        if b.element.top is not None:
+            b.element.size_named += len(b.text)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.size += 0 if e.mark == NEVER and not e.size_named else e.size
+            e.parent.size_named += e.size_named
+    page, named = elements[0], any(e.top is not None for e in elements)
+    for e in elements:  # parents first
+        up = e.parent
+        if up is None:
+            continue
+        if e.mark and e.top is None and named or e.mark == NEVER:
+            most = 0 < page.size_named <= 2 * e.size_named and e.top is None
+        else:
+            whole = page if e.top is None else e.top
+            most = 0 < whole.size <= 2 * e.size
+        mark = 0 if most else e.mark
+        e.outside = up.outside or mark in (NEVER, WORDED)
+        e.form = up.form or mark == FORM
 
 
 def blocks(page: str) -> tuple[list[Block], list[Element]]:
     """Text blocks of a page in order, and its block elements, parents first."""
-    root = Element("", 0, False, False, None)
+    root = Element("", 0, 0, None, None)
     elements, paths = [root], {(-1, ""): 0}
     stack, out, text, links, in_link = [root], [], [], 0, 0
     at, low, n = 0, None, len(page)
@@ -180,10 +221,13 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         first = re.search(r"class\s*=\s*[\"']?([\w-]+)", attrs) if attrs else None
         name = tag + (f".{first[1]}" if first else "")
         path = paths.setdefault((up.path, name), len(paths))
-        inside = up.inside or tag in ("article", "main")
-        elements.append(Element(tag, path, _outside(tag, attrs, up), inside, up))
-        stack.append(elements[-1])
+        e = Element(tag, path, _mark(tag, attrs, up.top is not None), up.top, up)
+        if e.top is None and tag in ("article", "main"):
+            e.top = e
+        elements.append(e)
+        stack.append(e)
     flush()
+    _exclude(out, elements)
     return out, elements
 
 
@@ -239,8 +283,10 @@ def extract(page: str) -> str:
 def _joins(b: Block, i: int) -> bool:
     """Whether a block under the threshold belongs to the selected ones around it."""
     e = b.element
+    if e.form:
+        return False
     host, holder = e.host, e.holder
-    if host.direct or host.last >= 0 and host.tag not in _PAGE or holder.inside:
+    if host.direct or host.last >= 0 and host.tag not in _PAGE or holder.top is not None:
         return True
     return b.links * 2 < len(b.text) and (holder.first < i < holder.last or e.tag == "h1")
 

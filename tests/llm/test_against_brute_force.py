@@ -393,6 +393,31 @@ def test_html_text_in_two_parts(tag):
     assert len(extract(page + f"</{two.split()[0]}></body>").split("\n")) == 20
 
 
+@pytest.mark.parametrize(
+    "wrapper, inner",
+    [
+        ("div class='layout has-sidebar'", "article"),
+        ("div id='page-with-nav'", "article"),
+        ("div class='social-science'", "div"),
+        ("form action=x", "article"),
+        ("form action=x", "div"),
+        ("div class=sidebar", "main"),
+        ("div class=modal", "div"),
+        ("div hidden", "article"),
+        ("article", "div class=notice"),
+    ],
+)
+def test_html_wrappers_with_boilerplate_names(wrapper, inner):
+    from renewlens.llm.op8_html import extract
+
+    page = (
+        f"<body><nav>Menu</nav><{wrapper}><{inner}><h1>T</h1><p>{_LONG}</p><p>{_LONG}</p></{inner.split()[0]}>"
+        f"<select><option>one<option>two</select><button>Go</button></{wrapper.split()[0]}>"
+        "<div class='comments-area'>Nice!</div><footer>Copy</footer></body>"
+    )
+    assert extract(page) == f"T\n{_LONG.strip()}\n{_LONG.strip()}"
+
+
 def test_toxicity_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     from renewlens.llm.op7_toxicity import fit, score
