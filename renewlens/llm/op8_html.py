@@ -5,7 +5,8 @@ class). Per path, text length and punctuation are summed over its blocks; the le
 the punctuation per block are fused, smoothed along the page, and paths above a threshold set by the
 page's own mean and deviation are content: every block with such a path is taken, wherever it stands.
 Blocks under the threshold (headings, short lines) join them if their container holds selected text,
-if they are in an article or main element that does, or if they stand between selected blocks.
+if they are in an article or main element that does, or if they stand between selected blocks; lists of
+links never do.
 Elements that say by their tag, role, whole class or whole id that they are not the article (menus,
 headers, footers, sidebars, notices, adverts, comments) are left out first, unless they hold most of the
 text; so are the controls of a form, in which nothing joins.
@@ -53,6 +54,7 @@ _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var".split()
 )
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PAGE = {"", "html", "body"}
 # Elements that are text or parts of it; all others are containers.
 _TEXT = set(
@@ -255,7 +257,9 @@ def _selected(found: list[Block]) -> set[int]:
     mean = sum(raw) / len(raw)
     deviation = math.sqrt(sum((r - mean) ** 2 for r in raw) / len(raw))
     threshold = min(max(mean - deviation, mean / 2), max(values.values()))
-    return {p for p, v in values.items() if v >= threshold}
+    high, lists = {p for p, v in values.items() if v >= threshold}, _link_lists(found)
+    # smoothing lifts a list of links beside long text, but does not make it text
+    return {p for p in high if p not in lists or ratio[p] >= threshold} or high
 
 
 def extract(page: str) -> str:
@@ -277,7 +281,22 @@ def extract(page: str) -> str:
             e.parent.first, e.parent.last = min(e.first, e.parent.first), max(e.last, e.parent.last)
     for e in elements:
         e.holder = e if e.last >= 0 or e.parent is None else e.parent.holder
-    return "\n".join(b.text for i, b in enumerate(candidates) if b.element.path in paths or _joins(b, i))
+    lists = _link_lists(candidates) - paths
+    return "\n".join(
+        b.text
+        for i, b in enumerate(candidates)
+        if b.element.path in paths or b.element.path not in lists and _joins(b, i)
+    )
+
+
+def _link_lists(found: list[Block]) -> set[int]:
+    """Paths of several blocks, headings apart, with half of their text or more in links."""
+    sums: dict[int, list[int]] = {}
+    for b in found:
+        if b.element.tag not in _HEADINGS:
+            s = sums.setdefault(b.element.path, [0, 0, 0])
+            s[0], s[1], s[2] = s[0] + len(b.text), s[1] + b.links, s[2] + 1
+    return {p for p, (c, k, n) in sums.items() if n > 1 and 2 * k >= c}
 
 
 def _joins(b: Block, i: int) -> bool:

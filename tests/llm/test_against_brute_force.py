@@ -418,6 +418,20 @@ def test_html_wrappers_with_boilerplate_names(wrapper, inner):
     assert extract(page) == f"T\n{_LONG.strip()}\n{_LONG.strip()}"
 
 
+@pytest.mark.parametrize("holder", ["article", "main", "div", "div class=x1"])
+def test_html_link_lists_without_names(holder):
+    from renewlens.llm.op8_html import extract
+
+    page = (
+        f"<body><div>Some site</div><{holder}><h1><a href=/>T</a></h1><p>{_LONG}</p><h2>Part</h2><p>{_LONG}</p>"
+        f"<ul><li>a point<li>a <a href=/c>second</a> point</ul><p>{_LONG}</p>"
+        "<div><div><a href=/1>Ten more things</a></div><div><a href=/2>You will not believe it</a></div></div>"
+        f"</{holder.split()[0]}><div>Reserved</div></body>"
+    )
+    one = _LONG.strip()
+    assert extract(page) == f"T\n{one}\nPart\n{one}\na point\na second point\n{one}"
+
+
 def test_toxicity_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     from renewlens.llm.op7_toxicity import fit, score
