@@ -6,8 +6,9 @@ p = 1 - (1 - leak) * prod(1 - score). Only documents are labelled; the fit maxim
 likelihood of those labels, and the fitted sentence scores locate the offending sentences.
 
 Fitting uses at most ``SAMPLE`` labelled documents (those first in hash order, none of the held-out
-fifth). Copies of a text count once: documents that share the smallest hash of three successive words
-form one bag, clean if any of them is. A word becomes a feature if its share of toxic bags is higher than the
+fifth). Copies of a text count once: documents with the same words in the same order form one bag, clean if
+any of them is; of documents of one label with a Jaccard index of ``ALIKE`` or more over runs of three words,
+found by min-hashes and then compared, the first is the bag. A word becomes a feature if its share of toxic bags is higher than the
 base rate beyond chance, by a Chernoff bound multiplied by the number of words tried. Every
 document is scored whole.
 
@@ -37,6 +38,8 @@ FEATURES = 4096  # most words kept
 SURE = 3.0  # nats beyond the bound for all words tried
 BIAS = -14.0  # a sentence without features adds under one in a million
 FOLDS = 5
+BANDS, ROWS = 16, 4  # groups of min-hashes, and min-hashes in each
+ALIKE = 0.8  # Jaccard index of near copies
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -74,11 +77,24 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _bag(text: str) -> tuple[int, list[str]]:
-    """Smallest hash of three successive words, and the distinct words of a text."""
-    words = _WORD.findall(text.lower())
+def _runs(words: list[str]) -> np.ndarray:
+    """Distinct hashes of three successive words."""
     runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
-    return min(xxhash.xxh64_intdigest(" ".join(r)) >> 1 for r in runs), sorted(set(words))
+    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(r)) for r in runs], np.uint64))
+
+
+_MIX = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+
+
+def _bands(runs: np.ndarray) -> list[int]:
+    """Keys of groups of min-hashes; texts that are much alike share one almost surely."""
+    low = np.array([(runs * (2 * a + np.uint64(1)) + b).min() for a, b in _MIX.T], np.uint64).reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(x.tobytes(), seed=i) >> 1 for i, x in enumerate(low)]
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= ALIKE * (len(a) + len(b) - both)
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -94,15 +110,60 @@ def _train_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [_bag(t) for t in str_texts(b.column(1))]
+        keys = [xxhash.xxh128_hexdigest(" ".join(_WORD.findall(t.lower()))) for t in str_texts(b.column(1))]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], names=["toxic", "text", "copy"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bands = [_bands(_runs(_WORD.findall(t.lower()))) for t in str_texts(b.column(1))]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))],
-            names=["toxic", "bag", "words"],
+            [b.column(0), b.column(2), pa.array(bands, pa.list_(pa.int64()))], names=["toxic", "copy", "bands"]
         )
 
 
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, runs = None, None
+    for b in batches:
+        same = []
+        for t, first in zip(str_texts(b.column(2)), str_texts(b.column(3))):
+            if first != last:
+                last, runs = first, _runs(_WORD.findall(first.lower()))
+            same.append(_alike(_runs(_WORD.findall(t.lower())), runs))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["copy", "first"]).filter(pa.array(same, pa.bool_()))
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(toxic, text, copy) of ``rows`` (toxic, text), every text once."""
+    texts = stage(
+        rows.mapInArrow(_keyed, "toxic int, text string, copy string")
+        .groupBy("copy")
+        .agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+        .select("toxic", "text", "copy"),
+        "distinct-texts",
+    )
+    bands = texts.mapInArrow(_banded, "toxic int, copy string, bands array<bigint>")
+    bands = stage(bands.select("toxic", "copy", F.explode("bands").alias("band")), "bands")
+    groups = bands.groupBy("toxic", "band").agg(F.min("copy").alias("first"), F.count("*").alias("n"))
+    # at most BANDS rows for each of ``sample`` documents; a text is compared with the first of its groups only
+    pairs = bands.join(F.broadcast(groups.where("n > 1").drop("n")), ["toxic", "band"]).where("copy != first")
+    pairs = pairs.select("copy", "first").distinct()
+    pairs = pairs.join(texts.select("copy", F.col("text").alias("t")), "copy")
+    pairs = pairs.join(texts.select(F.col("copy").alias("first"), F.col("text").alias("f")), "first")
+    links = stage(pairs.select("copy", "first", "t", "f").mapInArrow(_confirmed, "copy string, first string"), "copies")
+    # a text goes only if one that stays is like it: chains of copies do not carry on
+    again = links.join(links.select(F.col("copy").alias("first")).distinct(), "first", "left_anti")
+    return texts.join(again.select("copy").distinct(), "copy", "left_anti").select("toxic", "text", "copy")
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [sorted(set(_WORD.findall(t.lower()))) for t in str_texts(b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.string()))], names=["toxic", "words"])
+
+
 def _features(bags: DataFrame, limit: int) -> list[str]:
     total = bags.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     if not total.n or not total.k or total.k == total.n:
@@ -135,27 +196,20 @@ def _hits(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.Re
                     if ids and ids not in rows:
                         rows.append(ids)
             found.append(rows)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([_bag(t)[0] for t in str_texts(b.column(1))], pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int32())))],
-            names=["toxic", "bag", "hits"],
-        )
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["toxic", "hits"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, features: int = FEATURES) -> Toxicity:
     """Fit on at most ``sample`` labelled documents outside the held-out fifth."""
-    rows = stage(_train_rows(docs, labels, sample), "labelled")
-    bags = rows.mapInArrow(_bags, "toxic int, bag bigint, words array<string>")
-    bags = stage(
-        bags.groupBy("bag").agg(F.min_by("words", "toxic").alias("words"), F.min("toxic").alias("toxic")), "bags"
-    )
+    rows = stage(distinct_texts(_train_rows(docs, labels, sample)), "labelled")
+    bags = stage(rows.mapInArrow(_bags, "toxic int, words array<string>"), "bags")
     words = _features(bags, features)
     total = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     if not total.n:
         return Toxicity()
     if not words:
         return Toxicity({}, min(total.k / total.n, 0.49))
-    hits = rows.mapInArrow(lambda it: _hits(it, words), "toxic int, bag bigint, hits array<array<int>>")
-    hits = hits.groupBy("bag").agg(F.min_by("hits", "toxic").alias("hits"), F.min("toxic").alias("toxic"))
+    hits = rows.mapInArrow(lambda it: _hits(it, words), "toxic int, hits array<array<int>>")
     # at most ``sample`` documents, of each only its distinct sets of feature words per sentence
     found = hits.where(F.size("hits") > 0).select("toxic", "hits").collect()
     return _maximise(words, [(r.toxic, r.hits) for r in found], total.n, total.k)

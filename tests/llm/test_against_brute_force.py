@@ -445,3 +445,31 @@ def test_toxicity_on_held_out_documents(spark):
     assert held and wrong <= 0.1 * len(held)
     for r in score(docs, model).collect():
         assert 0 <= r.score <= 1 and (r.score < 0.5 or r.sentences)
+
+
+def _texts(count, size):
+    """Texts without common words."""
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    return [" ".join("w" + letters(n * size + i) for i in range(size)) for n in range(count)]
+
+
+def test_toxicity_of_texts_that_share_a_phrase(spark):
+    from renewlens.llm.op7_toxicity import fit
+
+    phrase = min((f"p{a} q{b} r" for a in _texts(40, 4)[0].split() for b in _texts(2000, 1)), key=xxhash.xxh64_intdigest)
+    texts = _texts(300, 30)
+    rows = [(i, f"{phrase} vile {t}" if i < 60 else f"{phrase} {t}" if i < 62 else t, int(i < 60)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert "vile" in fit(docs, labels).weights
+
+
+def test_toxicity_counts_copies_once(spark):
+    from renewlens.llm.op7_toxicity import distinct_texts
+
+    a, b, c, d = _texts(4, 60)
+    rows = [(1, a), (0, a.replace(" ", ", ")), (1, b), (1, b + " more"), (0, b + " less"), (1, c), (1, c[:150] + d), (1, None), (0, "")]
+    got = distinct_texts(spark.createDataFrame(rows, "toxic int, text string")).collect()
+    words = sorted((r.toxic, (r.text or "").replace(",", "").split()[:1]) for r in got)
+    first = [[x.split()[0]] for x in (a, b, c)]
+    assert words == sorted([(0, first[0]), (1, first[1]), (0, first[1]), (1, first[2]), (1, first[2]), (0, [])])
