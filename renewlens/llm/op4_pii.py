@@ -6,8 +6,9 @@ spelled digits. Each writes, for every character it puts out, the span of source
 from, so that a match in the rewritten text maps back to source offsets. Matches that a rewriting
 made possible are added unless they touch a base span of their kind; base spans always stay.
 
-A disguised mark counts if it is in brackets ("(at)", "[dot]"), or spelled between spaces in the
-whole form "name at host dot ending". Spelled digits count in runs of seven or more.
+A disguised mark counts if it is in brackets ("(at)", "[dot]"), spelled between spaces in the
+whole form "name at host dot ending" or before a written host with a known ending, or a "dot" between
+numbers. Any run of spelled and written digits is rewritten; the patterns decide what it is.
 
 Defined results: null text is empty and has no spans; equal ids and repeated rows each keep a row.
 Offsets are code points, the end exclusive.
@@ -111,13 +112,32 @@ _SPELLED = re.compile(
 )
 _SPELLED_DOT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)+", re.IGNORECASE)
 _DOT = re.compile(r"[ \t]+dot[ \t]+", re.IGNORECASE)
-_NAME = "(?:" + "|".join(_DIGIT_NAMES) + "|[0-9]+)"
-_DIGITS = re.compile(
-    rf"(?:(?<![A-Za-z0-9+])(?P<plus>plus|\+)[ \t-]*)?(?<![A-Za-z]){_NAME}(?:[ \t,-]+{_NAME}){{6,}}(?![A-Za-z])",
+# Endings of hosts after a spelled "at" and written dots.
+_ENDINGS = (
+    "com org net edu gov mil int info biz name pro io ai co me tv app dev cloud online site shop xyz eu uk us ca au nz ie"
+    " de at ch fr be nl lu it es pt dk se no fi is pl cz sk hu ro bg gr hr si rs ua ru tr il za eg ng ke ma in pk bd lk"
+    " cn hk tw jp kr sg my th vn id ph br mx ar cl co pe ve uy ec ae sa ir iq kz ee lv lt mt cy"
+).split()
+_AT_HOST = re.compile(
+    rf"(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=(?:[A-Za-z0-9-]+\.)+(?:{'|'.join(_ENDINGS)})(?![A-Za-z0-9-]|\.[A-Za-z0-9]))",
     re.IGNORECASE,
 )
-_ANY_NAME = re.compile("(?:" + "|".join(x for x in _DIGIT_NAMES if x != "oh") + r")[ \t,-]", re.IGNORECASE)
-_PIECE = re.compile(rf"(?P<name>{_NAME})|(?P<plus>plus|\+)", re.IGNORECASE)
+_NAME = "(?:" + "|".join(_DIGIT_NAMES) + "|[0-9]+)"
+_NUMBER_DOT = r"(?:[ \t]+dot[ \t]+|\.)"
+
+
+def _digit_runs(between: str) -> re.Pattern:
+    return re.compile(
+        rf"(?:(?<![A-Za-z0-9+])(?P<plus>plus|\+)[ \t(-]*)?(?<![A-Za-z0-9]){_NAME}"
+        rf"(?:(?:[{between}]+|{_NUMBER_DOT}){_NAME})+(?![A-Za-z0-9])",
+        re.IGNORECASE,
+    )
+
+
+# A comma may end a number or stand between its digits: both are tried.
+_DIGITS, _LISTED = _digit_runs(r" \t()-"), _digit_runs(r" \t,()-")
+_ANY_NAME = re.compile("(?:" + "|".join(x for x in _DIGIT_NAMES if x != "oh") + r"|[ \t]dot[ \t])(?![a-z])", re.IGNORECASE)
+_PIECE = re.compile(rf"(?P<name>{_NAME})|(?P<plus>plus|\+)|(?P<dot>{_NUMBER_DOT})", re.IGNORECASE)
 
 Edits = list[tuple[int, int, str]]  # source start, source end, what it becomes
 
@@ -181,25 +201,28 @@ def _spelled_dot_edits(text: str) -> Edits:
     ]
 
 
-def _digit_edits(text: str) -> Edits:
-    """Each named digit of a run becomes a digit; what separates them goes."""
+def _digit_edits(text: str, runs: re.Pattern) -> Edits:
+    """Each named digit of a run becomes a digit and each dot a point; what separates them goes, but for one
+    blank or hyphen between written numbers, which the patterns allow."""
     out = []
-    for m in _DIGITS.finditer(text):
+    for m in runs.finditer(text):
         if not any(c.isalpha() for c in m[0]):
             continue
-        at = m.start()
+        at, before = m.start(), ""
         for p in _PIECE.finditer(m[0]):
             start, stop = m.start() + p.start(), m.start() + p.end()
-            if at < start:
+            name = p["name"] or ""
+            number = name if name.isdigit() else ""
+            if at < start and not (before and number and text[at:start] in (" ", "-") and len(before + number) > 2):
                 out.append((at, start, ""))
-            name = p["name"]
-            out.append((start, stop, "+" if name is None else _DIGIT_NAMES.get(name.lower(), name)))
-            at = stop
-    return out
+            out.append((start, stop, "+" if p["plus"] else "." if p["dot"] else _DIGIT_NAMES.get(name.lower(), name)))
+            at, before = stop, number
+    # a number that stays as it is keeps the places of its characters
+    return [x for x in out if x[2] != text[x[0] : x[1]]]
 
 
-def rewrite(text: str) -> Rewritten:
-    """The whole cascade; the text itself where there is nothing to rewrite."""
+def _rewritings(text: str) -> Iterator[Rewritten]:
+    """The whole cascade, by each way to read commas; the text itself where there is nothing to rewrite."""
     now = Rewritten(text)
     if not text.isascii():
         now = now.apply(_lookalike_edits(now.text))
@@ -209,17 +232,29 @@ def rewrite(text: str) -> Rewritten:
     if " dot" in low or "\tdot" in low:
         now = now.apply(_spelled_edits(now.text))
         now = now.apply(_spelled_dot_edits(now.text))
-    if _ANY_NAME.search(low):
-        now = now.apply(_digit_edits(now.text))
-    return now
+    if " at" in low or "\tat" in low:
+        now = now.apply([(m.start(), m.end(), "@") for m in _AT_HOST.finditer(now.text)])
+    if not _ANY_NAME.search(low):
+        yield now
+        return
+    one, two = _digit_edits(now.text, _DIGITS), _digit_edits(now.text, _LISTED)
+    yield now.apply(one)
+    if two != one:
+        yield now.apply(two)
+
+
+def rewrite(text: str) -> Rewritten:
+    """The cascade with commas at the ends of numbers."""
+    return next(_rewritings(text))
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and added spans of a text, each by start and kind."""
-    base = detect(text)
-    changed, added = rewrite(text), []
-    if changed.begin is not None:
-        taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    base, added = detect(text), []
+    for changed in _rewritings(text):
+        if changed.begin is None:
+            continue
+        taken = {k: [(s, e) for kind, s, e in base + added if kind == k] for k in KINDS}
         for kind, s, e in detect(changed.text):
             s, e = changed.source(s, e)
             if not any(s < b and a < e for a, b in taken[kind]):

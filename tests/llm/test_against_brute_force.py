@@ -473,3 +473,27 @@ def test_toxicity_counts_copies_once(spark):
     words = sorted((r.toxic, (r.text or "").replace(",", "").split()[:1]) for r in got)
     first = [[x.split()[0]] for x in (a, b, c)]
     assert words == sorted([(0, first[0]), (1, first[1]), (0, first[1]), (1, first[2]), (1, first[2]), (0, [])])
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("mail john at example.com, please", "email", "john at example.com"),
+        ("host 10 dot 0 dot 0 dot 7 is up", "ip", "10 dot 0 dot 0 dot 7"),
+        ("on one nine two dot one six eight dot one dot one.", "ip", "one nine two dot one six eight dot one dot one"),
+        ("at 5 10 dot 0 dot 0 dot 7", "ip", "10 dot 0 dot 0 dot 7"),
+        ("call +1 202 five five five 0123, 3 times", "phone", "+1 202 five five five 0123"),
+        ("+1 (202) five five five 0123", "phone", "+1 (202) five five five 0123"),
+        ("card 4111 1111 1111 111 one.", "card", "4111 1111 1111 111 one"),
+        ("card 4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
+        ("plus 1, 2, 0, 2, five, five, five, 0, 1, 2, 3", "phone", "plus 1, 2, 0, 2, five, five, five, 0, 1, 2, 3"),
+    ],
+)
+def test_pii_short_and_mixed_disguises(text, kind, found):
+    test_pii_disguises(text, kind, found)
+
+
+def test_pii_numbers_in_prose():
+    from renewlens.llm.op4_pii import spans
+
+    assert spans("One. Two. Three. Four dot by dot: 12 of five at noon.We had one 3 dot 5 inch disk, five, 7th of 999 dot 1 dot 1 dot 1") == ([], [])
