@@ -6,10 +6,11 @@ its marker names, whether it is blank, whether it starts a piece or follows a bl
 asks a question. Viterbi finds the best states of the whole conversation.
 
 Viterbi is a chain of (max, +) matrix products, which may be grouped at will. Each row (one piece of
-a transcript) becomes one matrix; the matrices of ``CHUNK`` successive turns are multiplied to one;
-only those meet in one task per conversation, which fixes the states at chunk borders. Between fixed
-borders every chunk is traced back by itself. So a conversation with most of the rows is spread out:
-its task holds one small matrix per ``CHUNK`` turns, never its text.
+a transcript) becomes one matrix. Rows are sorted by range partitions; the matrices of ``CHUNK`` successive
+rows are multiplied to one, those of a conversation in a partition again, and only these meet in one task
+per conversation, which fixes the states at their borders; then the borders of the chunks are fixed, and
+every chunk is traced back by itself. So a conversation with most of the rows is spread out, whatever its
+turn numbers: its task holds one small matrix per partition, never its text.
 
 Canonical form: every turn starts with a line ``<|role|>``, markers are removed, blank lines at the
 ends of a turn's pieces are dropped.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,62 +155,82 @@ def render(runs: list[tuple[str, bool, str]]) -> str:
 _M = pa.binary()
 
 
-def _ordered(group: pa.Table) -> pa.Table:
-    return group.sort_by([("turn", "ascending"), ("tie", "ascending")])
-
-
 def _matrices(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.float32).reshape(N, N).astype(np.float64) for x in column.to_pylist()]
 
 
-def parse(pieces: DataFrame) -> DataFrame:
-    """conv_id, turn, text -> conv_id, turn, n_lines, runs (role, begins, text), rendered."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matrix, chunk and place of every row of one partition, which is in order; a chunk has at most CHUNK
+    rows of one conversation, a span all of its chunks in the partition."""
+    number, size, span, conv, begun = TaskContext.get().partitionId() << 36, 0, 0, None, False
+    for b in batches:
+        matrices = [piece_matrix(t).astype(np.float32).tobytes() for t in str_texts(b.column(2))]
+        chunks, spans, places = [], [], []
+        for c in b.column(0).to_pylist():
+            if not begun or c != conv or size == CHUNK:
+                number, size = number + 1, 0
+                if not begun or c != conv:
+                    span, conv, begun = number, c, True
+            chunks.append(number)
+            spans.append(span)
+            places.append(size)
+            size += 1
+        more = [pa.array(x, pa.int64()) for x in (spans, chunks, places)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *more, pa.array(matrices, _M)], names=_ROW)
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [piece_matrix(t).astype(np.float32).tobytes() for t in str_texts(b.column(4))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, _M)], names=[*b.schema.names, "matrix"])
 
-    turn = F.col("turn").cast("bigint")
-    rows = pieces.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"),
-        turn.alias("turn"),
-        F.coalesce(F.floor(turn / CHUNK), F.lit(-(1 << 62))).cast("bigint").alias("chunk"),
-        F.xxhash64("text").alias("tie"),
-        F.col("text").cast("string").alias("text"),
-    )
-    rows = stage(
-        rows.mapInArrow(
-            first_pass, "conv_id bigint, turn bigint, chunk bigint, tie bigint, text string, matrix binary"
-        ),
-        "pieces",
-    )
+_ROW = ["conv_id", "turn", "text", "span", "chunk", "place", "matrix"]
+
+
+def _multiplied(rows: DataFrame, key: str, order: str, above: list[str]) -> DataFrame:
+    """One matrix for every ``key``, the product of its rows by ``order``."""
 
     def multiply(group: pa.Table) -> pa.Table:
-        group, total = _ordered(group), None
+        group, total = group.sort_by(order), None
         for m in _matrices(group.column("matrix")):
             total = m if total is None else times(total, m)
         total = np.maximum(total, _NONE).astype(np.float32).tobytes()
-        return group.select(["conv_id", "chunk"]).slice(0, 1).append_column("matrix", pa.array([total], _M))
+        return group.select(kept).slice(0, 1).append_column("matrix", pa.array([total], _M))
 
-    chunks = (
-        rows.select("conv_id", "chunk", "turn", "tie", "matrix")
-        .groupBy("conv_id", "chunk")
-        .applyInArrow(multiply, "conv_id bigint, chunk bigint, matrix binary")
-    )
+    kept = [key, *above]
+    schema = ", ".join(f"{k} bigint" for k in kept) + ", matrix binary"
+    return rows.select(*kept, order, "matrix").groupBy(key).applyInArrow(multiply, schema)
+
+
+def _borders(parts: DataFrame, above: str, key: str) -> DataFrame:
+    """State before and after every part; ``parts`` may have the states around their ``above``."""
+    known = "enter" in parts.columns
 
     def borders(group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
-        after = trace(_matrices(group.column("matrix")), START, None)
-        out = group.select(["conv_id", "chunk"])
-        out = out.append_column("enter", pa.array([START, *after[:-1]], pa.int32()))
+        group = group.sort_by(key)
+        first, last = (group.column("enter")[0].as_py(), group.column("leave")[0].as_py()) if known else (START, None)
+        after = trace(_matrices(group.column("matrix")), first, last)
+        out = group.select([key]).append_column("enter", pa.array([first, *after[:-1]], pa.int32()))
         return out.append_column("leave", pa.array(after, pa.int32()))
 
-    known = chunks.groupBy("conv_id").applyInArrow(borders, "conv_id bigint, chunk bigint, enter int, leave int")
-    known = stage(known, "chunk-borders").withColumnsRenamed({"conv_id": "c", "chunk": "k"})
+    return parts.groupBy(above).applyInArrow(borders, f"{key} bigint, enter int, leave int")
+
+
+def parse(pieces: DataFrame) -> DataFrame:
+    """conv_id, turn, text -> conv_id, turn, n_lines, runs (role, begins, text), rendered."""
+    order = ["conv_id", "turn", "tie", "row"]  # rows equal but for the last are interchangeable
+    rows = pieces.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"),
+        F.col("turn").cast("bigint").alias("turn"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64("text").alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "conv_id bigint, turn bigint, text string, span bigint, chunk bigint, place bigint, matrix binary"
+    rows = stage(rows.mapInArrow(_cut, schema), "pieces")
+    chunks = stage(_multiplied(rows, "chunk", "place", ["span", "conv_id"]), "chunks")
+    spans = stage(_multiplied(chunks, "span", "chunk", ["conv_id"]), "spans")
+    around = _borders(spans, "conv_id", "span")
+    known = stage(_borders(chunks.join(around, "span"), "span", "chunk"), "chunk-borders")
 
     def finish(group: pa.Table) -> pa.Table:
-        group = _ordered(group)
+        group = group.sort_by("place")
         enter, leave = group.column("enter")[0].as_py(), group.column("leave")[0].as_py()
         after = trace(_matrices(group.column("matrix")), enter, leave)
         runs = [
@@ -223,9 +245,8 @@ def parse(pieces: DataFrame) -> DataFrame:
         return out.append_column("rendered", pa.array([render(x) for x in runs], pa.string()))
 
     return (
-        rows.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
-        .drop("c", "k")
-        .groupBy("conv_id", "chunk")
+        rows.join(known, "chunk")
+        .groupBy("chunk")
         .applyInArrow(
             finish,
             "conv_id bigint, turn bigint, n_lines bigint,"

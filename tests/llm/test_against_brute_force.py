@@ -497,3 +497,21 @@ def test_pii_numbers_in_prose():
     from renewlens.llm.op4_pii import spans
 
     assert spans("One. Two. Three. Four dot by dot: 12 of five at noon.We had one 3 dot 5 inch disk, five, 7th of 999 dot 1 dot 1 dot 1") == ([], [])
+
+
+def test_transcripts_with_repeated_and_null_turns_in_small_groups(spark, monkeypatch):
+    from renewlens.llm import op3_transcripts as op3
+
+    sizes, grouped = [], type(spark.range(1).groupBy("id")).applyInArrow
+
+    def counted(self, func, schema):
+        sizes.append(max((r["count"] for r in self.count().collect()), default=0))
+        return grouped(self, func, schema)
+
+    rows = [(None, i, ("User: line", "AI: line")[i % 2]) for i in range(200)]
+    rows += [(5, i % 8, f"line {i}") for i in range(600)] + [(5, None, "AI: same")] * 200
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", counted)
+    got = op3.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert max(sizes) <= op3.CHUNK and len(got) == len(rows)
+    assert sorted((r.conv_id or 0, r.turn or 0) for r in got) == sorted((c or 0, t or 0) for c, t, _ in rows)
+    assert all(r.runs[0].role == ("user", "assistant")[r.turn % 2] for r in got if r.conv_id is None)
