@@ -1,5 +1,5 @@
 import pytest
-from conftest import tx_rows
+from helpers import tx_rows
 from pyspark.sql import functions as F
 
 from renewlens.functions import dates

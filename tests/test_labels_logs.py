@@ -1,5 +1,5 @@
 import pytest
-from conftest import tx_rows
+from helpers import tx_rows
 
 from renewlens.operators import cohort as C
 from renewlens.operators import guards as G
