@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from renewlens.session import stage
+
 CHUNK = 1 << 20  # bytes hashed at once
 
 
@@ -154,3 +156,34 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
         size += len(t) + 1
     if group:
         yield from flush()
+
+
+# --- places in an order, without a window over a whole group ---------------------------------
+
+
+def positions(rows: DataFrame, group: str, order: list[str], name: str = "placed") -> DataFrame:
+    """``rows``, staged, with ``pos``: their place from 0 within ``group`` by ``order``, nulls first.
+
+    Rows are cut into ranges of (group, order, row number), so that neither a hot group nor rows
+    that agree in all of it meet in one task; a place is the row's number in its range plus what
+    earlier ranges hold of the group. ``group`` is not null. Rows that agree come in any order.
+    """
+    tie = "__tie"
+    numbered = stage(rows.withColumn(tie, F.monotonically_increasing_id()), name)
+    keys = [group, *order, tie]
+    ranged = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    number = F.monotonically_increasing_id()
+    ranged = stage(
+        ranged.select(*rows.columns, F.shiftright(number, 33).alias("__range"), number.alias("__number")), name
+    )
+    counts = ranged.groupBy(group, "__range").agg(F.count("*").alias("n"), F.min("__number").alias("first"))
+    earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = counts.select(group, "__range", (F.col("before") - F.col("first")).alias("__shift"))
+    placed = ranged.join(counts, [group, "__range"]).withColumn("pos", F.col("__number") + F.col("__shift"))
+    return placed.select(*rows.columns, "pos")
+
+
+def group_name(column: Column) -> Column:
+    """A string for a group's key that keeps its order (bytewise, null first) and is never null."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from renewlens.llm.op10_decontaminate import op10_decontaminate
+from renewlens.llm import op11_merkle, op12_conversation_repair, op13_exact_dedup
 from renewlens.llm.op5_token_shards import op5_token_shards
 from renewlens.llm.op6_simhash import op6_simhash
 from renewlens.llm.op7_toxicity import op7_toxicity
@@ -24,6 +25,9 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op5_token_shards": op5_token_shards,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle.op11_merkle,
+    "op12_conversation_repair": op12_conversation_repair.op12_conversation_repair,
+    "op13_exact_dedup": op13_exact_dedup.op13_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_exact_dedup": op13_exact_dedup.ORACLE}
