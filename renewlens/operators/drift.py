@@ -1,18 +1,24 @@
 """Population stability of features and scores.
 
-Both periods are reduced to counts per distinct value in one shuffle; bins are
-fitted on the reference counts only and every later step works on those counts.
+Features are compared in passes over one stored wide table that carries a 0/1 flag per comparison
+(reference or not; one half or the other, once per round). Every pass aggregates inside the task:
+a sketch per feature, counts of the few values near a wanted quantile, counts per bin. What is
+shuffled grows with features, bins and tasks, not with rows; what reaches the driver is a sketch
+and the edges of each feature.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewlens.functions.scalars import bins_below, seeded_hash
-from renewlens.operators.quantiles import exact_quantiles
+from renewlens.functions.scalars import seeded_hash
 from renewlens.session import stage
 from renewlens.sources.schemas import CATEGORICAL, KEY
 
@@ -20,6 +26,9 @@ DEFAULT_BINS = 10
 EPSILON = 1e-6
 MISSING = "__missing__"
 UNSEEN = "__unseen__"
+GRID = 500  # quantiles read off a sketch
+SKETCH_ACCURACY = 5000
+FEW = 64  # estimated distinct values up to which a feature's values are counted
 
 
 def psi_band(value: Column) -> Column:
@@ -35,148 +44,268 @@ def psi_term(p: Column, q: Column, epsilon: float = EPSILON) -> Column:
     return (a - b) * F.ln(a / b)
 
 
-def _unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in features])
-    return wide.unpivot(list(ids), list(features), "feature", "value")
+@dataclass(frozen=True)
+class Scheme:
+    """Bins of one feature as fitted on the reference side of one round."""
 
+    round: int
+    feature: str
+    kind: str
+    edges: tuple[float, ...]
 
-def paired_counts(
-    reference: DataFrame, current: DataFrame, features: Sequence[str]
-) -> DataFrame:
-    """Rows per (feature, value) in both periods; a null value is its own group."""
+
+def paired(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Both periods' features as one table with the flag ``side0`` of the reference rows."""
     for name, df in (("reference", reference), ("current", current)):
         missing = [c for c in features if c not in df.columns]
         if missing:
             raise ValueError(f"{name} period lacks the columns {missing}")
-    both = reference.select(*features, F.lit(1).alias("is_ref")).unionByName(
-        current.select(*features, F.lit(0).alias("is_ref"))
+    return reference.select(*features, F.lit(1).alias("side0")).unionByName(
+        current.select(*features, F.lit(0).alias("side0"))
     )
-    return (
-        _unpivot(both, ["is_ref"], features)
-        .groupBy("feature", "value")
-        .agg(
-            F.sum("is_ref").cast("bigint").alias("ref_n"),
-            F.sum(1 - F.col("is_ref")).cast("bigint").alias("cur_n"),
-        )
+
+
+def halves(df: DataFrame, features: Sequence[str], rounds: int, seed: int, key: str = KEY) -> DataFrame:
+    """Features with one flag per round: the user's half, a bit of one hash per user."""
+    bits = F.conv(F.substring(seeded_hash(seed, key), 1, 15), 16, 10).cast("bigint")
+    if not 1 <= rounds <= 60:
+        raise ValueError(f"one hash gives 1 to 60 rounds: {rounds}")
+    flagged = df.select(*features, bits.alias("bits"))
+    return flagged.select(
+        *features, *[F.expr(f"cast(shiftright(bits, {r}) & 1 as int)").alias(f"side{r}") for r in range(rounds)]
     )
 
 
-def fit_bins(
-    counts: DataFrame,
-    *,
-    keys: Sequence[str] = ("feature",),
-    categorical: Sequence[str] = CATEGORICAL,
-    bins: int = DEFAULT_BINS,
-) -> DataFrame:
-    """Binning scheme per feature: keys, kind, edges. Sees reference counts only.
+def _sides(split: DataFrame) -> list[str]:
+    return sorted((c for c in split.columns if re.fullmatch(r"side\d+", c)), key=lambda c: int(c[4:]))
+
+
+def _long(split: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A row per row and feature, inside the task only: every use aggregates at once."""
+    sides = _sides(split)
+    wide = split.select(*sides, *[F.col(c).cast("double").alias(c) for c in features])
+    return wide.unpivot(sides, list(features), "feature", "value")
 
-    Categories and features with at most ``bins`` distinct values get a bin per
-    value; the rest get deduplicated deciles. A feature without any value in
-    the reference period is an error.
+
+def _counts(sides: Sequence[str]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(s).cast("bigint").alias(s) for s in sides]]
+
+
+def _edges_below(value: Column, edges: Column, most: int) -> Column:
+    """How many entries of an array of at most ``most`` edges are <= value; compiled, unlike a lambda."""
+    terms = [F.coalesce((F.get(edges, F.lit(i)) <= value).cast("int"), F.lit(0)) for i in range(most)]
+    return reduce(lambda a, b: a + b, terms) if terms else F.lit(0)
+
+
+def _with_edges(long: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Rows of the features that have edges, with their bucket number (-1 for null)."""
+    spark = long.sparkSession
+    table = spark.createDataFrame([(f, [float(e) for e in es]) for f, es in edges.items()], "feature string, edges array<double>")
+    most = max((len(e) for e in edges.values()), default=0)
+    bucket = F.when(F.col("value").isNull(), -1).otherwise(_edges_below(F.col("value"), F.col("edges"), most))
+    return long.join(table, "feature").withColumn("bucket", bucket).drop("edges")
+
+
+def _brackets(sketch: Sequence[float], bins: int, n: int, rounds: int) -> list[float]:
+    """Half-open intervals [low, high) around the wanted quantiles, as a flat sorted list.
+
+    Their width covers the sketch's error and, where halves are fitted, five deviations of a half's
+    quantile. It decides how many values are looked at, never the result: a quantile outside its
+    interval is found in a further pass.
+    """
+    slack = 3 / GRID + (5 * 0.5 / math.sqrt(max(n, 1)) if rounds > 1 else 0)
+    out: list[tuple[float, float]] = []
+    for i in range(1, bins):
+        lo = sketch[max(0, math.floor((i / bins - slack) * GRID))]
+        hi = math.nextafter(sketch[min(GRID, math.ceil((i / bins + slack) * GRID))], math.inf)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return [e for pair in out for e in pair]
+
+
+def _wanted(n: int, bins: int) -> dict[int, None]:
+    """Ranks next to the inner quantiles of n values."""
+    return {k: None for i in range(1, bins) for p in [i / bins * (n - 1)] for k in (math.floor(p), math.ceil(p))}
+
+
+def _order_statistics(
+    long: DataFrame, sides: Sequence[str], brackets: dict[str, list[float]], totals: dict[tuple[str, str], int], bins: int
+) -> dict[tuple[str, str], dict[int, float]]:
+    """Values at the wanted ranks per (feature, side).
+
+    One pass counts rows per bucket and, inside brackets (odd buckets), per value. Ranks that fall
+    between brackets open their bucket for another pass.
     """
-    keys = list(keys)
-    seen = counts.filter("ref_n > 0")
-    kinds = seen.groupBy(*keys).agg(F.count("value").alias("n_values"))
-    kind = (
-        F.when(
-            F.col("n_values") == 0,
-            F.raise_error(F.concat(F.col("feature"), F.lit(" is null everywhere in the reference"))),
+    found: dict[tuple[str, str], dict[int, float]] = {k: {} for k in totals}
+    todo = {f: e for f, e in brackets.items()}
+    inside = {f: set(range(1, len(e), 2)) for f, e in brackets.items()}
+    while todo:
+        opened = long.sparkSession.createDataFrame(
+            [(f, sorted(inside[f])) for f in todo], "feature string, opened array<int>"
         )
-        .when(F.col("feature").isin(*categorical), "category")
-        .when(F.col("n_values") <= bins, "discrete")
-        .otherwise("quantile")
-    )
-    kinds = kinds.select(*keys, kind.alias("kind"))
-    continuous = (
-        seen.filter(F.col("value").isNotNull())
-        .join(kinds.filter("kind = 'quantile'"), keys, "left_semi")
-        .select(*keys, "value", F.col("ref_n").alias("n"))
-    )
-    quantiles = exact_quantiles(
-        continuous, [i / bins for i in range(1, bins)], keys=keys
-    )
-    edges = quantiles.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("quantile")).alias("edges")
+        tagged = _with_edges(long, todo).filter("bucket >= 0").join(opened, "feature")
+        value = F.when(F.array_contains("opened", F.col("bucket")), F.col("value"))
+        counts = stage(tagged.groupBy("feature", "bucket", value.alias("value")).agg(*_counts(sides)), "brackets")
+        per = {}
+        for r in counts.groupBy("feature", "bucket").agg(*[F.sum(s).alias(s) for s in sides]).collect():
+            per[r.feature, r.bucket] = [r[s] for s in sides]
+        wanted, again = [], {}
+        for f, edges in todo.items():
+            for j, side in enumerate(sides):
+                before, ranks = 0, [k for k in _wanted(totals[f, side], bins) if k not in found[f, side]] if totals[f, side] else []
+                for b in range(len(edges) + 1):
+                    size = per.get((f, b), [0] * len(sides))[j]
+                    here = [k for k in ranks if before <= k < before + size]
+                    if here and b in inside[f]:
+                        wanted.append((f, b, j, [k - before for k in here], before))
+                    elif here:
+                        again.setdefault(f, set()).add(b)
+                    before += size
+        if wanted:
+            asked = long.sparkSession.createDataFrame(wanted, "feature string, bucket int, side int, ranks array<bigint>, before bigint")
+            order = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+            upto = F.array(*[F.sum(s).over(order) for s in sides])
+            running = counts.filter("value is not null").join(asked.select("feature", "bucket").distinct(), ["feature", "bucket"], "left_semi")
+            running = running.select("feature", "bucket", "value", upto.alias("upto"), F.array(*sides).alias("own"))
+            hit = running.join(asked, ["feature", "bucket"]).select(
+                "feature", "side", "before", "value", F.explode("ranks").alias("rank"),
+                F.get("upto", F.col("side")).alias("hi"), (F.get("upto", F.col("side")) - F.get("own", F.col("side"))).alias("lo"),
+            ).filter("lo <= rank and rank < hi")
+            for r in hit.collect():  # two values per inner edge, side and feature at most
+                found[r.feature, sides[r.side]][r["rank"] + r.before] = r.value
+        todo, inside = {f: todo[f] for f in again}, again
+    return found
+
+
+def fit_bins(
+    split: DataFrame, features: Sequence[str], *, categorical: Sequence[str] = CATEGORICAL, bins: int = DEFAULT_BINS
+) -> list[Scheme]:
+    """Binning scheme per side and feature; each sees its reference rows only.
+
+    ``split`` (from :func:`paired` or :func:`halves`) should be a stored table: it is read three
+    times, column by column, and no row of it is shuffled. Categories and features with at most
+    ``bins`` distinct reference values get a bin per value; the rest get deduplicated quantiles,
+    exact and interpolated. A feature without a reference value is an error.
+    """
+    sides = _sides(split)
+    long = _long(split, features)
+    grid = [i / GRID for i in range(GRID + 1)]
+    # With one side the sketch sees its rows alone; halves of one table share a sketch of the whole.
+    seen = F.when(F.col(sides[0]) == 1, F.col("value")) if len(sides) == 1 else F.col("value")
+    of = {s: F.when(F.col(s) == 1, F.col("value")) for s in sides}
+    facts = long.groupBy("feature").agg(
+        F.percentile_approx(seen, grid, SKETCH_ACCURACY).alias("sketch"),
+        *[F.count(v).alias(f"n_{s}") for s, v in of.items()],
+        *[F.approx_count_distinct(v).alias(f"d_{s}") for s, v in of.items()],
     )
-    return kinds.join(edges, keys, "left")
+    facts = {r.feature: r for r in facts.collect()}
+    for f in features:
+        if f not in facts or any(not facts[f][f"n_{s}"] for s in sides):
+            raise ValueError(f"{f} is null everywhere in the reference")
+    # d distinct values can touch d registers at most, so a set of ``bins`` is never estimated over FEW
+    few = [f for f in features if f not in categorical and any(facts[f][f"d_{s}"] <= FEW for s in sides)]
+    exact: dict[str, list[int]] = {}
+    if few:
+        values = _long(split, few).filter("value is not null").groupBy("feature", "value").agg(*_counts(sides))
+        shown = values.groupBy("feature").agg(*[F.count_if(F.col(s) > 0).alias(s) for s in sides])
+        exact = {r.feature: [r[s] for s in sides] for r in shown.collect()}
+    kind = {
+        (f, s): "category" if f in categorical else "discrete" if f in exact and exact[f][j] <= bins else "quantile"
+        for f in features
+        for j, s in enumerate(sides)
+    }
+    cut = [f for f in features if any(kind[f, s] == "quantile" for s in sides)]
+    edges: dict[tuple[str, str], tuple[float, ...]] = {}
+    if cut:
+        totals = {(f, s): facts[f][f"n_{s}"] if kind[f, s] == "quantile" else 0 for f in cut for s in sides}
+        brackets = {f: _brackets(facts[f].sketch, bins, max(totals[f, s] for s in sides), len(sides)) for f in cut}
+        at = _order_statistics(_long(split, cut), sides, brackets, totals, bins)
+        for (f, s), n in totals.items():
+            if n:
+                got = []
+                for i in range(1, bins):
+                    p = i / bins * (n - 1)
+                    a, b = at[f, s][math.floor(p)], at[f, s][math.ceil(p)]
+                    got.append(a + (b - a) * (p - math.floor(p)))
+                edges[f, s] = tuple(sorted(set(got)))
+    return [Scheme(j, f, kind[f, s], edges.get((f, s), ())) for f in features for j, s in enumerate(sides)]
+
+
+def scheme_table(spark: SparkSession, schemes: Sequence[Scheme]) -> DataFrame:
+    rows = [(x.round, x.feature, x.kind, list(x.edges)) for x in schemes]
+    return spark.createDataFrame(rows, "round int, feature string, kind string, edges array<double>")
 
 
 def _value_label(value: Column) -> Column:
-    text = value.cast("decimal(28,6)").cast("string")
-    return F.concat(F.lit("="), F.regexp_replace(text, r"\.?0+$", ""))
+    """The value itself: whole numbers without a fraction, others in their shortest exact form."""
+    whole = (F.floor(value).cast("double") == value) & (F.abs(value) < 1e15)
+    return F.concat(F.lit("="), F.when(whole, F.expr("try_cast(value as bigint)").cast("string")).otherwise(value.cast("string")))
 
 
-def _range_label(edges: Column, no: Column) -> Column:
+def _range_label(no: int) -> str:
     """Left-closed range number; zero-padded so that labels sort in bin order."""
-    return F.concat(F.lit("range_"), F.lpad(no.cast("string"), 2, "0"))
+    return f"range_{no:02d}"
 
 
-def apply_bins(
-    counts: DataFrame, scheme: DataFrame, *, keys: Sequence[str] = ("feature",)
-) -> DataFrame:
-    """Counts per bin of both periods, in bins fixed on the reference.
+def apply_bins(split: DataFrame, schemes: Sequence[Scheme]) -> DataFrame:
+    """Counts per bin on both sides of every round: round, feature, kind, bin, ref_n, cur_n.
 
-    Structural bins (missing, unseen) and empty reference ranges are present
-    with zero counts.
+    One pass counts all rounds: quantile features by the finest cut that all their rounds need, the
+    others by value, each with one count per round. Structural bins (missing, unseen) and empty
+    reference ranges are present with zero counts.
     """
-    keys = list(keys)
-    tagged = counts.join(scheme, keys, "inner")
-    label = (
-        F.when(F.col("value").isNull(), F.lit(MISSING))
-        .when(
-            F.col("kind") == "quantile",
-            _range_label(F.col("edges"), bins_below(F.col("edges"), "value")),
-        )
-        .when(F.col("ref_n") > 0, _value_label(F.col("value")))
-        .otherwise(F.lit(UNSEEN))
-    )
-    filled = tagged.select(*keys, "kind", label.alias("bin"), "ref_n", "cur_n")
-    numbers = F.transform(
-        F.sequence(F.lit(0), F.size("edges")),
-        lambda i: F.concat(F.lit("range_"), F.lpad(i.cast("string"), 2, "0")),
+    spark, sides = split.sparkSession, _sides(split)
+    cut: dict[str, list[float]] = {}
+    for x in schemes:
+        if x.kind == "quantile":
+            cut[x.feature] = sorted({*cut.get(x.feature, []), *x.edges})
+    by_value = sorted({x.feature for x in schemes if x.kind != "quantile"})
+    named = spark.createDataFrame(
+        [(x.round, x.feature, x.kind) for x in schemes if x.kind != "quantile"], "round int, feature string, kind string"
     )
-    structural = F.when(
-        F.col("kind") == "quantile", F.concat(numbers, F.array(F.lit(MISSING)))
-    ).otherwise(F.array(F.lit(UNSEEN), F.lit(MISSING)))
-    empty = scheme.select(
-        *keys,
-        "kind",
-        F.explode(structural).alias("bin"),
-        F.lit(0).cast("bigint").alias("ref_n"),
-        F.lit(0).cast("bigint").alias("cur_n"),
-    )
-    return (
-        filled.unionByName(empty)
-        .groupBy(*keys, "kind", "bin")
-        .agg(F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
+    per_side = F.array(*[F.struct(F.lit(j).alias("round"), F.col(s).alias("ref_n"), (F.col("n") - F.col(s)).alias("cur_n")) for j, s in enumerate(sides)])
+    parts = []
+    if cut:
+        fine = _with_edges(_long(split, list(cut)), cut).groupBy("feature", "bucket").agg(*_counts(sides))
+        target = []
+        for x in schemes:
+            if x.kind == "quantile":
+                target.append((x.round, x.feature, -1, MISSING))
+                for b, low in enumerate([-math.inf, *cut[x.feature]]):
+                    target.append((x.round, x.feature, b, _range_label(sum(e <= low for e in x.edges))))
+        mapped = spark.createDataFrame(target, "round int, feature string, bucket int, bin string")
+        fine = fine.select("feature", "bucket", F.inline(per_side))
+        # every bucket of every round is listed, so an empty range keeps its row
+        parts.append(
+            mapped.join(fine, ["round", "feature", "bucket"], "left").select("round", "feature", F.lit("quantile").alias("kind"), "bin", "ref_n", "cur_n")
+        )
+    if by_value:
+        values = _long(split, by_value).groupBy("feature", "value").agg(*_counts(sides))
+        values = values.select("feature", "value", F.inline(per_side)).join(named, ["round", "feature"])
+        label = (
+            F.when(F.col("value").isNull(), MISSING).when(F.col("ref_n") > 0, _value_label(F.col("value"))).otherwise(UNSEEN)
+        )
+        parts.append(values.select("round", "feature", "kind", label.alias("bin"), "ref_n", "cur_n"))
+        zero = named.select("round", "feature", "kind", F.explode(F.array(F.lit(UNSEEN), F.lit(MISSING))).alias("bin"))
+        parts.append(zero.select("*", F.lit(0).cast("bigint").alias("ref_n"), F.lit(0).cast("bigint").alias("cur_n")))
+    both = reduce(DataFrame.unionByName, parts)
+    return both.groupBy("round", "feature", "kind", "bin").agg(
+        F.coalesce(F.sum("ref_n"), F.lit(0)).alias("ref_n"), F.coalesce(F.sum("cur_n"), F.lit(0)).alias("cur_n")
     )
 
 
-def psi_detail(
-    counts: DataFrame,
-    *,
-    keys: Sequence[str] = ("feature",),
-    categorical: Sequence[str] = CATEGORICAL,
-    bins: int = DEFAULT_BINS,
-    epsilon: float = EPSILON,
-) -> DataFrame:
-    """Per bin: reference and current share and the contribution to the PSI.
-
-    ``counts`` (from :func:`paired_counts`) should be a stored table.
-    """
-    keys = list(keys)
-    # A row per feature, used twice below: stored so that both uses see the same bins.
-    scheme = stage(fit_bins(counts, keys=keys, categorical=categorical, bins=bins), "bins")
-    binned = apply_bins(counts, scheme, keys=keys)
-    totals = counts.groupBy(*keys).agg(
-        F.sum("ref_n").alias("ref_total"), F.sum("cur_n").alias("cur_total")
-    )
-    shares = binned.join(totals, keys, "inner").select(
-        *keys,
+def psi_detail(binned: DataFrame, *, epsilon: float = EPSILON) -> DataFrame:
+    """Per bin of :func:`apply_bins`: reference and current share and the contribution to the PSI."""
+    whole = Window.partitionBy("round", "feature")  # a feature's bins
+    shares = binned.select(
+        "round",
+        "feature",
         "kind",
         "bin",
-        (F.col("ref_n") / F.col("ref_total")).alias("reference"),
-        (F.col("cur_n") / F.nullif(F.col("cur_total"), F.lit(0))).alias("current"),
+        (F.col("ref_n") / F.sum("ref_n").over(whole)).alias("reference"),
+        (F.col("cur_n") / F.nullif(F.sum("cur_n").over(whole), F.lit(0))).alias("current"),
     )
     checked = shares.withColumn(
         "current",
@@ -190,7 +319,7 @@ def psi_detail(
     )
 
 
-def psi(detail: DataFrame, *, keys: Sequence[str] = ("feature",)) -> DataFrame:
+def psi(detail: DataFrame) -> DataFrame:
     """Sum over the bins that are filled on at least one side.
 
     ``epsilon_floored`` says that one side of some bin is empty: the value is
@@ -199,7 +328,7 @@ def psi(detail: DataFrame, *, keys: Sequence[str] = ("feature",)) -> DataFrame:
     used = (F.col("reference") > 0) | (F.col("current") > 0)
     one_sided = (F.col("reference") > 0) != (F.col("current") > 0)
     missing = F.col("bin") == MISSING
-    return detail.groupBy(*keys, "kind").agg(
+    return detail.groupBy("round", "feature", "kind").agg(
         F.sum(F.when(used, F.col("contribution")).otherwise(0.0)).alias("psi"),
         (F.max(one_sided.cast("int")) == 1).alias("epsilon_floored"),
         F.count(F.lit(1)).alias("n_bins"),
@@ -219,9 +348,9 @@ def psi_table(
     epsilon: float = EPSILON,
 ) -> DataFrame:
     """One row per feature: PSI, band, missing rates and the bin that moved most."""
-    counts = stage(paired_counts(reference, current, features), "paired-counts")
-    detail = psi_detail(counts, categorical=categorical, bins=bins, epsilon=epsilon)
-    return psi(detail).select(
+    split = stage(paired(reference, current, features), "periods")
+    binned = apply_bins(split, fit_bins(split, features, categorical=categorical, bins=bins))
+    return psi(psi_detail(binned, epsilon=epsilon)).select(
         "feature",
         "kind",
         "psi",
@@ -260,41 +389,14 @@ def noise_floor(
 ) -> DataFrame:
     """PSI of a cohort against itself: random halves, several rounds.
 
-    A hash of (seed, round, user) picks the half. All rounds are counted in a
-    single shuffle: each distinct value carries two counts per round.
+    Each round's half is a bit of one hash of (seed, user). No row is repeated per round: bins of
+    all rounds are fitted and counted in the passes of a single one.
     """
     if rounds < 2:
         raise ValueError(f"rounds must be at least 2: {rounds}")
-    half = [
-        (F.substring(seeded_hash(f"{seed}:{r}", key), 1, 1) < "8").cast("int").alias(f"a{r}")
-        for r in range(rounds)
-    ]
-    flagged = df.select(*features, *half)
-    counted = (
-        _unpivot(flagged, [f"a{r}" for r in range(rounds)], features)
-        .groupBy("feature", "value")
-        .agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(f"a{r}").alias(f"a{r}") for r in range(rounds)]
-        )
-    )
-    per_round = F.array(
-        *[F.struct(F.lit(r).alias("round"), F.col(f"a{r}").alias("ref_n")) for r in range(rounds)]
-    )
-    counts = stage(
-        counted.withColumn("h", F.explode(per_round)).select(
-            "feature",
-            "value",
-            F.col("h.round").alias("round"),
-            F.col("h.ref_n").alias("ref_n"),
-            (F.col("n") - F.col("h.ref_n")).alias("cur_n"),
-        ),
-        "noise-counts",
-    )
-    keys = ("round", "feature")
-    values = stage(
-        psi(psi_detail(counts, keys=keys, categorical=categorical, bins=bins), keys=keys),
-        "noise-psi",
-    )
+    split = stage(halves(df, features, rounds, seed, key), "halves")
+    binned = apply_bins(split, fit_bins(split, features, categorical=categorical, bins=bins))
+    values = stage(psi(psi_detail(binned)), "noise-psi")
     # One value per round and feature: a few hundred numbers.
     p95 = values.agg(F.percentile("psi", F.lit(0.95))).scalar()
     return values.groupBy("feature").agg(

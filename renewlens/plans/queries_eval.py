@@ -944,27 +944,17 @@ def score_checks(src: Sources) -> DataFrame:
 
 # --- drift -----------------------------------------------------------------
 
-_DRIFT = [
-    "tenure_days",
-    "days_since_last_tx",
-    "n_tx",
-    "cancel_rate",
-    "mean_paid",
-    "price_per_day",
-    "bd_clean",
-    "is_free_plan",
-    "last_is_auto_renew",
-    "log90_secs",
-    "log30_plays",
-    "log_has_logs",
-    *CATEGORICAL,
-]
+_FEATURES = O.feature_columns(Q2)
 _F2, _F3 = O.features_block(Q2), O.features_block(Q3)
 
 
-def _long(source: str, columns: list[str], extra: str = "") -> str:
-    return " UNION ALL ".join(
-        f"SELECT {extra}'{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM {source}" for c in columns
+def _long(source: str, extra: str = "") -> str:
+    """A row per row and feature: feature, v and the columns named by ``extra``."""
+    kept = "".join(f"{c}, " for c in extra.split(", ") if c)
+    cells = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _FEATURES)
+    return (
+        f"SELECT * FROM (SELECT {kept}{cells} FROM {source}) w"
+        f" UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(_FEATURES)}))"
     )
 
 
@@ -990,7 +980,8 @@ FROM {tag}_ref GROUP BY {keys}""",
     k = ", ".join(f"x.{c}" for c in keys.split(", "))
     label = """CASE WHEN x.v IS NULL THEN '__missing__'
     WHEN s.kind = 'quantile' THEN concat('range_', lpad(CAST(len(list_filter(s.e, lambda t: t <= x.v)) AS VARCHAR), 2, '0'))
-    WHEN kn.v IS NOT NULL THEN concat('=', regexp_replace(CAST(CAST(x.v AS DECIMAL(28, 6)) AS VARCHAR), '\\.?0+$', ''))
+    WHEN kn.v IS NOT NULL THEN concat('=', CASE WHEN floor(x.v) = x.v AND abs(x.v) < 1e15 THEN CAST(CAST(x.v AS BIGINT) AS VARCHAR)
+      ELSE CAST(x.v AS VARCHAR) END)
     ELSE '__unseen__' END"""
 
     def binned(side: str, r: int, c: int) -> str:
@@ -1032,7 +1023,7 @@ FROM {tag}_detail GROUP BY {keys}, kind""",
 
 
 _P = _psi_blocks(
-    "fp", _long(_F2, _DRIFT), _long(_F3, _DRIFT), "feature", list(CATEGORICAL), [_F2, _F3]
+    "fp", _long(_F2), _long(_F3), "feature", list(CATEGORICAL), [_F2, _F3]
 )
 _BAND = "CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END"
 _PSI_COLS = f"""kind, {r6('psi', 'psi')}, {_BAND} AS band, CAST(epsilon_floored AS BIGINT) AS epsilon_floored,
@@ -1044,9 +1035,18 @@ def _periods(src: Sources) -> tuple[DataFrame, DataFrame]:
     return feature_table(src, Q2), feature_table(src, Q3)
 
 
+def _split(src: Sources) -> DataFrame:
+    return stage(drift.paired(*_periods(src), _FEATURES), "periods")
+
+
+def _binned(src: Sources) -> DataFrame:
+    split = _split(src)
+    return drift.apply_bins(split, drift.fit_bins(split, _FEATURES))
+
+
 @register("psi_table", f"SELECT feature, {_PSI_COLS} FROM {_P}", _P)
 def psi_table(src: Sources) -> DataFrame:
-    return drift.psi_table(*_periods(src), _DRIFT)
+    return drift.psi_table(*_periods(src), _FEATURES)
 
 
 @register(
@@ -1056,7 +1056,7 @@ FROM fp_detail""",
     "fp_detail",
 )
 def psi_detail(src: Sources) -> DataFrame:
-    return drift.psi_detail(stage(drift.paired_counts(*_periods(src), _DRIFT), "paired"))
+    return drift.psi_detail(_binned(src)).drop("round")
 
 
 @register(
@@ -1066,10 +1066,9 @@ def psi_detail(src: Sources) -> DataFrame:
     "fp_scheme",
 )
 def fit_bins(src: Sources) -> DataFrame:
-    counts = stage(drift.paired_counts(*_periods(src), _DRIFT), "paired")
-    return drift.fit_bins(counts).withColumn(
-        "edges",
-        F.expr("coalesce(transform(edges, e -> cast(cast(e as decimal(28,4)) as string)), array())"),
+    split = _split(src)
+    return drift.scheme_table(split.sparkSession, drift.fit_bins(split, _FEATURES)).select(
+        "feature", "kind", F.expr("array_join(transform(edges, e -> cast(cast(e as decimal(28,4)) as string)), '|')").alias("edges")
     )
 
 
@@ -1079,8 +1078,7 @@ def fit_bins(src: Sources) -> DataFrame:
     "fp_bins",
 )
 def apply_bins(src: Sources) -> DataFrame:
-    counts = stage(drift.paired_counts(*_periods(src), _DRIFT), "paired")
-    return drift.apply_bins(counts, drift.fit_bins(counts))
+    return _binned(src).drop("round")
 
 
 @register(
@@ -1089,7 +1087,7 @@ def apply_bins(src: Sources) -> DataFrame:
     _P,
 )
 def psi_bands(src: Sources) -> DataFrame:
-    table = drift.psi_table(*_periods(src), _DRIFT)
+    table = drift.psi_table(*_periods(src), _FEATURES)
     return table.groupBy("band").agg(F.count(F.lit(1)).alias("n_features"))
 
 
@@ -1108,23 +1106,17 @@ def score_psi(src: Sources) -> DataFrame:
     return drift.score_psi(scored_table(src, Q2), scored_table(src, Q3))
 
 
-_NOISE = ["tenure_days", "mean_paid", "n_tx", "last_is_auto_renew", "log90_secs", "city"]
+_ROUNDS = 5
+_HALF = "(CAST(concat('0x', substr(md5(concat_ws(':', '42', CAST(user_id AS VARCHAR))), 1, 15)) AS BIGINT) >> round) & 1"
+_NL = O.block("np_long", _long(_F2, "user_id"), _F2)
+_NR = f"(SELECT r.round, n.feature, n.v, {_HALF} AS a FROM {_NL} n, (SELECT unnest(range({_ROUNDS})) AS round) r)"
 
 
-def _half(r: int, side: str) -> str:
-    op = "<" if side == "a" else ">="
-    return (
-        f"SELECT * FROM {_F2} WHERE substr(md5(concat_ws(':', '42:{r}', CAST(user_id AS VARCHAR))), 1, 1) {op} '8'"
-    )
-
-
-def _halves(side: str) -> str:
-    return " UNION ALL ".join(
-        _long(f"({_half(r, side)}) h", _NOISE, f"{r} AS round, ") for r in range(3)
-    )
+def _halves(side: int) -> str:
+    return f"SELECT round, feature, v FROM {_NR} h WHERE a = {side}"
 
 
-_NP = _psi_blocks("np", _halves("a"), _halves("b"), "round, feature", ["city"], [_F2])
+_NP = _psi_blocks("np", _halves(1), _halves(0), "round, feature", list(CATEGORICAL), [_NL])
 
 
 @register(
@@ -1134,7 +1126,7 @@ _NP = _psi_blocks("np", _halves("a"), _halves("b"), "round, feature", ["city"],
     _NP,
 )
 def noise_floor(src: Sources) -> DataFrame:
-    return drift.noise_floor(feature_table(src, Q2), _NOISE, rounds=3)
+    return drift.noise_floor(feature_table(src, Q2), _FEATURES, rounds=_ROUNDS)
 
 
 @register(
@@ -1165,7 +1157,7 @@ def list_share(src: Sources) -> DataFrame:
     f"""SELECT 'feature' AS measure, f.feature AS name, {r6('f.psi', 'value')},
   {_BAND.replace('psi', 'f.psi')} AS reading,
   {r6('f.psi / nullif((SELECT quantile_cont(psi, 0.95) FROM ' + _NP + '), 0)', 'times_noise')}
-FROM {_P} f WHERE f.feature IN ({', '.join(repr(c) for c in _NOISE)})
+FROM {_P} f
 UNION ALL SELECT 'score', 'p', {r6('psi', 'value')}, {_BAND}, NULL FROM {_SP}
 UNION ALL SELECT 'list_share', 'reference', {r6('avg(CAST(p > (SELECT p_star FROM assumptions) AS INTEGER))', 'value')}, NULL, NULL FROM {_S2}
 UNION ALL SELECT 'list_share', 'current', {r6('avg(CAST(p > (SELECT p_star FROM assumptions) AS INTEGER))', 'value')}, NULL, NULL FROM {_S3}
@@ -1183,7 +1175,7 @@ def drift_report(src: Sources) -> DataFrame:
     ref = stage(scored_table(src, Q2), "reference")
     cur = stage(scored_table(src, Q3), "current")
     star = assumptions(src).select("p_star").scalar()
-    return drift.drift_report(ref, cur, _NOISE, star, categorical=["city"], rounds=3)
+    return drift.drift_report(ref, cur, _FEATURES, star, rounds=_ROUNDS)
 
 
 @register(

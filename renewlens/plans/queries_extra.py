@@ -195,10 +195,7 @@ def reason_top_join(src: Sources) -> DataFrame:
     QE._P,
 )
 def psi(src: Sources) -> DataFrame:
-    counts = stage(
-        drift.paired_counts(feature_table(src, Q2), feature_table(src, Q3), QE._DRIFT), "paired"
-    )
-    return drift.psi(drift.psi_detail(counts)).groupBy("kind").agg(
+    return drift.psi(drift.psi_detail(QE._binned(src))).groupBy("kind").agg(
         F.count(F.lit(1)).alias("n_features"),
         F.max("psi").alias("max_psi"),
         F.sum("psi").alias("sum_psi"),

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -323,6 +324,58 @@ def test_missing_column_is_an_error(spark):
         DR.psi_table(df, df.withColumnRenamed("x", "y"), ["x"])
 
 
+def plain_psi(a, b):
+    """PSI of numbers by decile ranges of ``a``, empty bins left out."""
+    cuts = [-np.inf, *np.unique(np.quantile(a, np.arange(1, 10) / 10)), np.inf]
+    p, q = np.histogram(a, cuts)[0] / len(a), np.histogram(b, cuts)[0] / len(b)
+    keep = (p > 0) | (q > 0)
+    p, q = np.clip(p[keep], 1e-6, None), np.clip(q[keep], 1e-6, None)
+    return ((p - q) * np.log(p / q)).sum()
+
+
+def test_noise_floor_equals_halves_by_hand(spark):
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.gamma(2, 3, 1500), 2), rng.normal(size=1500) * 1e-9
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "user_id int, x double, y double")
+    got = {r["feature"]: r for r in DR.noise_floor(df, ["x", "y"], rounds=4, seed=7, categorical=(), key="user_id").collect()}
+    bits = np.array([int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:15], 16) for i in range(1500)])
+    for name, values in (("x", x), ("y", y)):
+        want = [plain_psi(values[bits >> r & 1 == 1], values[bits >> r & 1 == 0]) for r in range(4)]
+        assert got[name]["psi_mean"] == pytest.approx(np.mean(want)) and got[name]["psi_max"] == pytest.approx(max(want))
+
+
+def test_quantiles_outside_their_brackets_take_another_pass(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=700), rng.normal(0.2, 1, 500)
+    ref, cur = (spark.createDataFrame([(float(v),) for v in z], "x double") for z in (a, b))
+    # brackets that hold none of the wanted values
+    monkeypatch.setattr(DR, "_brackets", lambda *_: [-0.01, -0.009, 0.3, 0.301, 5.0, 5.1])
+    assert DR.psi_table(ref, cur, ["x"], categorical=()).first()["psi"] == pytest.approx(plain_psi(a, b))
+
+
+def test_values_that_agree_in_six_decimals_have_bins_of_their_own(spark):
+    ref = spark.createDataFrame([(1e-9,)] * 50 + [(2e-9,)] * 50, "x double")
+    cur = spark.createDataFrame([(1e-9,)] * 80 + [(2e-9,)] * 20, "x double")
+    row = DR.psi_table(ref, cur, ["x"], categorical=()).first()
+    assert row["n_bins"] == 4 and row["psi"] == pytest.approx(0.3 * math.log(1.6) + 0.3 * math.log(2.5))
+
+
+def test_a_half_with_few_values_is_discrete_where_the_other_is_not(spark):
+    df = spark.createDataFrame([(i, float(i // 40)) for i in range(480)], "user_id int, x double")  # 12 values
+    split = DR.halves(df, ["x"], 3, 1, "user_id")
+    few = split.withColumn("side1", (F.col("x") < 5).cast("int"))
+    kinds = {s.round: s.kind for s in DR.fit_bins(few, ["x"], categorical=())}
+    assert kinds == {0: "quantile", 1: "discrete", 2: "quantile"}
+
+
+def test_no_row_is_shuffled_by_the_bin_passes(spark):
+    df = spark.range(1000).select("id", F.rand(1).alias("x"), F.rand(2).alias("y"), (F.col("id") % 2).cast("int").alias("side0"))
+    schemes = DR.fit_bins(df, ["x", "y"], categorical=())
+    plan = DR.apply_bins(df, schemes)._jdf.queryExecution().executedPlan().toString()
+    for part in plan.split("Exchange hashpartitioning")[1:]:
+        assert "partial_" in part.split("Exchange")[0] or "LocalTableScan" in part.split("Exchange")[0]
+
+
 def test_noise_floor_is_small_and_shared(spark):
     df = spark.createDataFrame([(i, float(i % 97)) for i in range(3000)], "user_id int, x double")
     row = DR.noise_floor(df, ["x"], rounds=3, categorical=()).first()
