@@ -204,3 +204,58 @@ def proofs(sources: Tree, top: Tree) -> DataFrame:
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumns({"doc_id": F.col("doc_id").cast("bigint")})
     return proofs(*manifest(docs))
+
+
+# trees as levels of grouped rows, paths and folding as a recursion over (row, level); crc32 bit by bit
+ORACLE = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce('=' || source, '') AS tree, text, list_transform(
+        [doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS head,
+        xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+            string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda c, b: list_reduce(
+            list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+            lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 5 = 0 AS hit
+    FROM documents
+), l AS (
+    SELECT doc_id, tree, sha256(array_to_string(head, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN hit THEN sha256(array_to_string(head, '') || coalesce(strlen(text) || ':' || translate(text,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered
+    FROM d
+), n AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY tree) AS size
+    FROM l
+), s AS (
+    SELECT tree, 0 AS level, pos, leaf AS node, size FROM n
+    UNION ALL
+    SELECT tree, level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (any_value(size) + 15) // 16
+    FROM s WHERE size > 1 GROUP BY tree, level, pos // 16
+), r AS (
+    SELECT tree, node, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size
+    FROM s WHERE size = 1
+), t AS (
+    SELECT 0 AS level, pos, node, size FROM r
+    UNION ALL
+    SELECT level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (any_value(size) + 15) // 16
+    FROM t WHERE size > 1 GROUP BY level, pos // 16
+), step AS (
+    SELECT tree, level AS g, pos, coalesce(string_agg(node, '') OVER lo, '') AS a, coalesce(string_agg(node, '') OVER hi, '') AS z
+    FROM s WHERE size > 1
+    WINDOW lo AS (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        hi AS (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+    UNION ALL
+    SELECT r.tree, r.height + x.level, -1, x.a, x.z FROM r JOIN (
+        SELECT level, pos, coalesce(string_agg(node, '') OVER lo, '') AS a, coalesce(string_agg(node, '') OVER hi, '') AS z
+        FROM t WHERE size > 1
+        WINDOW lo AS (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            hi AS (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+    ) x ON x.pos = r.pos // (16 ** x.level)::BIGINT
+), f AS (
+    SELECT doc_id, tree, leaf, 0 AS g, pos, coalesce(tampered, leaf) AS node, '' AS proof FROM n
+    UNION ALL
+    SELECT doc_id, f.tree, leaf, f.g + 1, f.pos // 16, sha256(a || node || z), proof || a || z
+    FROM f JOIN step ON step.tree = f.tree AND step.g = f.g AND step.pos IN (f.pos, -1)
+), top AS (SELECT node AS root FROM t WHERE size = 1)
+SELECT doc_id, leaf, r.node AS subroot, root, sha256(proof) AS proof_sha256, f.node AS folded_root, f.node = root AS verified
+FROM f JOIN r USING (tree), top WHERE f.g = (SELECT max(g) + 1 FROM step WHERE step.tree = f.tree)
+"""

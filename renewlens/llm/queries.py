@@ -30,4 +30,4 @@ QUERIES = {
     "op13_exact_dedup": op13_exact_dedup.op13_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op13_exact_dedup": op13_exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op11_merkle": op11_merkle.ORACLE, "op13_exact_dedup": op13_exact_dedup.ORACLE}

@@ -17,6 +17,9 @@ EXPECTED = {
     "op8_html": 3,
     "op9_ann": 6,
     "op10_decontaminate": 7,
+    "op11_merkle": 7,
+    "op12_conversation_repair": 2,
+    "op13_exact_dedup": 7,
 }
 
 
