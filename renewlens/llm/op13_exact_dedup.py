@@ -124,7 +124,8 @@ def matches(new: Snapshot, old: Snapshot) -> DataFrame:
     through = stage(screen(new, old), "screened").distinct()
     theirs = old.texts.select("digest", F.col("variant").alias("old_variant"), F.col("norm").alias("old_norm"))
     both = through.join(new.texts, "digest").join(theirs, "digest")
-    return both.where("norm = old_norm").select("digest", "variant", "old_variant")
+    # as an equality it would become a key of the join, and the texts would be shuffled by it
+    return both.where("norm >= old_norm and norm <= old_norm").select("digest", "variant", "old_variant")
 
 
 def classes(snapshots: list[Snapshot]) -> DataFrame:
@@ -205,8 +206,8 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = stage(exact_dedup(docs, **settings).where("kept"), "kept")
-    return by_row(docs, stays.select("row_key", F.lit(1).alias("copies")))
+    rows = exact_dedup(docs, **settings).select("row_key", F.col("kept").cast("int").alias("copies"))
+    return by_row(docs, stage(rows, "kept"))
 
 
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
