@@ -11,11 +11,12 @@ dropped by the tokenizer and no normalisation, piece or merge crosses it, so a t
 words' ids in a row; a text that may hold a special token's marker is encoded whole.
 
 Defined results: null text is empty (only the end id); empty tables give no rows; equal ids are
-ordered by their text; a null id comes first.
+ordered by a hash of their text; a null id comes first.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -34,10 +35,13 @@ from renewlens.session import staging_root
 SHARD_TOKENS = 1 << 21
 END_ID = 2
 VOCABULARY_FILE = "word_bpe_49k.json"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+LONG_WORD = 64  # bytes up to which a word is remembered
 RANK_BITS = 2048  # bits between two stored rank counts
 
 
+_LETTERS_THEN_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z").match
+
 # --- encoding ---------------------------------------------------------------------------
 
 
@@ -50,14 +54,25 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Known(dict):
-    """Words met so far and their ids; a word not met yet is encoded when it is asked for."""
+    """Words met so far and their ids, in two generations; an unknown word is encoded when asked for.
+
+    The older generation is dropped when the younger is full, so frequent words stay. Words over
+    LONG_WORD bytes are not remembered, which bounds the table in bytes too.
+    """
 
-    def __init__(self, encode):
+    def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.half, self.older = encode, limit // 2, {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -74,9 +89,7 @@ class WordEncoder:
         self.normal = self.tokenizer.normalizer.normalize_str
         self.pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = _byte_letters()
-        self.limit = cache_words
-        self.known = _Known(self._word)
-        self.marks = {w: self.whole(w) for w in (b".", b",")}
+        self.known = _Known(self._word, cache_words)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -88,25 +101,27 @@ class WordEncoder:
     def _word(self, word: bytes) -> bytes:
         """Ids of a word with a-z for A-Z and without a special token's marker.
 
-        Words of a-z, or of Latin letters that normalisation leaves alone, are one piece: they go
-        to the merges directly. Others go through normalisation and splitting first.
+        Letters of a-z, or Latin letters that normalisation leaves alone, are one piece, and so are
+        punctuation marks after them (but for the apostrophe, which may start a piece of letters):
+        such pieces go to the merges directly, and the letters are remembered for other endings.
+        Other words go through normalisation and splitting first.
         """
-        base, tail = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
-        if tail and base.isalpha():
-            return self.known[base] + self.marks[tail]
         if word.isalpha():
             return self._packed([t.id for t in self.model_ids(word.decode())])
+        if cut := _LETTERS_THEN_MARKS(word):
+            letters, marks = cut.groups()
+            text = letters.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0130":
+                if marks:
+                    return self.known[letters] + self.known[marks]
+                piece = text.lower().encode().decode("latin-1").translate(self.letters)
+                return self._packed([t.id for t in self.model_ids(piece)])
         text = word.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "\u0130":
-            piece = text.lower().encode().decode("latin-1").translate(self.letters)
-            return self._packed([t.id for t in self.model_ids(piece)])
         return self._packed([t.id for p, _ in self.pieces(self.normal(text)) for t in self.model_ids(p)])
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
             return self.whole(text)
-        if len(self.known) > self.limit:
-            self.known.clear()
         return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
@@ -299,8 +314,10 @@ def write_shards(
             yield row()
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
-    ordered = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
-    shards = ordered.mapInArrow(write, SHARD_SCHEMA)
+    # rows of one id are spread by a hash of their text, rows alike by their number: no hot id is one task
+    rows = rows.withColumns({"h": F.xxhash64("t"), "u": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange("k", "h", "u").sortWithinPartitions("k", "h", "u")
+    shards = ordered.select("k", "t").mapInArrow(write, SHARD_SCHEMA)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
 

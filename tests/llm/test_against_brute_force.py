@@ -129,6 +129,37 @@ def test_token_shards(spark, small, documents):
         at += len(ids)
 
 
+def test_hot_ids_are_spread_over_shards(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from renewlens.llm import op5_token_shards as O
+
+    t = Tokenizer.from_file(O.vocabulary_path())
+    rows = [(None, None)] * 400 + [(5, f"hot {k % 3}") for k in range(400)] + [(k, f"w{k}.") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged
+    try:
+        O.write_shards(docs, f"{tmp_path}/shards", vocabulary=O.vocabulary_path())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = spark.read.parquet(f"{tmp_path}/shards").select("part", "keys").collect()
+    assert len({r.part for r in parts if None in r["keys"]}) > 1 and len({r.part for r in parts if 5 in r["keys"]}) > 1
+    got = sorted(O.read_tokens(spark, f"{tmp_path}/shards").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    crc = lambda x: zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc(x) for _, x in rows)
+
+
+def test_word_table_forgets_the_older_half_and_long_words():
+    from renewlens.llm.op5_token_shards import WordEncoder, vocabulary_path
+
+    e = WordEncoder(vocabulary_path(), cache_words=8)
+    text = " ".join(["the", "x" * 500, *[f"w{k}zq" for k in range(50)], "the."])
+    assert np.frombuffer(e.encode(text.encode()), "<u2").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(e.known) + len(e.known.older) <= 8 and b"x" * 500 not in {**e.known, **e.known.older}
+
+
 ODD_TEXTS = (
     "É éa|a<|startoftext|>b x|<|ENDOFTEXT|>|don't we'll I'M 'S|1234 ½ ² ٣|ﬁ ﬀ|ΑΣ ΑΣ. Σ|İI Iı|ｆｕｌｌ|日本語テキスト。|😀😀 a😀b|"
     "a\x1fb\x85c|...,, a.,b ., x., é., é,|́a ́|µ ª º ß ẞ ǅ Ǆ|Å K|a­b c​d|Ĳ ŉ ſ ĸ Œ Ÿ Ā ā Į į|\t\n\v\f\r"
@@ -139,7 +170,8 @@ def test_word_encoder_on_odd_texts():
     from renewlens.llm.op5_token_shards import WordEncoder, vocabulary_path
 
     e = WordEncoder(vocabulary_path(), cache_words=3)
-    for text in ODD_TEXTS:
+    marked = ["é…. é—, ñ'll. a-b b.c ab''s é!?'t", "naïve.) (naïve) éa\u0301! z\u0301.", "\u00e9\u0327. \u00e9.\u0327"]
+    for text in [*ODD_TEXTS, *marked]:
         ids = np.frombuffer(e.encode(text.encode()), "<u2").tolist()
         assert ids == e.tokenizer.encode(text, add_special_tokens=False).ids, text
 
