@@ -46,8 +46,12 @@ class LinearScorer:
             lambda acc, f: acc + self.contribution(f), self.features, F.lit(float(self.base))
         )
 
-    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        return df.withColumn(out, sigmoid(self.log_odds()))
+    def probability(self, z: Column) -> Column:
+        return sigmoid(z)
+
+    def score(self, df: DataFrame, out: str = "p", *, contributions: bool = True) -> DataFrame:
+        """Contributions are expressions of the features: there are no columns to add."""
+        return df.withColumn(out, self.probability(self.log_odds()))
 
 
 def attribute(df: DataFrame, scorer: LinearScorer, carry: Sequence[str] = ()) -> DataFrame:
@@ -69,7 +73,7 @@ def attribute(df: DataFrame, scorer: LinearScorer, carry: Sequence[str] = ()) ->
 
 def local_accuracy(df: DataFrame, scorer: LinearScorer, p: str = "p") -> DataFrame:
     """Largest difference between the explained and the reported probability."""
-    gap = F.abs(sigmoid(scorer.log_odds()) - F.col(p))
+    gap = F.abs(scorer.probability(scorer.log_odds()) - F.col(p))
     return df.agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("max_gap"))
 
 
@@ -132,21 +136,10 @@ def representative_in_group(scorer: LinearScorer, members: Sequence[str]) -> Col
     )
 
 
-def top_contributors(
-    df: DataFrame,
-    scorer: LinearScorer,
-    *,
-    groups: Mapping[str, str] | None = None,
-    k: int = 3,
-    min_shap: float = 0.0,
-    carry: Sequence[str] = (),
-    keep_empty: bool = False,
-) -> DataFrame:
-    """Up to ``k`` groups per user that push the risk up, strongest first.
-
-    Only totals above ``min_shap`` qualify; a user with fewer gets fewer. With
-    ``keep_empty`` a user without any keeps one row of nulls.
-    """
+def strongest_groups(
+    scorer: LinearScorer, groups: Mapping[str, str] | None, k: int = 3, min_shap: float = 0.0
+) -> Column:
+    """Up to ``k`` groups of a row whose totals exceed ``min_shap``, strongest first, as an array."""
     if k < 1:
         raise ValueError(f"k must be positive: {k}")
     candidates = []
@@ -160,13 +153,31 @@ def top_contributors(
                 representative_in_group(scorer, members).alias("rep"),
             )
         )
-    strongest = F.slice(
+    return F.slice(
         F.array_sort(
             F.filter(F.array(*candidates), lambda g: -g["minus_total"] > F.lit(float(min_shap)))
         ),
         1,
         k,
     )
+
+
+def top_contributors(
+    df: DataFrame,
+    scorer: LinearScorer,
+    *,
+    groups: Mapping[str, str] | None = None,
+    k: int = 3,
+    min_shap: float = 0.0,
+    carry: Sequence[str] = (),
+    keep_empty: bool = False,
+) -> DataFrame:
+    """Up to ``k`` groups per user that push the risk up, strongest first.
+
+    Only totals above ``min_shap`` qualify; a user with fewer gets fewer. With
+    ``keep_empty`` a user without any keeps one row of nulls.
+    """
+    strongest = strongest_groups(scorer, groups, k, min_shap)
     rows = df.select(KEY, *carry, strongest.alias("strongest"))
     return rows.select(
         KEY,

@@ -3,6 +3,10 @@
 Tree learners of Spark ML reject missing values, so every numeric feature is
 fed as a constant-filled value plus a 0/1 missing flag. The filling looks at its
 own row only; nothing is imputed from the data.
+
+Categories are categories: trees split them as unordered sets (one nominal input, whose levels each
+node sorts by its own target mean), logistic models get one indicator per level. Levels come from
+the training rows; a missing code is a level of its own, and so is any code not seen there.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from renewlens.operators.attribution import LinearScorer
@@ -34,9 +38,10 @@ from renewlens.operators.metrics import log_loss
 from renewlens.operators.ranking import hash_rank
 from renewlens.operators.score import check_features_match
 from renewlens.session import stage
-from renewlens.sources.schemas import CATEGORICAL, KEY
+from renewlens.sources.schemas import CATEGORICAL, KEY, MISSING_CATEGORY
 
 MISSING_FILL = -999.0
+MAX_LEVELS = 1000  # levels of a category that a model tells apart; rarer codes count as unseen
 FAMILIES = ("gbt", "forest", "logistic")
 
 # Small but fixed budgets; raise them through ``params`` on real data.
@@ -56,12 +61,21 @@ class Fitted:
     features: tuple[str, ...]
     rounds: int
     params: Mapping[str, Any] = field(default_factory=dict)
-    # of the logistic family: standard deviation of each input on the training rows
+    # of the logistic family: standard deviation and mean of each input on the training rows
     deviations: tuple[float, ...] = ()
+    means: tuple[float, ...] = ()
+    levels: Mapping[str, tuple[int, ...]] = field(default_factory=dict)
+
+    @property
+    def inputs(self) -> list[Input]:
+        return model_inputs(self.name, self.features, self.levels)
+
+    def spark(self) -> SparkSession:
+        return SparkSession.active()
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         """Churn probability per row; keeps the input columns."""
-        scored = self.model.transform(prepare_matrix(df, self.features))
+        scored = self.model.transform(prepare_matrix(df, self.inputs))
         drop = [c for c in scored.columns if c not in df.columns and c != "probability"]
         return (
             scored.drop(*drop)
@@ -73,16 +87,65 @@ class Fitted:
         return importance_table(self, spark)
 
 
-def _inputs(features: Sequence[str]) -> list[str]:
-    return [f"x_{f}" for f in features] + [f"m_{f}" for f in features]
-
+@dataclass(frozen=True)
+class Input:
+    """One model input: its name, the feature it comes from, its SQL, and its levels if nominal."""
 
-def prepare_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Filled value and missing flag per feature, next to the original columns."""
-    filled = [
-        f"coalesce(cast({f} as double), {MISSING_FILL}D) as x_{f}" for f in features
-    ] + [f"cast({f} is null as double) as m_{f}" for f in features]
-    return df.selectExpr("*", *filled)
+    name: str
+    feature: str
+    sql: str
+    size: int = 0
+
+
+def level_number(feature: str, levels: Sequence[int]) -> str:
+    """SQL of a code's place among the levels; then missing, then codes that are not among them."""
+    known = " ".join(f"WHEN {code} THEN {i}.0D" for i, code in enumerate(levels))
+    n = len(levels)
+    missing = f"coalesce(cast(`{feature}` AS bigint), {MISSING_CATEGORY}) = {MISSING_CATEGORY}"
+    tail = f"CASE cast(`{feature}` AS bigint) {known} ELSE {n + 1}.0D END" if levels else f"{n + 1}.0D"
+    return f"(CASE WHEN {missing} THEN {n}.0D ELSE {tail} END)"
+
+
+def model_inputs(family: str, features: Sequence[str], levels: Mapping[str, Sequence[int]]) -> list[Input]:
+    """Value and missing flag of each number; one nominal input per category, or, for the logistic
+    family, an indicator per level and one for missing."""
+    values, flags, categories = [], [], []
+    for f in features:
+        if f not in levels:
+            values.append(Input(f"x_{f}", f, f"coalesce(cast(`{f}` AS double), {MISSING_FILL}D)"))
+            flags.append(Input(f"m_{f}", f, f"cast(`{f}` IS NULL AS double)"))
+        elif family == "logistic":
+            at = level_number(f, levels[f])
+            categories += [Input(f"c_{f}_{i}", f, f"cast({at} = {i}.0D AS double)") for i in range(len(levels[f]) + 1)]
+        else:
+            categories.append(Input(f"c_{f}", f, level_number(f, levels[f]), len(levels[f]) + 2))
+    return [*values, *flags, *categories]
+
+
+def training_levels(train: DataFrame, categorical: Sequence[str]) -> dict[str, tuple[int, ...]]:
+    """Codes of the training rows per category, ascending: the MAX_LEVELS most frequent of each."""
+    if not categorical:
+        return {}
+    codes = train.select(*[F.col(c).cast("bigint").alias(c) for c in categorical])
+    counts = codes.unpivot([], list(categorical), "feature", "code").groupBy("feature", "code").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.filter(F.col("code").isNotNull() & (F.col("code") != MISSING_CATEGORY))
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "code"))
+    kept = counts.withColumn("place", place).filter(F.col("place") <= MAX_LEVELS).collect()
+    return {c: tuple(sorted(r["code"] for r in kept if r["feature"] == c)) for c in categorical}
+
+
+def prepare_matrix(df: DataFrame, inputs: Sequence[Input]) -> DataFrame:
+    """The model's inputs next to the original columns; nominal ones say so in their metadata."""
+    columns = []
+    for x in inputs:
+        column = F.expr(x.sql)
+        if x.size:
+            values = [str(i) for i in range(x.size)]
+            column = column.alias(x.name, metadata={"ml_attr": {"type": "nominal", "name": x.name, "vals": values}})
+        else:
+            column = column.alias(x.name)
+        columns.append(column)
+    return df.select("*", *columns)
 
 
 def _estimator(family: str, params: Mapping[str, Any]):
@@ -105,6 +168,7 @@ def fit_scorer(
     params: Mapping[str, Any] | None = None,
     segment: str = "segment",
     fixed_rounds: bool = False,
+    categorical: Sequence[str] = CATEGORICAL,
 ) -> Fitted:
     """Train on ``train``; the boosted family picks its rounds on ``es``.
 
@@ -118,24 +182,32 @@ def fit_scorer(
         data = rows.filter(F.col(segment).isin(*wanted)).withColumn(
             "is_es", F.col(segment) == "es"
         )
-    data = prepare_matrix(data, features).withColumn("label", F.col("is_churn").cast("double"))
+    levels = training_levels(data.filter("not is_es"), [c for c in categorical if c in features])
+    inputs = model_inputs(family, features, levels)
+    data = prepare_matrix(data, inputs).withColumn("label", F.col("is_churn").cast("double"))
     estimator = _estimator(family, dict(params or {}))
+    most = max((x.size for x in inputs), default=0)
+    if most and estimator.getMaxBins() < most:
+        estimator.setMaxBins(most)
     if family == "gbt" and fixed_rounds:
         estimator.clear(estimator.validationIndicatorCol)
-    assembler = VectorAssembler(inputCols=_inputs(features), outputCol="vector")
+    assembler = VectorAssembler(inputCols=[x.name for x in inputs], outputCol="vector")
     # Boosting passes over its input once per round: keep the assembled vectors only.
     matrix = assembler.transform(data).select("vector", "label", "is_es").persist()
     try:
         model = estimator.fit(matrix)
         deviations: tuple[float, ...] = ()
+        means: tuple[float, ...] = ()
         if family == "logistic":
-            spread = matrix.select(Summarizer.metrics("variance").summary(F.col("vector")).alias("s"))
-            deviations = tuple(math.sqrt(v) for v in spread.first().s.variance)
+            spread = matrix.select(Summarizer.metrics("variance", "mean").summary(F.col("vector")).alias("s"))
+            s = spread.first().s
+            deviations = tuple(math.sqrt(v) for v in s.variance)
+            means = tuple(float(v) for v in s.mean)
     finally:
         matrix.unpersist()
     rounds = model.getNumTrees if family in ("gbt", "forest") else int(model.summary.totalIterations)
     return Fitted(
-        family, PipelineModel([assembler, model]), tuple(features), rounds, dict(params or {}), deviations
+        family, PipelineModel([assembler, model]), tuple(features), rounds, dict(params or {}), deviations, means, levels
     )
 
 
@@ -156,15 +228,17 @@ def mean_ensemble(df: DataFrame, models: Sequence[Fitted], out: str = "p_ensembl
 
 
 def gains(fitted: Fitted) -> dict[str, float]:
-    """Importance per feature; value and missing flag count together, unused ones are 0."""
+    """Importance per feature; all inputs of a feature count together, unused ones are 0."""
     model = fitted.model.stages[-1]
-    n = len(fitted.features)
     if fitted.name == "logistic":
         # per standard deviation of the training rows, so that units do not count
         raw = [abs(float(c)) * s for c, s in zip(model.coefficients, fitted.deviations, strict=True)]
     else:
         raw = [float(v) for v in model.featureImportances.toArray()]
-    return {f: raw[i] + raw[n + i] for i, f in enumerate(fitted.features)}
+    out = dict.fromkeys(fitted.features, 0.0)
+    for x, value in zip(fitted.inputs, raw, strict=True):
+        out[x.feature] += value
+    return out
 
 
 def importance_table(fitted: Fitted, spark: SparkSession) -> DataFrame:
@@ -183,6 +257,8 @@ def linear_scorer(fitted: Fitted, train: DataFrame) -> LinearScorer:
     """
     if fitted.name != "logistic":
         raise ValueError("only the logistic family is additive in its features")
+    if fitted.levels:
+        raise ValueError("categories have no single weight: compile the model instead")
     model = fitted.model.stages[-1]
     n = len(fitted.features)
     weights = [float(c) for c in model.coefficients]
@@ -422,7 +498,7 @@ def calibration_decision(
     }
 
 
-BUNDLE_VERSION = 1
+BUNDLE_VERSION = 2
 BUNDLE_SECTIONS = ("assumptions", "cohort", "params")
 COHORT_KEYS = ("train", "eval", "cutoff_definition", "train_churn_rate")
 
@@ -465,14 +541,15 @@ def save_bundle(fitted: Fitted, path: str, meta: Mapping[str, Any], spark: Spark
         fitted.name,
         fitted.rounds,
         list(fitted.features),
-        [c for c in CATEGORICAL if c in fitted.features],
+        list(fitted.levels),
+        json.dumps({"levels": fitted.levels, "means": fitted.means, "deviations": fitted.deviations}),
         json.dumps(dict(fitted.params), sort_keys=True),
         json.dumps(dict(meta), sort_keys=True, default=str),
     )
     spark.createDataFrame(
         [row],
         "version int, family string, rounds int, features array<string>,"
-        " categorical array<string>, params string, meta string",
+        " categorical array<string>, inputs string, params string, meta string",
     ).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -490,9 +567,13 @@ def load_bundle(path: str, spark: SparkSession) -> Bundle:
         raise KeyError(f"bundle metadata lacks the sections {missing}")
     model = PipelineModel.load(f"{path}/model")
     features = tuple(row["features"])
-    if list(model.stages[0].getInputCols()) != _inputs(features):
+    known = json.loads(row["inputs"])
+    fitted = Fitted(
+        row["family"], model, features, row["rounds"], json.loads(row["params"]),
+        tuple(known["deviations"]), tuple(known["means"]), {c: tuple(v) for c, v in known["levels"].items()},
+    )
+    if list(model.stages[0].getInputCols()) != [x.name for x in fitted.inputs]:
         raise GuardViolation("features_match: the stored model was trained on other features")
-    fitted = Fitted(row["family"], model, features, row["rounds"], json.loads(row["params"]))
     return Bundle(fitted, meta)
 
 

@@ -1,17 +1,19 @@
 """Reason sentences for the listed users.
 
-Wording lives in a small metadata table; rendering is one join with it and a
-chain of built-in string functions. Suppressed candidates are kept and marked.
+Every feature's wording is known beforehand; a row's sentences are expressions of that row, kept in
+an array column, so scoring and listing need neither a join nor a grouping. Long tables of reasons
+join the wording as a small table. Suppressed candidates are kept and marked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.operators.attribution import LinearScorer, top_contributors
+from renewlens.operators.attribution import LinearScorer, strongest_groups, top_contributors
 from renewlens.operators.guards import require_columns
 from renewlens.operators.logs import TRENDS, feature_group_of, log_columns, window_measure
 from renewlens.operators.quantiles import exact_quantiles, value_counts
@@ -185,69 +187,129 @@ def context_struct(df: DataFrame) -> Column:
     return F.create_map(*pairs).alias("context_values")
 
 
-def _shown(value: str) -> str:
-    """SQL text for a number in its feature's format."""
-    return (
-        f"case when percent then concat(format_number({value} * 100, digits), '%')"
-        f" else format_number({value}, digits) end"
-    )
+def _shown(value: Column, percent: Column, digits: Column) -> Column:
+    """A number in its feature's format."""
+    scaled = F.concat(F.call_function("format_number", value * 100, digits), F.lit("%"))
+    return F.when(percent, scaled).otherwise(F.call_function("format_number", value, digits))
 
 
-def render_reason() -> Column:
-    """Sentence for (feature, value, context_values) once metadata columns are joined."""
-    no_logs = F.coalesce(F.col("context_values")["log_has_logs"] == 0.0, F.lit(False))
+def render_reason(
+    meta: Callable[[str], Column] = F.col, value: Column | None = None, context: Callable[[Column | str], Column] | None = None
+) -> Column:
+    """Sentence for a feature and its value.
+
+    ``meta`` gives the wording's fields (columns after a join, or literals where the feature is
+    known), ``context`` the value of a named context column.
+    """
+    value = F.col("value") if value is None else value
+    context = context or (lambda name: F.col("context_values")[name])
+    noun, unit = meta("noun"), meta("unit")
+    no_logs = F.coalesce(context("log_has_logs") == 0.0, F.lit(False))
     absent = F.when(
-        no_logs & F.col("is_log"), F.lit(f"No activity in the last {MAX_WINDOW} days")
-    ).otherwise(F.concat("noun", F.lit(" is missing")))
+        no_logs & meta("is_log"), F.lit(f"No activity in the last {MAX_WINDOW} days")
+    ).otherwise(F.concat(noun, F.lit(" is missing")))
 
-    flag = F.when(F.col("value") >= 0.5, F.col("flag_on")).otherwise(F.col("flag_off"))
+    flag = F.when(value >= 0.5, meta("flag_on")).otherwise(meta("flag_off"))
 
-    code = F.col("value").cast("int")
-    named = F.concat("noun", F.lit(" "), code.cast("string"))
+    code = value.cast("int")
+    named = F.concat(noun, F.lit(" "), code.cast("string"))
     for number, name in GENDER_NAMES.items():
         named = F.when(
-            (F.col("feature") == "gender_code") & (code == number),
-            F.concat("noun", F.lit(f" is {name}")),
+            (meta("feature") == "gender_code") & (code == number),
+            F.concat(noun, F.lit(f" is {name}")),
         ).otherwise(named)
-    category = F.when(code == MISSING_CATEGORY, F.concat("noun", F.lit(" is unknown"))).otherwise(
+    category = F.when(code == MISSING_CATEGORY, F.concat(noun, F.lit(" is unknown"))).otherwise(
         named
     )
 
-    tail = F.when(F.col("unit") == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.col("unit")))
-    shown = F.expr(_shown("value"))
+    tail = F.when(unit == "", F.lit("")).otherwise(F.concat(F.lit(" "), unit))
+    shown = _shown(value, meta("percent"), meta("digits"))
     plain = F.when(
-        F.col("template").isNotNull(), F.replace(F.col("template"), F.lit("{v}"), shown)
-    ).otherwise(F.concat(F.col("noun"), F.lit(" "), shown, tail))
+        meta("template").isNotNull(), F.replace(meta("template"), F.lit("{v}"), shown)
+    ).otherwise(F.concat(noun, F.lit(" "), shown, tail))
     span = CONTEXT_WIDE - CONTEXT_NARROW
     parts = span // CONTEXT_NARROW
+    assert parts * CONTEXT_NARROW == span
+    before = (context(meta("context")) - value) / F.lit(float(parts))
     earlier = F.concat(
         F.lit(f" (average per {CONTEXT_NARROW} days over the {span} days before: "),
-        F.expr(_shown("earlier")),
+        _shown(before, meta("percent"), meta("digits")),
         tail,
         F.lit(")"),
     )
-    number = F.concat(plain, F.when(F.col("earlier") >= 0, earlier).otherwise(F.lit("")))
-    assert parts * CONTEXT_NARROW == span
+    number = F.concat(plain, F.when(before >= 0, earlier).otherwise(F.lit("")))
     return (
-        F.when(F.col("value").isNull(), absent)
-        .when(F.col("flag_on").isNotNull(), flag)
-        .when(F.col("category"), category)
+        F.when(value.isNull(), absent)
+        .when(meta("flag_on").isNotNull(), flag)
+        .when(meta("category"), category)
         .otherwise(number)
     )
 
 
+@cache
+def _wording_map() -> str:
+    """SQL of a constant map: feature -> its wording, fixed in size."""
+
+    def sql(x: object) -> str:
+        if x is None:
+            return "cast(null as string)"
+        return "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x).lower()
+
+    entries = []
+    for f in WORDED:
+        fields = ", ".join(f"'{k}', {sql(v)}" for k, v in wording(f).items())
+        entries.append(f"'{f}', named_struct({fields})")
+    return f"map({', '.join(entries)})"
+
+
+def with_reasons(
+    df: DataFrame, scorer: LinearScorer, *, k: int = 3, min_shap: float = 0.0, min_relative: float = MIN_RELATIVE_SHARE
+) -> DataFrame:
+    """``df`` with the array ``reasons``: a row's top groups with sentences and display marks.
+
+    Strongest first. Wording is a constant, so nothing is joined, exploded or grouped again.
+    """
+    if min_relative < 0:
+        raise ValueError(f"min_relative must not be negative: {min_relative}")
+    unworded = [f for f in scorer.features if f not in GROUPS]
+    if unworded:
+        raise KeyError(f"no wording for features {unworded}")
+
+    def told(x: Column, i: Column) -> Column:
+        g, words = x["g"], x["words"]
+        horizon = words["horizon"]
+        relative = g["minus_total"] / F.col("strongest")[0]["minus_total"]
+        displayed = relative >= min_relative
+        return F.struct(
+            (i + 1).alias("rank"),
+            g["group"].alias("group"),
+            (-g["minus_total"]).alias("group_shap"),
+            g["rep"]["feature"].alias("feature"),
+            g["rep"]["shap"].alias("feature_shap"),
+            g["rep"]["value"].alias("value"),
+            render_reason(lambda name: words[name], g["rep"]["value"]).alias("reason"),
+            horizon.alias("horizon"),
+            (horizon == EXPIRY).alias("expiry_dated"),
+            relative.alias("relative_to_top"),
+            displayed.alias("displayed"),
+            F.when(~displayed, F.lit(f"{SUPPRESSED}({min_relative})")).alias("suppression_reason"),
+        )
+
+    wording_of = F.expr(_wording_map())
+    worded = F.transform(
+        "strongest", lambda g: F.struct(g.alias("g"), F.element_at(wording_of, g["rep"]["feature"]).alias("words"))
+    )
+    ranked = df.withColumns({"strongest": strongest_groups(scorer, GROUPS, k, min_shap), "context_values": context_struct(df)})
+    return ranked.withColumn("reasons", F.transform(worded, told)).drop("strongest", "context_values")
+
+
 def add_reasons(top: DataFrame) -> DataFrame:
     """Add ``reason``, ``horizon`` and ``expiry_dated`` to top contributors.
 
     ``top`` carries ``context_values``. Expiry-dated sentences are marked, not removed.
     """
     require_columns(top, [KEY, "feature", "value", "context_values"], "top contributors")
-    meta = feature_metadata(top.sparkSession)
-    joined = top.join(meta, "feature", "left").withColumn(
-        "earlier",
-        (F.col("context_values")[F.col("context")] - F.col("value"))
-        / F.lit(float((CONTEXT_WIDE - CONTEXT_NARROW) // CONTEXT_NARROW)),
-    )
+    joined = top.join(feature_metadata(top.sparkSession), "feature", "left")
     known = F.when(F.col("noun").isNotNull(), render_reason()).when(
         F.col("feature").isNotNull(),
         F.raise_error(F.concat(F.lit("no wording for feature "), F.col("feature"))).cast("string"),
@@ -291,18 +353,11 @@ def explain(
     carry: Sequence[str] = (),
     keep_empty: bool = False,
 ) -> DataFrame:
-    """Top groups, sentences and display marks of every row, without a shuffle."""
-    rows = df.withColumn("context_values", context_struct(df))
-    top = top_contributors(
-        rows,
-        scorer,
-        groups=GROUPS,
-        k=k,
-        min_shap=min_shap,
-        carry=[*carry, "context_values"],
-        keep_empty=keep_empty,
-    )
-    return mark_display(add_reasons(top), min_relative)
+    """Top groups, sentences and display marks of every row, a line each, without a shuffle or a join."""
+    rows = with_reasons(df, scorer, k=k, min_shap=min_shap, min_relative=min_relative)
+    line = (F.explode_outer if keep_empty else F.explode)("reasons").alias("r")
+    fields = "rank group group_shap feature feature_shap value reason horizon expiry_dated relative_to_top displayed suppression_reason"
+    return rows.select(KEY, *carry, line).select(KEY, *carry, *[F.col(f"r.{c}").alias(c) for c in fields.split()])
 
 
 def display_impact(marked: DataFrame) -> DataFrame:
@@ -343,20 +398,23 @@ def expiry_dated_share(marked: DataFrame) -> DataFrame:
     )
 
 
-def wide_reasons(marked: DataFrame, users: DataFrame, k: int = 3) -> DataFrame:
-    """One row per listed user with the displayed sentences; short rows stay null."""
-    shown = marked.filter("displayed") if "displayed" in marked.columns else marked
-    cells = shown.groupBy(KEY).pivot("rank", list(range(1, k + 1))).agg(
-        F.first("reason").alias("reason"),
-        F.first("group").alias("group"),
-        F.first(F.round("group_shap", 4)).alias("group_shap"),
-        F.first("expiry_dated").alias("expiry_dated"),
-    )
-    names = ("reason", "group", "group_shap", "expiry_dated")
-    renamed = cells.select(
-        KEY, *[F.col(f"{r}_{n}").alias(f"{n}_{r}") for r in range(1, k + 1) for n in names]
-    )
-    return users.join(renamed, KEY, "left")
+def wide_reasons(rows: DataFrame, keep: Sequence[str], k: int = 3) -> DataFrame:
+    """One row per listed user with the displayed sentences; short rows stay null.
+
+    ``rows`` carry the array ``reasons`` of :func:`with_reasons`.
+    """
+    require_columns(rows, [KEY, "reasons", *keep], "rows with reasons")
+    cells = []
+    for n in range(1, k + 1):
+        of = F.try_element_at("reasons", F.lit(n))
+        of = F.when(of["displayed"], of)
+        cells += [
+            of["reason"].alias(f"reason_{n}"),
+            of["group"].alias(f"group_{n}"),
+            F.round(of["group_shap"], 4).alias(f"group_shap_{n}"),
+            of["expiry_dated"].alias(f"expiry_dated_{n}"),
+        ]
+    return rows.select(KEY, *keep, *cells)
 
 
 AUDIT_COLUMNS = (

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.operators.attribution import LinearScorer
+from renewlens.operators.attribution import LOCAL_ACCURACY_TOLERANCE, LinearScorer
 from renewlens.operators.features import transaction_features
 from renewlens.operators.guards import GuardViolation, require_columns
 from renewlens.operators.logs import log_columns
-from renewlens.operators.reasons import explain
+from renewlens.operators.reasons import with_reasons
 from renewlens.sources.schemas import KEY, LAST_COLUMNS, MEMBER_COLUMNS
 
+if TYPE_CHECKING:
+    from renewlens.operators.compiled import CompiledScorer
+
 TOP_K = 3
 TRANSACTION_FIELDS = (
     "cutoff",
@@ -48,11 +52,13 @@ def rows_to_features(
     *,
     with_logs: bool = True,
     allow_empty: bool = False,
+    warnings: str | None = None,
 ) -> DataFrame:
     """Requests through the same feature builder as the offline table, row by row.
 
     Log fields are optional; what is not supplied is missing, never zero. A log
-    field from after the cutoff and, unless allowed, an empty table are errors.
+    field from after the cutoff and, unless allowed, an empty table are errors. With ``warnings`` the
+    request's warnings ride along in a column of that name, so two requests of one user keep their own.
     """
     if not allow_empty and requests.isEmpty():
         raise ValueError("there are no requests to score")
@@ -69,12 +75,15 @@ def rows_to_features(
             latest < 0, F.raise_error(F.lit("a log field reaches past the cutoff")).cast("double")
         ).otherwise(latest)
         supplied["log_has_logs"] = F.coalesce(supplied["log_has_logs"], F.lit(0.0))
-    features = transaction_features(shaped.withColumns(supplied) if supplied else shaped, log_fields)
+    carried = [warnings] if warnings else []
+    if warnings:
+        shaped = shaped.withColumn(warnings, request_notes(requests, with_logs=with_logs))
+    features = transaction_features(shaped.withColumns(supplied) if supplied else shaped, [*log_fields, *carried])
     missing = sorted(set(feature_order) - set(features.columns))
-    extra = sorted(set(features.columns) - set(feature_order) - {KEY, "is_churn"})
+    extra = sorted(set(features.columns) - set(feature_order) - {KEY, "is_churn", *carried})
     if missing or extra:
         raise ValueError(f"built features do not match the model: missing {missing}, extra {extra}")
-    return features.select(KEY, *feature_order)
+    return features.select(KEY, *feature_order, *carried)
 
 
 def check_features_match(df: DataFrame, feature_order: Sequence[str]) -> None:
@@ -88,8 +97,8 @@ def check_features_match(df: DataFrame, feature_order: Sequence[str]) -> None:
         )
 
 
-def request_warnings(requests: DataFrame, *, with_logs: bool = True) -> DataFrame:
-    """Per request: what the caller should know about the input."""
+def request_notes(requests: DataFrame, *, with_logs: bool = True) -> Column:
+    """What the caller should know about a request, as an array of sentences."""
     notes: list[Column] = []
     if with_logs:
         given = [c for c in log_columns() if c in requests.columns]
@@ -107,74 +116,72 @@ def request_warnings(requests: DataFrame, *, with_logs: bool = True) -> DataFram
             "registered after the cutoff: member attributes were blanked",
         )
     )
-    return requests.select(KEY, F.array_compact(F.array(*notes)).alias("warnings"))
+    return F.array_compact(F.array(*notes))
+
+
+def request_warnings(requests: DataFrame, *, with_logs: bool = True) -> DataFrame:
+    """Per request: key and warnings."""
+    return requests.select(KEY, request_notes(requests, with_logs=with_logs).alias("warnings"))
+
+
+_REASON = "rank group reason group_shap feature value horizon expiry_dated relative_to_top suppression_reason".split()
 
 
 def score_table(
     features: DataFrame,
-    scorer: LinearScorer,
+    scorer: LinearScorer | CompiledScorer,
     assumptions: DataFrame,
     *,
     at_expiry: bool = True,
     top_k: int = TOP_K,
-    warnings: DataFrame | None = None,
+    warnings: str | None = None,
+    reasons: bool = True,
+    tolerance: float = LOCAL_ACCURACY_TOLERANCE,
 ) -> DataFrame:
-    """Score, threshold decision, value, nested reasons and warnings per user."""
+    """Score, threshold decision, value, nested reasons and warnings per user.
+
+    Everything is computed inside the row. ``warnings`` names an array column of ``features`` with
+    what the caller should know about the request. With ``reasons=False`` only probabilities and
+    decisions are computed; with reasons, a row whose contributions miss its probability by more than
+    ``tolerance`` is an error.
+    """
     require_columns(features, scorer.features, "features")
-    # A number per row keeps two requests of one user apart.
-    base = scorer.score(features).withColumn("request_no", F.monotonically_increasing_id())
-    a = assumptions.select(
-        F.struct("r_save", "c_offer", "ltv_saved", "p_star").alias("a")
-    ).scalar()
-    # The score rides along, and users without a reason keep a row, so one grouping on the
-    # user rebuilds the whole answer.
-    reasons = explain(base, scorer, k=top_k, carry=["p", "request_no"], keep_empty=True)
-    cell = F.struct(
-        "rank",
-        "group",
-        "reason",
-        F.round("group_shap", 4).alias("group_shap"),
-        "feature",
-        "value",
-        "horizon",
-        "expiry_dated",
-        F.round("relative_to_top", 4).alias("relative_to_top"),
-        "suppression_reason",
-    )
-    joined = (
-        reasons.groupBy(KEY, "p", "request_no")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("displayed"), cell))).alias("reasons"),
-            F.array_sort(F.collect_list(F.when(~F.col("displayed"), cell))).alias("suppressed"),
-            F.coalesce(
-                F.max(F.when(F.col("displayed"), F.col("expiry_dated"))), F.lit(False)
-            ).alias("shows_dated"),
-        )
-        .withColumn("a", a)
-    )
-    own = F.array(
-        F.when(
-            F.size("reasons") == 0,
-            "no feature group raises the risk: there is no reason to name",
-        ),
-        F.when(
-            F.lit(at_expiry) & F.col("shows_dated"),
-            "a reason describes the expiry day itself and is unknown before it",
-        ),
-    )
+    a = assumptions.select(F.struct("r_save", "c_offer", "ltv_saved", "p_star").alias("a")).scalar()
+    base = scorer.score(features, contributions=reasons).withColumn("a", a)
+    own: list[Column] = []
+    if reasons:
+        gap = F.abs(scorer.probability(scorer.log_odds()) - F.col("p"))
+        message = F.concat(F.lit("local_accuracy: contributions miss the probability by "), gap.cast("string"))
+        base = base.withColumn("p", F.when(gap <= tolerance, F.col("p")).otherwise(F.raise_error(message).cast("double")))
+        base = with_reasons(base, scorer, k=top_k)
+        shown, hidden = F.filter("reasons", lambda r: r["displayed"]), F.filter("reasons", lambda r: ~r["displayed"])
+        own = [
+            F.when(F.size(shown) == 0, "no feature group raises the risk: there is no reason to name"),
+            F.when(
+                F.lit(at_expiry) & F.exists(shown, lambda r: r["expiry_dated"]),
+                "a reason describes the expiry day itself and is unknown before it",
+            ),
+        ]
+
+        def cell(r: Column) -> Column:
+            rounded = {"group_shap", "relative_to_top"}
+            return F.struct(*[(F.round(r[c], 4) if c in rounded else r[c]).alias(c) for c in _REASON])
+
+        told = [F.transform(shown, cell).alias("reasons"), F.transform(hidden, cell).alias("suppressed")]
+    else:
+        told = []
+    notes = F.array(*own) if own else F.array().cast("array<string>")
     if warnings is not None:
-        joined = joined.join(warnings, KEY, "left")
-        own = F.concat(F.coalesce(F.col("warnings"), F.array().cast("array<string>")), own)
+        notes = F.concat(F.coalesce(F.col(warnings), F.array().cast("array<string>")), notes)
     net = F.col("p") * F.col("a.r_save") * F.col("a.ltv_saved") - F.col("a.c_offer")
-    return joined.select(
+    return base.select(
         KEY,
         "p",
         F.col("a.p_star").alias("p_star"),
         (F.col("p") > F.col("a.p_star")).alias("above_threshold"),
         F.round(net, 1).alias("expected_net"),
-        "reasons",
-        "suppressed",
-        F.array_compact(own).alias("warnings"),
+        *told,
+        F.array_compact(notes).alias("warnings"),
     )
 
 

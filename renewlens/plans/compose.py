@@ -15,7 +15,7 @@ from renewlens.operators.features import FeatureRoles, build_features, check_log
 from renewlens.operators.guards import check_cohort
 from renewlens.operators.logs import build_log_features, window_bounds
 from renewlens.operators.metrics import repeat_vs_new
-from renewlens.operators.reasons import audit_frame, explain, wide_reasons
+from renewlens.operators.reasons import audit_frame, explain, wide_reasons, with_reasons
 from renewlens.sources import demo
 from renewlens.sources.schemas import KEY, MAX_WINDOW
 from renewlens.sources.store import FeatureTableStore, inputs_version
@@ -183,9 +183,8 @@ def offers_with_reasons(
     result waits for the other.
     """
     listed = offer_list(scored, assumptions)
-    marked = explain(listed, scorer, k=k)
-    wide = wide_reasons(marked, listed.select(KEY, "p", "expected_net"), k)
-    return wide, audit_frame(marked)
+    wide = wide_reasons(with_reasons(listed, scorer, k=k), ["p", "expected_net"], k)
+    return wide, audit_frame(explain(listed, scorer, k=k))
 
 
 def demo_assumptions(src: Sources, spec: CohortSpec, previous: CohortSpec) -> DataFrame:

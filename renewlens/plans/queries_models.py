@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 
 from renewlens.functions.scalars import seeded_hash
 from renewlens.operators import experiments, models, split
-from renewlens.operators.attribution import LinearScorer, mean_abs_attribution
+from renewlens.operators.attribution import LinearScorer, local_accuracy, mean_abs_attribution
+from renewlens.operators.compiled import compile_scorer
 from renewlens.operators.decision import BusinessParams
 from renewlens.operators.metrics import log_loss
 from renewlens.operators.ranking import winner_row
+from renewlens.operators.score import score_table
 from renewlens.plans import jobs
 from renewlens.plans import oracle_tables as O
 from renewlens.plans.compose import FIXED_SCORER, Sources, feature_table, scored_table
 from renewlens.plans.oracle_tables import r6
-from renewlens.plans.queries_eval import scored, slim
+from renewlens.plans.queries_eval import _requests, assumptions, scored, slim
 from renewlens.plans.registry import register
 from renewlens.session import stage, staging_root
 from renewlens.sources.demo import Q2, Q2_T7, Q3, Q3_T7
+from renewlens.streaming.scoring import request_stream, score_stream
 
 _S3 = O.scored_block(Q3, Q2)
 _S2 = O.scored_block(Q2)
+_F3 = O.features_block(Q3)
 
 # --- run tables of fitted models -------------------------------------------
 #
@@ -752,3 +756,51 @@ def model_bundle(src: Sources) -> DataFrame:
         [(gap, loaded.p_star, loaded.deployable, len(loaded.fitted.features))],
         "max_gap double, p_star double, deployable boolean, n_features int",
     )
+
+
+@register(
+    "score_bundle",
+    f"""SELECT family, count(*) AS n_users, 1 AS batch_equal, 1 AS stream_equal,
+  CASE WHEN family <> 'forest' THEN 1 END AS additive
+FROM (SELECT unnest(['gbt', 'forest', 'logistic']) AS family) f, {_F3} GROUP BY family""",
+    _F3,
+)
+def score_bundle(src: Sources) -> DataFrame:
+    """Decisions of stored models: compiled from the bundle, in batch and over request files.
+
+    Both must give the model's own probabilities to 1e-12, and contributions must add up to them.
+    """
+    rows, valid = _rows(src), _table(src, Q3)
+    spark = rows.sparkSession
+    requests = stage(_requests(src), "requests")
+    star = stage(assumptions(src), "assumptions")
+    lines = []
+    for family in models.FAMILIES:
+        fitted = models.fit_scorer(rows, jobs.feature_names(rows), family=family)
+        meta = jobs.bundle_metadata(
+            Q2, Q3, train_churn_rate=0.1, ltv_saved=600.0, params=BusinessParams(c_offer=50.0),
+            model_params=models.DEFAULTS[family],
+        )
+        path = f"{staging_root(spark)}/bundle-{uuid.uuid4().hex}"
+        models.save_bundle(fitted, path, meta, spark)
+        scorer = compile_scorer(models.load_bundle(path, spark).fitted)
+        want = stage(fitted.predict(valid).select("user_id", F.col("p").alias("q")), "predicted")
+        told = family != "forest"  # deep trees: probabilities only
+        batch = stage(score_table(valid, scorer, star, reasons=told).select("user_id", "p"), "batch")
+        query = score_stream(
+            request_stream(spark, requests.inputFiles()[0].rsplit("/", 1)[0], requests.schema),
+            scorer, star, scorer.features, out=f"{path}/decisions", checkpoint=f"{path}/checkpoint", reasons=False,
+        )
+        query.awaitTermination()
+        streamed = spark.read.parquet(f"{path}/decisions")
+
+        def equal(scored: DataFrame) -> bool:
+            gap = want.join(scored.select("user_id", "p"), "user_id", "full")  # noqa: B023
+            worst = gap.agg(F.max(F.coalesce(F.abs(F.col("p") - F.col("q")), F.lit(1.0)))).first()[0]
+            return worst is not None and worst <= 1e-12
+
+        additive = int(local_accuracy(scorer.score(valid), scorer).first()["max_gap"] <= 1e-9) if told else None
+        lines.append((family, want.count(), int(equal(batch)), int(equal(streamed)), additive))
+    return spark.createDataFrame(
+        lines, "family string, n_users bigint, batch_equal bigint, stream_equal bigint, additive bigint"
+    )

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from renewlens.operators.attribution import LinearScorer
-from renewlens.operators.score import request_warnings, rows_to_features, score_table
+from renewlens.operators.compiled import CompiledScorer
+from renewlens.operators.score import rows_to_features, score_table
 
 
 def request_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -24,34 +25,38 @@ def request_stream(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 def score_batch(
     requests: DataFrame,
-    scorer: LinearScorer,
+    scorer: LinearScorer | CompiledScorer,
     assumptions: DataFrame,
     feature_order: Sequence[str],
     *,
     at_expiry: bool = True,
+    reasons: bool = True,
 ) -> DataFrame:
     """Requests -> decisions, with the warnings about each request."""
-    features = rows_to_features(requests, feature_order, allow_empty=True)
+    features = rows_to_features(requests, feature_order, allow_empty=True, warnings="warnings")
     return score_table(
-        features, scorer, assumptions, at_expiry=at_expiry, warnings=request_warnings(requests)
+        features, scorer, assumptions, at_expiry=at_expiry, warnings="warnings", reasons=reasons
     )
 
 
 def score_stream(
     requests: DataFrame,
-    scorer: LinearScorer,
+    scorer: LinearScorer | CompiledScorer,
     assumptions: DataFrame,
     feature_order: Sequence[str],
     *,
     out: str,
     checkpoint: str,
     at_expiry: bool = True,
+    reasons: bool = True,
 ) -> StreamingQuery:
     """Score all waiting request files. Each batch replaces its own folder, so a retry after
     a failure cannot duplicate decisions."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_batch(batch, scorer, assumptions, feature_order, at_expiry=at_expiry)
+        scored = score_batch(
+            batch, scorer, assumptions, feature_order, at_expiry=at_expiry, reasons=reasons
+        )
         scored.withColumn("scored_in_batch", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{out}/batch={batch_id}"
         )

@@ -152,8 +152,8 @@ def test_score_table_and_warnings(spark, cohort):
         *log_columns(),
     ]
     req = requests_of(cohort)
-    features = SC.rows_to_features(req, order)
-    out = SC.score_table(features, FIXED_SCORER, assumptions(spark), warnings=SC.request_warnings(req))
+    features = SC.rows_to_features(req, order, warnings="warnings")
+    out = SC.score_table(features, FIXED_SCORER, assumptions(spark), warnings="warnings")
     rows = {r["user_id"]: r for r in out.collect()}
     assert len(rows) == 8
     assert any("no activity supplied" in w for w in rows["u0"]["warnings"])
@@ -164,6 +164,46 @@ def test_score_table_and_warnings(spark, cohort):
         assert r["expected_net"] == pytest.approx(round(r["p"] * 90 - 50, 1), abs=0.051)
 
 
+def test_two_requests_of_one_user_keep_their_own_warnings(spark, cohort):
+    order = [c for c in build_features(cohort).columns if c not in ("user_id", "is_churn")]
+    req = requests_of(cohort.filter("user_id in ('u0', 'u5')")).withColumn("user_id", F.lit("same"))
+    features = SC.rows_to_features(req, order, with_logs=False, warnings="warnings")
+    scorer = LinearScorer(0.1, {"n_tx": -0.1, "cancel_rate": 0.8})
+    out = SC.score_table(features, scorer, assumptions(spark), warnings="warnings").collect()
+    assert len(out) == 2 and sorted(any("registered after" in w for w in r["warnings"]) for r in out) == [False, True]
+
+
+def test_probabilities_only_and_additivity(spark, cohort):
+    order = [c for c in build_features(cohort).columns if c not in ("user_id", "is_churn")]
+    features = SC.rows_to_features(requests_of(cohort), order, with_logs=False)
+    scorer = LinearScorer(0.1, {"n_tx": -0.1, "cancel_rate": 0.8})
+    whole = {r["user_id"]: r for r in SC.score_table(features, scorer, assumptions(spark)).collect()}
+    plain = SC.score_table(features, scorer, assumptions(spark), reasons=False)
+    assert "reasons" not in plain.columns
+    assert {r["user_id"]: (r["p"], r["expected_net"]) for r in plain.collect()} == {
+        u: (r["p"], r["expected_net"]) for u, r in whole.items()
+    }
+    broken = LinearScorer(0.1, {"n_tx": -0.1, "cancel_rate": 0.8})
+    object.__setattr__(broken, "probability", lambda z: F.lit(0.5) + 0 * z)
+    object.__setattr__(broken, "score", lambda df, out="p", contributions=True: df.withColumn(out, F.lit(0.4)))
+    with pytest.raises(Exception, match="local_accuracy"):
+        SC.score_table(features, broken, assumptions(spark)).collect()
+
+
+def test_row_local_sentences_equal_the_joined_wording(spark, cohort):
+    features = build_features(cohort)
+    scorer = LinearScorer(0.1, {c: (0.3 if i % 2 else -0.2) for i, c in enumerate(features.columns[2:])})
+    rows = features.withColumn("context_values", reasons.context_struct(features))
+    top = A.top_contributors(rows, scorer, groups=reasons.GROUPS, k=9, carry=["context_values"])
+    joined = reasons.mark_display(reasons.add_reasons(top))
+    local = reasons.explain(features, scorer, k=9)
+    assert local.columns == joined.columns
+    assert sorted(map(str, local.collect())) == sorted(map(str, joined.collect()))
+    assert local.count() > 20
+    plan = reasons.explain(features, scorer)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_submission_fills_prior_and_is_checked(spark, tmp_path):
     asked = spark.createDataFrame([("a",), ("b",)], "user_id string")
     scored = spark.createDataFrame([("a", 0.3)], "user_id string, p double")

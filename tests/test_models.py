@@ -3,10 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from renewlens.operators import compiled as C
 from renewlens.operators import experiments as X
 from renewlens.operators import models as M
 from renewlens.operators.attribution import assert_local_accuracy
 from renewlens.operators.cohort import COHORTS
+from renewlens.operators.compiled import compile_scorer
 from renewlens.operators.guards import GuardViolation
 from renewlens.plans import jobs
 from renewlens.operators.decision import BusinessParams
@@ -199,3 +201,96 @@ def test_critical_values_have_no_holes(spark):
 
     rows = spark.range(1, 200).select("id", t_critical_column(F.col("id")).alias("t")).collect()
     assert all(abs(r.t - t_critical(r.id)) < 1e-5 for r in rows)
+
+
+@pytest.fixture(scope="module")
+def coded(spark):
+    """Rows whose label depends on a category: codes 3, 11 and 20 churn, 5 and 8 do not."""
+    rng = random.Random(5)
+    data = []
+    for i in range(600):
+        city = rng.choice([3, 5, 8, 11, 20, None])
+        y = int(rng.random() < (0.85 if city in (3, 11, 20) else 0.2))
+        seg = ("train", "train", "train", "es", "sel", "cal")[i % 6]
+        data.append((f"u{i}", y, rng.gauss(0, 1), None if i % 7 == 0 else rng.gauss(y, 2), city, seg))
+    return spark.createDataFrame(
+        data, "user_id string, is_churn int, noise double, gappy double, city int, segment string"
+    ).cache()
+
+
+CODED = ("noise", "gappy", "city")
+
+
+def recoded(df):
+    codes = F.create_map(*[F.lit(x) for x in (3, 8, 5, 20, 8, 3, 11, 5, 20, 11)])
+    return df.withColumn("city", codes[F.col("city")])
+
+
+@pytest.mark.parametrize("family", M.FAMILIES)
+def test_renamed_categories_change_nothing(coded, family):
+    params = {"gbt": {"maxIter": 4, "maxDepth": 3}, "forest": {"numTrees": 4, "maxDepth": 3, "seed": 1}}.get(family)
+    a = M.fit_scorer(coded, CODED, family=family, params=params)
+    b = M.fit_scorer(recoded(coded), CODED, family=family, params=params)
+    assert a.levels == {"city": (3, 5, 8, 11, 20)}
+    assert M.gains(a) == pytest.approx(M.gains(b)) and M.gains(a)["city"] > 0
+    p = {r.user_id: r.p for r in a.predict(coded).collect()}
+    assert p == pytest.approx({r.user_id: r.p for r in b.predict(recoded(coded)).collect()})
+
+
+def test_levels_are_the_training_rows_and_unseen_codes_are_scored(spark, coded):
+    held = coded.withColumn("city", F.when(F.col("segment") == "sel", 99).otherwise(F.col("city")))
+    fitted = M.fit_scorer(held, CODED, params=FAST)
+    assert fitted.levels["city"] == (3, 5, 8, 11, 20)
+    assert fitted.predict(held).filter("p is null").count() == 0
+
+
+@pytest.mark.parametrize("family", M.FAMILIES)
+def test_compiled_scorers_equal_their_models(spark, coded, family, tmp_path):
+    params = {"gbt": {"maxIter": 5, "maxDepth": 4}, "forest": {"numTrees": 5, "maxDepth": 4, "seed": 1}}.get(family)
+    fitted = M.fit_scorer(coded, CODED, family=family, params=params)
+    meta = jobs.bundle_metadata(
+        COHORTS["feb_t7"], COHORTS["mar_t7"], train_churn_rate=0.1, ltv_saved=600.0, params=BusinessParams(), model_params={}
+    )
+    M.save_bundle(fitted, str(tmp_path / "b"), meta, spark)
+    scorer = compile_scorer(M.load_bundle(str(tmp_path / "b"), spark).fitted)
+    odd = coded.withColumn("city", F.when(F.col("user_id") == "u3", 77).otherwise(F.col("city")))
+    both = scorer.score(fitted.predict(odd, "q"))
+    gap = both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+    assert gap <= 1e-12
+    assert_local_accuracy(both, scorer, tolerance=1e-9)
+    plan = scorer.score(odd, contributions=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "UDF" not in plan
+    with pytest.raises(GuardViolation, match="order"):
+        scorer.score(odd.select("user_id", "noise", "city", "gappy"))
+
+
+def test_tree_contributions_are_shapley_values_by_definition(spark):
+    """All coalitions of one tree, with training shares for the features left out."""
+    import itertools
+    import math
+
+    leaf = lambda n, v: C.Node(n, v)
+    a2 = C.Node(30, 0.0, "a", "`a` <= 2.0D", leaf(10, 5.0), leaf(20, -1.0))
+    b = C.Node(70, 0.0, "b", "`b` <= 0.0D", leaf(30, 2.0), leaf(40, 0.5))
+
+    root = C.Node(100, 0.0, "a", "`a` <= 1.0D", b, a2)
+    scorer = C.CompiledScorer("t", ("a", "b", "c"), "logit", C._expected(root), (root,), (1.0,))
+
+    def value(node, row, known):
+        if node.left is None:
+            return node.value
+        limit = float(node.test.split()[-1][:-1])
+        if node.feature in known:
+            return value(node.left if row[node.feature] <= limit else node.right, row, known)
+        return sum(c.rows * value(c, row, known) for c in (node.left, node.right)) / node.rows
+
+    rows = [dict(a=x, b=y, c=0.0) for x in (0.5, 1.5, 3.0) for y in (-1.0, 1.0)]
+    got = scorer.score(spark.createDataFrame([tuple(r.values()) for r in rows], "a double, b double, c double")).collect()
+    for r, g in zip(rows, got):
+        for f, other in (("a", "b"), ("b", "a")):
+            want = sum(
+                math.factorial(n) * math.factorial(1 - n) / 2 * (value(root, r, {*k, f}) - value(root, r, {*k}))
+                for n in (0, 1)
+                for k in itertools.combinations([other], n)
+            )
+            assert g[f"shap__{f}"] == pytest.approx(want)
