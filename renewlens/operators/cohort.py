@@ -265,15 +265,19 @@ def join_members(cohort: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def build_cohort(
-    spec: CohortSpec, tx: DataFrame, labels: DataFrame, members: DataFrame
+    spec: CohortSpec, tx: DataFrame, labels: DataFrame, members: DataFrame, *, watch=None
 ) -> DataFrame:
-    """Label list + transactions + members -> the as-of table of one cohort."""
+    """Label list + transactions + members -> the as-of table of one cohort.
+
+    ``watch`` (table -> table) attaches counters to the result, such as those of the guards.
+    """
     if not spec.labels_are_real:
         labels = labels.withColumn("is_churn", F.lit(None).cast("int"))
     cohort = join_labels_cutoffs(labels, cutoffs_for(spec, labels, tx))
     carry = ("expire_date",) if spec.fixed_score_date else ()
     _, upto = cutoff_window(spec)
-    return join_members(aggregate_asof(tx, cohort, carry=carry, upto=upto), members)
+    built = join_members(aggregate_asof(tx, cohort, carry=carry, upto=upto), members)
+    return watch(built) if watch else built
 
 
 def common_users(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -169,7 +169,8 @@ class CompiledScorer:
         if self.terms:
             return df.selectExpr("*", *[f"{sql} AS `{SHAP}{f}`" for f, sql in self.terms.items()])
         sums: dict[str, list[str]] = {}
-        masks = []
+        masks: list[str] = []
+        patterns: list[str] = []  # one column per leaf, read by each feature on its way
         for t, (tree, weight) in enumerate(zip(self.trees, self.tree_weights)):
             tests, leaves = _leaves(tree)
             if len(tests) > MAX_TESTS:
@@ -181,12 +182,16 @@ class CompiledScorer:
                 where = " + ".join(
                     f"IF((__tests{t} & {leaf.care[f]}L) = {leaf.want[f]}L, {1 << i}, 0)" for i, f in enumerate(path)
                 )
+                if not path:  # a tree without splits
+                    continue
+                at = f"__leaf{len(patterns)}"
+                patterns.append(f"{where} AS {at}")
                 for j, f in enumerate(path):
                     values = shapley_table(weight * leaf.value, [leaf.share[g] for g in path], j)
-                    sums.setdefault(f, []).append(f"get({_table(values)}, {where})")
-        rows = df.selectExpr("*", *masks)
-        told = rows.selectExpr("*", *[f"{' + '.join(parts)} AS `{SHAP}{f}`" for f, parts in sums.items()])
-        return told.drop(*[f"__tests{t}" for t in range(len(self.trees))])
+                    sums.setdefault(f, []).append(f"get({_table(values)}, {at})")
+        rows = df.selectExpr("*", *masks).selectExpr("*", *patterns)
+        contributions = [f"{' + '.join(parts)} AS `{SHAP}{f}`" for f, parts in sums.items()]
+        return rows.selectExpr(*[f"`{c}`" for c in df.columns], *contributions)
 
     def explained_columns(self) -> list[str]:
         return [f"{SHAP}{f}" for f in self.features if f in self._used()]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.operators.guards import GuardViolation
@@ -89,14 +90,25 @@ def check_schema(df: DataFrame, expected: Sequence[str], what: str) -> None:
 
 
 def content_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-free fingerprint of a table: same rows, same result, however partitioned."""
+    """Order-free fingerprint of a table: same rows, same result, however partitioned.
+
+    A multiset hash any engine can compute: the two halves of a row's md5, each summed modulo 2^64.
+    Sums, unlike exclusive ors, do not lose a row that is repeated. A row is its columns by name,
+    each as text after its length; null is a dash.
+    """
     names = sorted(columns or df.columns)
-    row = F.xxhash64(*[F.col(c) for c in names])
-    low = F.sum(F.pmod(row, F.lit(1 << 31)))
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(row).alias("xor"),
-        F.coalesce(low, F.lit(0)).alias("sum"),
+
+    def cell(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    row = F.md5(F.concat(*map(cell, names)))
+    # 28 digits: the sum has 38 and cannot overflow
+    halves = [F.conv(F.substring("h", at, 16), 16, 10).cast("decimal(28,0)") for at in (1, 17)]
+    size = F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+    sums = [F.pmod(F.coalesce(F.sum(x), F.lit(Decimal(0)).cast("decimal(38,0)")), size).cast("decimal(20,0)") for x in halves]
+    return df.select(row.alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), sums[0].cast("string").alias("sum_high"), sums[1].cast("string").alias("sum_low")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.operators.guards import GuardViolation
+from renewlens.operators.guards import Finding, GuardViolation
 from renewlens.operators.split import folds_stratified
 from renewlens.sources.schemas import KEY
 
@@ -114,13 +114,20 @@ def target_encode_naive(
     return target_encode_apply(df, target_encode_fit(df, column, label, smoothing), column)
 
 
+def find_leaked_labels(df: DataFrame, encoded: str, label: str = "is_churn", tolerance: float = 1e-9) -> Finding:
+    """G6 as a finding: an encoding equal to the label row by row has seen that label."""
+    row = df.agg(F.max(F.abs(F.col(encoded) - F.col(label))).alias("gap"), F.count(F.lit(1)).alias("n")).first()
+    seen = row["gap"] is None or row["gap"] <= tolerance
+    return Finding("encoding_is_oof", encoded, row["n"] if seen else 0, None, "equal the label in every row")
+
+
 def check_encoding_is_oof(
     df: DataFrame, encoded: str, label: str = "is_churn", tolerance: float = 1e-9
 ) -> None:
-    """G6: an encoding equal to the label row by row has seen that label."""
-    gap = df.agg(F.max(F.abs(F.col(encoded) - F.col(label)))).first()[0]
-    if gap is None or gap <= tolerance:
-        raise GuardViolation(f"encoding_is_oof: {encoded} equals the label in every row")
+    found = find_leaked_labels(df, encoded, label, tolerance)
+    found.verify()
+    if df.isEmpty():
+        raise GuardViolation(f"encoding_is_oof: {encoded} has no rows to judge")
 
 
 def category_levels(train: DataFrame, column: str, missing: int = -1) -> DataFrame:

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from renewlens.functions.dates import date_sql, days_before_sql, lenient_days_between_sql
 from renewlens.functions.scalars import ratio_sql
 from renewlens.operators.guards import (
+    GuardLog,
     check_logs_match_cohort,
     check_unique_key,
     logs_within_cutoff_guard,
+    same_cutoff_guard,
     require_columns,
     run_guards,
 )
@@ -48,6 +50,9 @@ REQUIRED = (
 )
 
 
+LOG_CUTOFF = "__log_cutoff"
+
+
 @dataclass(frozen=True)
 class FeatureRoles:
     """Which columns of a feature table are features, and which of them are categories."""
@@ -151,22 +156,25 @@ def transaction_features(cohort: DataFrame, keep: Sequence[str] = ()) -> DataFra
     )
 
 
-def attach_logs(features: DataFrame, logs: DataFrame) -> DataFrame:
+def attach_logs(features: DataFrame, logs: DataFrame, log: GuardLog | None = None) -> DataFrame:
     """Left join. Users without records get ``log_has_logs = 0`` and nulls, never zeros.
 
-    A user with two log rows is an error: it would multiply rows of the feature table.
+    A user with two log rows is an error: it would multiply rows of the feature table. With ``log``
+    the joined rows are watched for cutoffs that differ (``features`` then carries its cutoff).
     """
     require_columns(logs, [KEY, "cutoff", "log_has_logs"], "log features")
     values = [c for c in logs.columns if c not in (KEY, "cutoff")]
     grouped = logs.groupBy(KEY).agg(
-        F.count("*").alias("n"), F.first(F.struct(*values)).alias("v")
+        F.count("*").alias("n"), F.first(F.struct(*values, F.col("cutoff").alias(LOG_CUTOFF))).alias("v")
     )
     once = F.when(F.col("n") == 1, F.col("v")).otherwise(
         F.raise_error(F.concat(F.lit("several log rows for user "), F.col(KEY).cast("string")))
     )
     logs = grouped.select(KEY, once.alias("v")).select(KEY, "v.*")
     joined = features.join(logs, KEY, "left")
-    return joined.withColumn("log_has_logs", F.coalesce("log_has_logs", F.lit(0.0)))
+    if log is not None:
+        joined = log.watch(joined, [same_cutoff_guard(LOG_CUTOFF)], "log features").drop("cutoff")
+    return joined.drop(LOG_CUTOFF).withColumn("log_has_logs", F.coalesce("log_has_logs", F.lit(0.0)))
 
 
 def check_logs(cohort: DataFrame, logs: DataFrame) -> None:
@@ -176,7 +184,16 @@ def check_logs(cohort: DataFrame, logs: DataFrame) -> None:
     check_logs_match_cohort(cohort, logs)
 
 
-def build_features(cohort: DataFrame, logs: DataFrame | None = None) -> DataFrame:
-    """As-of table (+ log features) -> key, label and 61 features (62 with an expiry)."""
-    base = transaction_features(cohort)
-    return base if logs is None else attach_logs(base, logs)
+def build_features(
+    cohort: DataFrame, logs: DataFrame | None = None, *, log: GuardLog | None = None
+) -> DataFrame:
+    """As-of table (+ log features) -> key, label and 61 features (62 with an expiry).
+
+    ``log`` watches G2 and G3 while the table is written.
+    """
+    if logs is None:
+        return transaction_features(cohort)
+    if log is None:
+        return attach_logs(transaction_features(cohort), logs)
+    logs = log.watch(logs, [logs_within_cutoff_guard()], "log features")
+    return attach_logs(transaction_features(cohort, ["cutoff"]), logs, log)

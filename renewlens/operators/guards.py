@@ -7,10 +7,11 @@ table costs one scan of the columns the predicates touch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from renewlens.operators.cohort import CohortSpec, cutoff_window
@@ -36,20 +37,71 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "table")
         raise KeyError(f"{what} lacks columns: {missing}")
 
 
-def run_guards(df: DataFrame, guards: Sequence[Guard], what: str = "table") -> None:
-    """Evaluate every guard in one action; raise on the first that is violated."""
-    for g in guards:
-        require_columns(df, g.needs, f"{what} ({g.name})")
-    aggregates = []
+@dataclass(frozen=True)
+class Finding:
+    """What one rule found in one table; no rows means that the rule holds."""
+
+    rule: str
+    table: str
+    rows: int
+    worst: float | None
+    message: str = ""
+
+    def verify(self) -> None:
+        if self.rows:
+            detail = "" if self.worst is None else f" (worst: {self.worst:g})"
+            raise GuardViolation(f"{self.rule}: {self.rows} rows of {self.table} {self.message}{detail}")
+
+
+def _counters(guards: Sequence[Guard]) -> list[Column]:
+    out = []
     for i, g in enumerate(guards):
-        aggregates.append(F.count_if(F.coalesce(g.bad, F.lit(False))).alias(f"n{i}"))
+        out.append(F.count_if(F.coalesce(g.bad, F.lit(False))).alias(f"n{i}"))
         worst = g.worst if g.worst is not None else F.lit(None).cast("double")
-        aggregates.append(F.max(F.when(g.bad, worst.cast("double"))).alias(f"w{i}"))
-    row = df.agg(*aggregates).first()
-    for i, g in enumerate(guards):
-        if row[f"n{i}"]:
-            detail = "" if row[f"w{i}"] is None else f" (worst: {row[f'w{i}']:g})"
-            raise GuardViolation(f"{g.name}: {row[f'n{i}']} rows of {what} {g.message}{detail}")
+        out.append(F.max(F.when(g.bad, worst.cast("double"))).alias(f"w{i}"))
+    return out
+
+
+def _findings(row, guards: Sequence[Guard], what: str) -> list[Finding]:
+    return [Finding(g.name, what, row[f"n{i}"], row[f"w{i}"], g.message) for i, g in enumerate(guards)]
+
+
+def find(df: DataFrame, guards: Sequence[Guard], what: str = "table") -> list[Finding]:
+    """Evaluate every guard in one action."""
+    for g in guards:
+        require_columns(df, g.needs, f"{what} ({g.name})")
+    return _findings(df.agg(*_counters(guards)).first(), guards, what)
+
+
+def run_guards(df: DataFrame, guards: Sequence[Guard], what: str = "table") -> None:
+    """Evaluate every guard in one action; raise on the first that is violated."""
+    for found in find(df, guards, what):
+        found.verify()
+
+
+class GuardLog:
+    """Counters of guards that ride on a build, so that checking costs no pass of its own.
+
+    Watched tables count while they are written; :meth:`findings` and :meth:`verify` belong after
+    that action (they wait for it).
+    """
+
+    def __init__(self) -> None:
+        self._watched: list[tuple[Observation, list[Guard], str]] = []
+
+    def watch(self, df: DataFrame, guards: Sequence[Guard], what: str) -> DataFrame:
+        for g in guards:
+            require_columns(df, g.needs, f"{what} ({g.name})")
+        seen = Observation(f"{what}-{uuid.uuid4().hex}")
+        self._watched.append((seen, list(guards), what))
+        return df.observe(seen, *_counters(guards))
+
+    def findings(self) -> list[Finding]:
+        return [f for seen, guards, what in self._watched for f in _findings(seen.get, guards, what)]
+
+    def verify(self) -> None:
+        for found in self.findings():
+            found.verify()
 
 
 def asof_guard() -> Guard:
@@ -98,17 +150,29 @@ def logs_within_cutoff_guard() -> Guard:
     )
 
 
-def check_unique_key(df: DataFrame, key: str = KEY, what: str = "table") -> None:
-    """G8: one row per user. Keys are pre-aggregated before the shuffle."""
+def find_repeated_keys(df: DataFrame, key: str = KEY, what: str = "table") -> Finding:
+    """G8 as a finding: users with several rows, and the most rows of one user."""
     require_columns(df, [key], what)
     worst = df.groupBy(key).count().filter("count > 1").agg(
-        F.count(F.lit(1)).alias("users"), F.max("count").alias("rows")
+        F.count(F.lit(1)).alias("users"), F.max("count").cast("double").alias("rows")
     ).first()
-    if worst["users"]:
-        raise GuardViolation(
-            f"unique_key: {worst['users']} users of {what} appear more than once "
-            f"(up to {worst['rows']} rows)"
-        )
+    return Finding("unique_key", what, worst["users"], worst["rows"], "are users that appear more than once")
+
+
+def check_unique_key(df: DataFrame, key: str = KEY, what: str = "table") -> None:
+    """G8: one row per user. Keys are pre-aggregated before the shuffle."""
+    find_repeated_keys(df, key, what).verify()
+
+
+def same_cutoff_guard(log_cutoff: str) -> Guard:
+    """G3 on a joined table: both sides were truncated at the same cutoffs."""
+    return Guard(
+        "logs_match_cohort",
+        F.col("cutoff") != F.col(log_cutoff),
+        "have log features of another cutoff",
+        ("cutoff", log_cutoff),
+        F.abs(F.col("cutoff") - F.col(log_cutoff)),
+    )
 
 
 def match_logs_cohort(cohort: DataFrame, logs: DataFrame) -> DataFrame:

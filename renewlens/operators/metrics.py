@@ -77,16 +77,23 @@ def roc_auc(
     return stats.select(*by, "n_pos", "n_neg", auc.alias("auc"))
 
 
-def pr_auc(df: DataFrame, y: str = "is_churn", p: str = "p") -> float:
-    """Area under the precision-recall curve, by Spark ML's evaluator."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+def pr_auc(
+    df: DataFrame, y: str = "is_churn", p: str = "p", *, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Average precision: precision at every distinct score, weighted by the recall it adds.
 
-    evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol="raw", labelCol="label", metricName="areaUnderPR"
-    )
-    return evaluator.evaluate(
-        df.select(F.col(y).cast("double").alias("label"), F.col(p).cast("double").alias("raw"))
+    Works like :func:`roc_auc`: labels per distinct score, then bucketed prefix sums from the top.
+    Without a positive it is an error. ``df`` should be a stored table.
+    """
+    per_score = df.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("users"))
+    running = ranked(per_score, p, sums=["pos", "users"], by=by, key=None)
+    stats = running.groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_users")).alias("area")
     )
+    area = F.when(
+        F.col("n_pos") == 0, F.raise_error(F.lit("average precision needs a positive")).cast("double")
+    ).otherwise(F.col("area") / F.col("n_pos"))
+    return stats.select(*by, area.alias("pr_auc"))
 
 
 def repeat_vs_new(df: DataFrame, previous: DataFrame, column: str = "segment") -> DataFrame:

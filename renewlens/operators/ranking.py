@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from renewlens.functions.scalars import seeded_hash
 from renewlens.sources.schemas import KEY
 
-BUCKETS = 64
+BUCKETS = 64  # at least; more where a bucket would hold over BUCKET_ROWS rows
+BUCKET_ROWS = 1_000_000
 HASH_DIGITS = 3
 
 
@@ -61,7 +62,7 @@ def ranked(
     by: Sequence[str] = (),
     key: str | None = KEY,
     descending: bool = True,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1-based), ``cum_<c>`` for each summed column and ``n_total``.
 
@@ -71,6 +72,8 @@ def ranked(
     read three times, so give it a stored table (see ``session.stage``).
     """
     by = list(by)
+    if buckets is None:
+        buckets = max(BUCKETS, math.ceil(df.count() / BUCKET_ROWS))
     rows = df if key is None else df.withColumn("tie_hash", seeded_hash("tie", key))
     tagged = _bucketed(rows, score, buckets, None if key is None else "tie_hash")
     score_order = F.col(score).desc() if descending else F.col(score).asc()

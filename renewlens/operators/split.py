@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.operators.guards import GuardViolation
+from renewlens.operators.guards import Finding, GuardViolation
 from renewlens.operators.ranking import hash_rank
 from renewlens.sources.schemas import KEY
 
@@ -278,16 +278,17 @@ def crossing_users(df: DataFrame, column: str = "segment") -> DataFrame:
     )
 
 
-def check_groups_disjoint(df: DataFrame, column: str = "segment") -> None:
-    """G4: nobody is in two segments."""
+def find_shared_users(df: DataFrame, column: str = "segment") -> Finding:
+    """G4 as a finding: users in several segments, and the most segments of one user."""
     stats = crossing_users(df, column).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(KEY, "segments")).alias("example")
+        F.count(F.lit(1)).alias("n"), F.max(F.size("segments")).cast("double").alias("most"), F.min(KEY).alias("example")
     ).first()
-    if stats["n"]:
-        raise GuardViolation(
-            f"groups_disjoint: {stats['n']} users are in several segments "
-            f"(for example {stats['example'][KEY]} in {list(stats['example']['segments'])})"
-        )
+    return Finding("groups_disjoint", column, stats["n"], stats["most"], f"are users in several segments (for example {stats['example']})")
+
+
+def check_groups_disjoint(df: DataFrame, column: str = "segment") -> None:
+    """G4: nobody is in two segments."""
+    find_shared_users(df, column).verify()
 
 
 def subset_users(df: DataFrame, users: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ from renewlens.operators.attribution import LinearScorer
 from renewlens.operators.cohort import CohortSpec, build_cohort, cutoffs_for, join_labels_cutoffs
 from renewlens.operators.decision import BusinessParams, offer_list, resolve_assumptions
 from renewlens.operators.features import FeatureRoles, build_features, check_logs
-from renewlens.operators.guards import check_cohort
+from renewlens.operators.guards import GuardLog, check_cohort, check_unique_key, cohort_guards
 from renewlens.operators.logs import build_log_features, window_bounds
 from renewlens.operators.metrics import repeat_vs_new
 from renewlens.operators.reasons import audit_frame, explain, wide_reasons, with_reasons
+from renewlens.session import stage
 from renewlens.sources import demo
 from renewlens.sources.schemas import KEY, MAX_WINDOW
 from renewlens.sources.store import FeatureTableStore, inputs_version
@@ -123,6 +124,26 @@ def feature_table(src: Sources, spec: CohortSpec, *, with_logs: bool = True) ->
     return build_features(cohort_table(src, spec), log_table(src, spec) if with_logs else None)
 
 
+def guarded_feature_table(src: Sources, spec: CohortSpec, log: GuardLog | None = None) -> DataFrame:
+    """The stored feature table of a cohort with G1, G1b, G1c, G2 and G3 counted while it is written.
+
+    Only G8 needs a pass of its own, over the stored keys. A violation is an error; with a ``log``
+    the caller judges the findings.
+    """
+    seen = log or GuardLog()
+    data_end = src.transactions.agg(F.max("transaction_date")).first()[0]
+    rules = cohort_guards(spec, data_end, MAX_WINDOW)
+    cohort = build_cohort(
+        spec, src.transactions, src.labels(spec), src.members,
+        watch=lambda df: seen.watch(df, rules, f"cohort {spec.name}"),
+    )
+    table = stage(build_features(cohort, log_table(src, spec), log=seen), f"guarded-{spec.name}")
+    if log is None:
+        seen.verify()
+        check_unique_key(table, what=f"features {spec.name}")
+    return table
+
+
 def scored_table(
     src: Sources,
     spec: CohortSpec,

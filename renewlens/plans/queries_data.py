@@ -26,7 +26,7 @@ from renewlens.plans.registry import register
 from renewlens.session import staging_root
 from renewlens.sources import demo
 from renewlens.sources.demo import Q2, Q2_FIXED, Q2_T7, Q3, Q3_FIXED, Q3_T7
-from renewlens.sources.schemas import LAST_COLUMNS, MEMBER_COLUMNS
+from renewlens.sources.schemas import COHORT_COLUMNS, LAST_COLUMNS, MEMBER_COLUMNS
 from renewlens.sources.store import FeatureTableStore
 
 TX_INTS = (
@@ -704,13 +704,28 @@ def arpu(src: Sources) -> DataFrame:
     return monthly_arpu(feature_table(src, Q3, with_logs=False))
 
 
-@register("content_fingerprint")
+def _fingerprint_sql(columns: list[str], source: str) -> str:
+    cells = ", ".join(
+        f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(columns)
+    )
+
+    def half(at: int) -> str:
+        return f"CAST(sum(CAST(CAST(concat('0x', substr(h, {at}, 16)) AS UBIGINT) AS HUGEINT)) % 18446744073709551616::HUGEINT AS VARCHAR)"
+
+    return f"SELECT count(*) AS n, {half(1)} AS sum_high, {half(17)} AS sum_low FROM (SELECT md5(concat({cells})) AS h FROM {source}) x"
+
+
+_K3, _L3 = O.cohort_block(Q3), O.labels_block(Q3)
+_PRINTED = [c for c in COHORT_COLUMNS if c != "mean_paid"]
+
+
+@register("content_fingerprint", _fingerprint_sql(_PRINTED, _K3), _K3)
 def content_fingerprint(src: Sources) -> DataFrame:
-    """Order-free table fingerprint; the hash function is Spark's own, so no SQL twin."""
-    return contracts.content_fingerprint(cohort_table(src, Q3))
+    """Order-free fingerprint of a cohort (without its one average, whose last digit engines differ in)."""
+    return contracts.content_fingerprint(cohort_table(src, Q3), _PRINTED)
 
 
-@register("members_fingerprint")
+@register("members_fingerprint", _fingerprint_sql(["user_id"], _L3), _L3)
 def members_fingerprint(src: Sources) -> DataFrame:
     return contracts.members_fingerprint(src.labels(Q3))
 

@@ -401,11 +401,15 @@ def roc_auc(src: Sources) -> DataFrame:
     return metrics.roc_auc(slim(src))
 
 
-@register("pr_auc")
+@register(
+    "pr_auc",
+    f"""SELECT {r6('sum(pos * cum_pos::DOUBLE / cum_n) / sum(pos)', 'pr_auc')} FROM (
+  SELECT pos, sum(pos) OVER w AS cum_pos, sum(n) OVER w AS cum_n
+  FROM (SELECT p, sum(is_churn) AS pos, count(*) AS n FROM {_S3} GROUP BY p) s WINDOW w AS (ORDER BY p DESC)) x""",
+    _S3,
+)
 def pr_auc(src: Sources) -> DataFrame:
-    """Area under precision-recall, by Spark ML (its interpolation has no SQL twin)."""
-    rows = slim(src)
-    return rows.sparkSession.createDataFrame([(metrics.pr_auc(rows),)], "pr_auc double")
+    return metrics.pr_auc(slim(src))
 
 
 @register(

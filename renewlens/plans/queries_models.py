@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.functions.scalars import seeded_hash
-from renewlens.operators import experiments, models, split
+from renewlens.operators import encode, experiments, guards, models, split
 from renewlens.operators.attribution import LinearScorer, local_accuracy, mean_abs_attribution
+from renewlens.operators.cohort import COHORTS, cutoff_window
 from renewlens.operators.compiled import compile_scorer
 from renewlens.operators.decision import BusinessParams
 from renewlens.operators.metrics import log_loss
@@ -17,7 +18,15 @@ from renewlens.operators.ranking import winner_row
 from renewlens.operators.score import score_table
 from renewlens.plans import jobs
 from renewlens.plans import oracle_tables as O
-from renewlens.plans.compose import FIXED_SCORER, Sources, feature_table, scored_table
+from renewlens.plans.compose import (
+    FIXED_SCORER,
+    Sources,
+    cohort_table,
+    feature_table,
+    guarded_feature_table,
+    log_table,
+    scored_table,
+)
 from renewlens.plans.oracle_tables import r6
 from renewlens.plans.queries_eval import _requests, assumptions, scored, slim
 from renewlens.plans.registry import register
@@ -585,7 +594,7 @@ N_TRIALS, N_NULL, NULL_ROUNDS = 4, 5, 10
 
 def _table(src: Sources, spec) -> DataFrame:
     """Key, label and all features of a cohort."""
-    return stage(feature_table(src, spec), f"ml-{spec.name}")
+    return guarded_feature_table(src, spec)
 
 
 def _rows(src: Sources) -> DataFrame:
@@ -760,8 +769,8 @@ def model_bundle(src: Sources) -> DataFrame:
 
 @register(
     "score_bundle",
-    f"""SELECT family, count(*) AS n_users, 1 AS batch_equal, 1 AS stream_equal,
-  CASE WHEN family <> 'forest' THEN 1 END AS additive
+    f"""SELECT family, count(*) AS n_users, 1::BIGINT AS batch_equal, 1::BIGINT AS stream_equal,
+  CASE WHEN family <> 'forest' THEN 1::BIGINT END AS additive
 FROM (SELECT unnest(['gbt', 'forest', 'logistic']) AS family) f, {_F3} GROUP BY family""",
     _F3,
 )
@@ -804,3 +813,78 @@ def score_bundle(src: Sources) -> DataFrame:
     return spark.createDataFrame(
         lines, "family string, n_users bigint, batch_equal bigint, stream_equal bigint, additive bigint"
     )
+
+
+# --- guards ------------------------------------------------------------------
+#
+# Every rule on the tables as built (counted while they are written) and on a broken copy of them.
+
+_CB2, _CB3, _LB2, _LB3 = O.cohort_block(Q2), O.cohort_block(Q3), O.log_block(Q2), O.log_block(Q3)
+_CLEAN = "asof cutoff_window data_end logs_within_cutoff logs_match_cohort unique_key groups_disjoint encoding_is_oof labels_are_real features_match".split()
+_LO2, _HI2 = cutoff_window(Q2)
+_N_FEATURES = len(O.feature_columns(Q3))
+_BROKEN = {
+    "asof": f"SELECT count(*) FILTER (WHERE last_tx > first_tx) AS n, max(last_tx - first_tx) FILTER (WHERE last_tx > first_tx) AS w FROM {_CB3}",
+    "cutoff_window": f"SELECT count(*) FILTER (WHERE NOT cutoff BETWEEN {_LO2} AND {_HI2}), max(cutoff) FILTER (WHERE NOT cutoff BETWEEN {_LO2} AND {_HI2}) FROM {_CB3}",
+    "data_end": f"SELECT count(*) FILTER (WHERE cutoff > {cutoff_window(Q3)[0]}), max(cutoff) FILTER (WHERE cutoff > {cutoff_window(Q3)[0]}) FROM {_CB3}",
+    "logs_within_cutoff": f"SELECT count(*) FILTER (WHERE log_min_days_before < 5), max(5 - log_min_days_before) FILTER (WHERE log_min_days_before < 5) FROM {_LB3}",
+    "logs_match_cohort": f"SELECT count(*), max(abs(c.cutoff - l.cutoff)) FROM {_CB3} c JOIN {_LB2} l ON l.user_id = c.user_id AND l.cutoff <> c.cutoff",
+    "unique_key": f"SELECT count(*), max(n) FROM (SELECT user_id, count(*) AS n FROM (SELECT user_id FROM {_CB2} UNION ALL SELECT user_id FROM {_CB3}) u GROUP BY 1) x WHERE n > 1",
+    "groups_disjoint": f"SELECT count(*), CASE WHEN count(*) > 0 THEN 2 END FROM {_CB2} a JOIN {_CB3} b ON b.user_id = a.user_id",
+    "encoding_is_oof": f"SELECT count(*), NULL FROM {_CB3}",
+    "labels_are_real": "SELECT 1, NULL",
+    "features_match": f"SELECT {_N_FEATURES - _N_FEATURES % 2}, NULL",
+}
+_GUARDS_SQL = " UNION ALL ".join(
+    [f"SELECT '{r}' AS rule, 'clean' AS input, 0 AS n_rows, CAST(NULL AS DOUBLE) AS worst" for r in _CLEAN]
+    + [f"SELECT '{r}', 'broken', n, CAST(w AS DOUBLE) FROM ({sql}) AS {r}_x(n, w)" for r, sql in _BROKEN.items()]
+)
+
+
+@register("guard_report", _GUARDS_SQL, _CB2, _CB3, _LB2, _LB3)
+def guard_report(src: Sources) -> DataFrame:
+    """Rows per rule on the tables as built and on broken copies."""
+    log = guards.GuardLog()
+    features = guarded_feature_table(src, Q3, log)
+    c2, c3 = stage(cohort_table(src, Q2), "c2"), stage(cohort_table(src, Q3), "c3")
+    l2, l3 = stage(log_table(src, Q2), "l2"), stage(log_table(src, Q3), "l3")
+    spark, names = features.sparkSession, jobs.feature_names(features)
+    rates = encode.target_encode_oof(
+        split.folds_stratified(c3.select("user_id", "is_churn", "city", "n_tx")), "city"
+    )
+    fake = [s for s in COHORTS.values() if not s.labels_are_real]
+
+    def order(given: list[str]) -> guards.Finding:
+        off = sum(a != b for a, b in zip(given, names))
+        return guards.Finding("features_match", "features", off, None)
+
+    def labels(*specs) -> guards.Finding:
+        return guards.Finding("labels_are_real", "specs", sum(not s.labels_are_real for s in specs), None)
+
+    clean = [
+        *log.findings(),
+        guards.find_repeated_keys(features),
+        split.find_shared_users(split.split_three(c3)),
+        encode.find_leaked_labels(rates, "city_te"),
+        labels(Q2, Q3),
+        order(names),
+    ]
+    lo3 = cutoff_window(Q3)[0]
+    early = c3.withColumn("cutoff", F.col("first_tx"))
+    late = l3.withColumn("log_min_days_before", F.col("log_min_days_before") - 5)
+    mixed = c3.select("user_id", "cutoff").join(l2.select("user_id", F.col("cutoff").alias("log_cutoff")), "user_id")
+    both = split.union_all([c2.select("user_id", F.lit("a").alias("segment")), c3.select("user_id", F.lit("b").alias("segment"))])
+    broken = [
+        *guards.find(early, [guards.asof_guard()]),
+        *guards.find(c3, [guards.cutoff_window_guard(Q2)]),
+        *guards.find(c3, [guards.data_end_guard(lo3, Q3)]),
+        *guards.find(late, [guards.logs_within_cutoff_guard()]),
+        *guards.find(mixed, [guards.same_cutoff_guard("log_cutoff")]),
+        guards.find_repeated_keys(both),
+        split.find_shared_users(both),
+        encode.find_leaked_labels(c3.withColumn("te", F.col("is_churn").cast("double")), "te"),
+        labels(fake[0]),
+        order(names[::-1]),
+    ]
+    rows = [(f.rule, kind, int(f.rows), f.worst) for kind, found in (("clean", clean), ("broken", broken)) for f in found]
+    return spark.createDataFrame(rows, "rule string, input string, n_rows bigint, worst double")
