@@ -16,6 +16,7 @@ Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from renewlens.llm.common import str_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
+# a run of digits fails or fits as a whole, so only its first digit is tried
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]+")
@@ -45,11 +48,28 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses, found from each "@": what lies left of it, then the host.
+
+    A pattern that starts with the local part would be tried again from every letter of a long word.
+    """
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+            done = host.end()
+        at = text.find("@", at + 1)
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the four base patterns, leftmost and non-overlapping per kind."""
     out = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
+        out += [("email", s, e) for s, e in _emails(text)]
     for m in _IP.finditer(text) if "." in text else ():
         if all(len(p := x.lstrip("0")) < 3 or len(p) == 3 and p <= "255" for x in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
@@ -104,13 +124,15 @@ _ODD = re.compile(
     + "".join(map(re.escape, [*_LOOKALIKES, *_INVISIBLE]))
     + "！-～\U0001d400-\U0001d7ff٠-٩۰-۹०-९]"
 )
-_BRACKETED = re.compile(r"[ \t]*[(\[{<][ \t]*(?:(at|@)|(dot|punkt|punto|point|\.))[ \t]*[)\]}>][ \t]*", re.IGNORECASE)
+# The patterns below start at something rare (a bracket, an "@", the blank after a word), never at any
+# letter or blank of a run: the work is then bounded by the text.
+_BRACKETED = re.compile(r"[(\[{<][ \t]*(?:(at|@)|(dot|punkt|punto|point|\.))[ \t]*[)\]}>][ \t]*", re.IGNORECASE)
 _SPELLED = re.compile(
-    r"[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*"
+    r"(?<=[A-Za-z0-9._%+-])(?P<at>[ \t]+at[ \t]+)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*"
     r"[ \t]+dot[ \t]+[A-Za-z]{2,}",
     re.IGNORECASE,
 )
-_SPELLED_DOT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)+", re.IGNORECASE)
+_SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9.-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)+", re.IGNORECASE)
 _DOT = re.compile(r"[ \t]+dot[ \t]+", re.IGNORECASE)
 # Endings of hosts after a spelled "at" and written dots.
 _ENDINGS = (
@@ -182,7 +204,14 @@ def _lookalike_edits(text: str) -> Edits:
 
 
 def _bracket_edits(text: str) -> Edits:
-    return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
+    out, done = [], 0
+    for m in _BRACKETED.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        done = m.end()
+        out.append((start, done, "@" if m[1] else "."))
+    return out
 
 
 def _spelled_edits(text: str) -> Edits:
@@ -254,10 +283,12 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     for changed in _rewritings(text):
         if changed.begin is None:
             continue
-        taken = {k: [(s, e) for kind, s, e in base + added if kind == k] for k in KINDS}
+        taken = {k: sorted((e, s) for kind, s, e in base + added if kind == k) for k in KINDS}
         for kind, s, e in detect(changed.text):
             s, e = changed.source(s, e)
-            if not any(s < b and a < e for a, b in taken[kind]):
+            # spans of a kind do not overlap: only the first that ends after this one's start can touch it
+            after = bisect.bisect_left(taken[kind], (s + 1, -1))
+            if after == len(taken[kind]) or taken[kind][after][1] >= e:
                 added.append((kind, s, e))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(added, key=order)

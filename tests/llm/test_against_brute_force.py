@@ -547,3 +547,45 @@ def test_transcripts_with_repeated_and_null_turns_in_small_groups(spark, monkeyp
     assert max(sizes) <= op3.CHUNK and len(got) == len(rows)
     assert sorted((r.conv_id or 0, r.turn or 0) for r in got) == sorted((c or 0, t or 0) for c, t, _ in rows)
     assert all(r.runs[0].role == ("user", "assistant")[r.turn % 2] for r in got if r.conv_id is None)
+
+
+def test_pii_emails_and_addresses_equal_their_patterns():
+    from renewlens.llm.op4_pii import detect
+
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = np.random.default_rng(2)
+    for _ in range(4000):
+        text = "".join(rng.choice(list("aZ0._%+-@@.. 12é"), rng.integers(0, 40)))
+        got = detect(text)
+        assert [x[1:] for x in got if x[0] == "email"] == [m.span() for m in email.finditer(text)], text
+        right = [m.span() for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [x[1:] for x in got if x[0] == "ip"] == right, text
+
+
+LONG = 1_000_000
+JUNK = {
+    "letters": "a" * LONG,
+    "digits": "9" * LONG,
+    "blanks": " " * LONG,
+    "dotted": "1." * (LONG // 2),
+    "spaced digits": "9 " * (LONG // 2),
+    "ats": "a at " * (LONG // 5),
+    "at signs": "a@" * (LONG // 2),
+    "brackets": "( " * (LONG // 2),
+    "numbers": "one two " * (LONG // 8),
+    "dots": "a dot " * (LONG // 6),
+    "pluses": "+1 " * (LONG // 3),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(JUNK))
+def test_pii_of_a_megabyte_of_junk_takes_no_square_time(kind):
+    import time
+
+    from renewlens.llm.op4_pii import spans
+
+    start = time.process_time()
+    base, added = spans(f"x@y.zz 1.2.3.4 {JUNK[kind]} (at) b@c.de one dot two 5.6.7.8")
+    assert time.process_time() - start < 8
+    assert {k for k, _, _ in base} == {"email", "ip"} and len([x for x in base if x[0] == "email"]) >= 2
