@@ -31,6 +31,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from renewlens.operators import drift
 from renewlens.operators.attribution import LinearScorer
 from renewlens.operators.calibration import fit_isotonic
 from renewlens.operators.guards import GuardViolation, check_labels_are_real
@@ -41,6 +42,8 @@ from renewlens.session import stage
 from renewlens.sources.schemas import CATEGORICAL, KEY, MISSING_CATEGORY
 
 MISSING_FILL = -999.0
+STEP = 1_000_003  # multipliers of the label permutations are primes from here on
+GAIN_DIGITS = 12  # gains that agree to here are equal, whatever the order of their sums
 MAX_LEVELS = 1000  # levels of a category that a model tells apart; rarer codes count as unseen
 FAMILIES = ("gbt", "forest", "logistic")
 
@@ -441,11 +444,50 @@ def random_search(
     return table.orderBy("sel_log_loss", "trial")
 
 
-def shuffle_labels(df: DataFrame, seed: int | str, label: str = "is_churn") -> DataFrame:
-    """Labels permuted over rows, features untouched: two hash orders joined on rank."""
-    by_row = hash_rank(df.drop(label), seed=f"row:{seed}").drop("stratum_n")
-    labels = hash_rank(df.select(KEY, label), seed=f"label:{seed}").select("hash_rank", label)
-    return by_row.join(labels, "hash_rank").drop("hash_rank")
+def run_steps(n: int, runs: int) -> list[int]:
+    """One multiplier per run, coprime to ``n``: primes from STEP on that do not divide it."""
+    out, candidate = [], STEP
+    while len(out) < runs:
+        if all(candidate % d for d in range(2, math.isqrt(candidate) + 1)) and n % candidate:
+            out.append(candidate)
+        candidate += 1
+    return out
+
+
+def permuted_labels(df: DataFrame, runs: int, *, seed: int = 42, label: str = "is_churn") -> DataFrame:
+    """``df`` with ``side0`` (the labels) and ``side1`` .. ``side<runs>``: the labels, permuted.
+
+    A permutation of 0/1 labels is a choice of as many rows as there are ones. Rows are numbered once
+    in hash order; run r walks the numbers in steps coprime to their count and takes the first ones.
+    Nothing is ranked or joined again per run.
+    """
+    ranked = stage(hash_rank(df, seed=f"null:{seed}").drop("stratum_n"), "null-order")
+    size = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones")).first()
+    place = F.col("hash_rank") - 1
+    chosen = [
+        (F.pmod(place * step + r, F.lit(size["n"])) < size["ones"]).cast("int").alias(f"side{r}")
+        for r, step in enumerate(run_steps(max(size["n"], 1), runs), 1)
+    ]
+    return ranked.select(*df.columns, F.col(label).cast("int").alias("side0"), *chosen)
+
+
+def histogram_gains(df: DataFrame, features: Sequence[str], runs: int, *, seed: int = 42) -> DataFrame:
+    """Gain of every feature for the labels and for ``runs`` permutations of them: feature, run, gain.
+
+    The gain of a feature is the variance of the label that its bins explain. Bins are fitted once, on
+    all rows, and one pass counts ones per feature, bin and run; run 0 has the labels themselves.
+    """
+    whole = stage(df.select(*features, F.lit(1).alias("side0")), "null-bins")
+    fitted = drift.fit_bins(whole, features)
+    split = stage(permuted_labels(df.select(KEY, "is_churn", *features), runs, seed=seed), "null-runs")
+    schemes = [drift.Scheme(r, x.feature, x.kind, x.edges) for r in range(runs + 1) for x in fitted]
+    bins = drift.apply_bins(split.drop(KEY, "is_churn"), schemes).filter("ref_n + cur_n > 0")
+    n, ones = F.col("ref_n") + F.col("cur_n"), F.col("ref_n").cast("double")
+    total = bins.groupBy("feature", F.col("round").alias("run")).agg(
+        F.sum(ones * ones / n).alias("inside"), F.sum("ref_n").cast("double").alias("k"), F.sum(n).cast("double").alias("n")
+    )
+    gain = (F.col("inside") - F.col("k") * F.col("k") / F.col("n")) / F.col("n")
+    return total.select("feature", "run", F.round(gain, GAIN_DIGITS).alias("gain"))
 
 
 def null_importance(
@@ -466,8 +508,9 @@ def null_importance(
     data = stage(rows.select(KEY, "is_churn", *features), "null-importance")
     real = gains(fit_scorer(data, features, params=params, fixed_rounds=True))
     lines = []
+    permuted = stage(permuted_labels(data, n_runs, seed=seed), "permuted")
     for run in range(1, n_runs + 1):
-        shuffled = shuffle_labels(data, f"{seed}:{run}")
+        shuffled = permuted.select(KEY, *features, F.col(f"side{run}").alias("is_churn"))
         null = gains(fit_scorer(shuffled, features, params=params, fixed_rounds=True))
         lines += [(f, run, g) for f, g in null.items()]
     actual = spark.createDataFrame(

@@ -577,14 +577,58 @@ def loss_decomposition(src: Sources) -> DataFrame:
     return calibration.loss_decomposition(rows, F.col("p") <= 0.3)
 
 
-@register("isotonic_fit")
+# Isotonic regression by its min-max form: the fit at a score is the largest, over starts at or below
+# it, of the least mean of labels up to an end at or above it.
+
+O.block(
+    "iso_points",
+    f"""SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER w AS cn, sum(k) OVER w AS ck FROM (
+  SELECT p AS x, count(*) AS n, sum(is_churn) AS k FROM {_S2} GROUP BY p) s WINDOW w AS (ORDER BY x)""",
+    _S2,
+)
+O.block(
+    "iso_fit",
+    """SELECT i, any_value(x) AS x, any_value(n) AS n, max(least_mean) AS v FROM (
+  SELECT a.i AS start, b.i, b.x, b.n, min((b.ck - a.ck + a.k)::DOUBLE / (b.cn - a.cn + a.n)) OVER
+    (PARTITION BY a.i ORDER BY b.i DESC ROWS UNBOUNDED PRECEDING) AS least_mean
+  FROM iso_points a JOIN iso_points b ON b.i >= a.i) m GROUP BY i""",
+    "iso_points",
+)
+O.block(
+    "iso_bounds",
+    f"""SELECT CASE WHEN z > 0 THEN {calibration.JEFFREYS} / (z + 1) ELSE 0.0 END::DOUBLE AS lo,
+  CASE WHEN o > 0 THEN 1 - {calibration.JEFFREYS} / (o + 1) ELSE 1.0 END::DOUBLE AS hi
+FROM (SELECT coalesce(sum(n) FILTER (WHERE v <= 0), 0)::DOUBLE AS z, coalesce(sum(n) FILTER (WHERE v >= 1), 0)::DOUBLE AS o FROM iso_fit) e""",
+    "iso_fit",
+)
+O.block("iso_blocks", "SELECT round(v, 9) AS v, min(x) AS x0, max(x) AS x1 FROM iso_fit GROUP BY round(v, 9)", "iso_fit")
+
+
+@register(
+    "isotonic_fit",
+    f"""SELECT {r6('least(greatest(v, lo), hi)', 'calibrated')}, {r6('x0', 'raw_from')}, {r6('x1', 'raw_to')}
+FROM iso_blocks, iso_bounds""",
+    "iso_blocks",
+    "iso_bounds",
+)
 def isotonic_fit(src: Sources) -> DataFrame:
-    """Knots of the monotone mapping fitted on q2 (pooling has no SQL form)."""
+    """Blocks of the monotone mapping fitted on q2."""
     base = stage(scored_table(src, Q2).select("user_id", "is_churn", "p"), "cal")
-    return calibration.fit_isotonic(base).knots(base)
+    knots = calibration.fit_isotonic(base).knots(base)
+    blocks = knots.groupBy(F.round("calibrated", 9).alias("calibrated"))
+    return blocks.agg(F.min("raw").alias("raw_from"), F.max("raw").alias("raw_to"))
 
 
-@register("isotonic_apply")
+@register(
+    "isotonic_apply",
+    f"""SELECT user_id, {r6('p', 'p')}, {r6('least(greatest(CASE WHEN p < x0 THEN coalesce(pv + (v - pv) * (p - px) / (x0 - px), v) ELSE v END, lo), hi)', 'p_calibrated')}
+FROM (SELECT s.user_id, s.p, coalesce(b.v, z.v) AS v, coalesce(b.x0, z.x0) AS x0, b.pv, b.px
+  FROM {_S3} s LEFT JOIN (SELECT *, lag(v) OVER w AS pv, lag(x1) OVER w AS px FROM iso_blocks WINDOW w AS (ORDER BY x0)) b
+    ON s.p <= b.x1 AND s.p > coalesce(b.px, -1), (SELECT * FROM iso_blocks ORDER BY x0 DESC LIMIT 1) z) m, iso_bounds""",
+    _S3,
+    "iso_blocks",
+    "iso_bounds",
+)
 def isotonic_apply(src: Sources) -> DataFrame:
     """q3 scores through the mapping fitted on q2."""
     base = stage(scored_table(src, Q2).select("user_id", "is_churn", "p"), "cal")

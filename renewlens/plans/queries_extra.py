@@ -211,16 +211,26 @@ def months(src: Sources) -> DataFrame:
     return cutoff_table(src, Q2).agg((1.0 / F.avg("is_churn")).alias("months"))
 
 
-@register("knots")
+@register(
+    "knots",
+    f"""SELECT {r6('least(greatest(v, lo), hi)', 'calibrated')}, {r6('x', 'raw')}, {r6('lo', 'floor')}, {r6('hi', 'ceiling')},
+  (SELECT count(DISTINCT round(least(greatest(v, lo), hi), 9)) FROM iso_blocks, iso_bounds) AS n_levels
+FROM (SELECT v, x0 AS x FROM iso_blocks UNION SELECT v, x1 FROM iso_blocks) k, iso_bounds""",
+    "iso_blocks",
+    "iso_bounds",
+)
 def knots(src: Sources) -> DataFrame:
     """Bounds, levels and turning points of the calibrator fitted on q2."""
     base = stage(scored_table(src, Q2).select("user_id", "is_churn", "p"), "cal")
     cal = calibration.fit_isotonic(base)
-    return (
-        cal.knots(base)
-        .withColumn("floor", F.lit(cal.floor))
-        .withColumn("ceiling", F.lit(cal.ceiling))
-        .withColumn("n_levels", cal.n_levels(base).scalar())
+    turning = stage(cal.knots(base).withColumn("calibrated", F.round("calibrated", 9)), "knots")
+    blocks = turning.groupBy("calibrated").agg(F.min("raw").alias("a"), F.max("raw").alias("b"))
+    return blocks.select(
+        "calibrated",
+        F.explode(F.array_distinct(F.array("a", "b"))).alias("raw"),
+        F.lit(cal.floor).alias("floor"),
+        F.lit(cal.ceiling).alias("ceiling"),
+        turning.agg(F.count_distinct("calibrated")).scalar().alias("n_levels"),
     )
 
 

@@ -468,38 +468,44 @@ def gain_shift(src: Sources) -> DataFrame:
     )
 
 
-# Gains for the null-importance tables: distance between the class means of a
-# feature. Labels are permuted by joining two hash orders on the rank.
-
-_GAIN_FEATURES = ("n_tx", "cancel_rate", "mean_paid", "days_since_last_tx")
-_NULL_RUNS = (1, 2, 3)
-_T2 = O.tx_features_block(Q2)
-
-
-def _gain_sql(source: str, run: int | None) -> str:
-    head = "" if run is None else f"{run} AS run, "
-    return " UNION ALL ".join(
-        f"SELECT {head}'{f}' AS feature, abs(avg(CASE WHEN is_churn = 1 THEN {f} END) -"
-        f" avg(CASE WHEN is_churn = 0 THEN {f} END)) AS gain FROM {source}"
-        for f in _GAIN_FEATURES
-    )
-
-
-for _run in _NULL_RUNS:
-    O.block(
-        f"shuffled{_run}",
-        f"""SELECT a.*, b.is_churn FROM (SELECT user_id, {', '.join(_GAIN_FEATURES)}, row_number() OVER
-    (ORDER BY md5(concat_ws(':', 'row:42:{_run}', CAST(user_id AS VARCHAR))), user_id) AS rn FROM {_T2}) a
-JOIN (SELECT is_churn, row_number() OVER (ORDER BY md5(concat_ws(':', 'label:42:{_run}',
-    CAST(user_id AS VARCHAR))), user_id) AS rn FROM {_T2}) b ON b.rn = a.rn""",
-        _T2,
-    )
-O.block("actual_gain", _gain_sql(_T2, None), _T2)
+# Gains for the null-importance tables: label variance explained by a feature's bins, for the labels
+# and for permutations of them, from one histogram of feature, bin and run.
+
+_NULL_RUNS = 20
+_F2 = O.features_block(Q2)
+_LONG2 = "np_long"  # user, feature, value of q2, from the drift queries
+_BINS2 = "fp_scheme"  # bins fitted on q2
+_STEPS = models.run_steps(1, _NULL_RUNS)  # the test tables' sizes are no multiples of these primes
+_CHOSEN = " UNION ALL ".join(
+    f"SELECT user_id, {r} AS run, CAST(((rn - 1) * {step}::BIGINT + {r}) % n < k AS INTEGER) AS y FROM null_order"
+    for r, step in enumerate(_STEPS, 1)
+)
 O.block(
-    "null_gain",
-    " UNION ALL ".join(_gain_sql(f"shuffled{r}", r) for r in _NULL_RUNS),
-    *[f"shuffled{r}" for r in _NULL_RUNS],
+    "null_order",
+    f"""SELECT user_id, is_churn, row_number() OVER (ORDER BY md5(concat_ws(':', 'null:42', CAST(user_id AS VARCHAR))), user_id) AS rn,
+  count(*) OVER () AS n, sum(is_churn) OVER () AS k FROM {_F2}""",
+    _F2,
 )
+O.block("null_labels", f"SELECT user_id, 0 AS run, is_churn AS y FROM null_order UNION ALL {_CHOSEN}", "null_order")
+O.block(
+    "null_cells",
+    f"""SELECT x.user_id, x.feature, CASE WHEN x.v IS NULL THEN 'missing'
+    WHEN s.kind = 'quantile' THEN CAST(len(list_filter(s.e, lambda t: t <= x.v)) AS VARCHAR)
+    ELSE CAST(x.v AS VARCHAR) END AS bin
+FROM {_LONG2} x JOIN {_BINS2} s ON s.feature = x.feature""",
+    _LONG2,
+    _BINS2,
+)
+O.block(
+    "null_all",
+    f"""SELECT feature, run, round((sum(k * k / n) - sum(k) * sum(k) / sum(n)) / sum(n), {models.GAIN_DIGITS}) + 0.0 AS gain FROM (
+  SELECT c.feature, c.bin, l.run, count(*)::DOUBLE AS n, sum(l.y)::DOUBLE AS k
+  FROM null_cells c JOIN null_labels l ON l.user_id = c.user_id GROUP BY ALL) h GROUP BY feature, run""",
+    "null_cells",
+    "null_labels",
+)
+O.block("actual_gain", "SELECT feature, gain FROM null_all WHERE run = 0", "null_all")
+O.block("null_gain", "SELECT feature, run, gain FROM null_all WHERE run > 0", "null_all")
 _NULL_STATS = O.block(
     "null_stats",
     """SELECT a.feature, a.gain AS actual_gain, quantile_cont(n.gain, 0.5) AS null_p50,
@@ -512,35 +518,11 @@ FROM actual_gain a JOIN null_gain n ON n.feature = a.feature GROUP BY a.feature,
 _STAT_COLS = "actual_gain null_p50 null_p75 null_p95 null_max beats_share".split()
 
 
-def _mean_gaps(df: DataFrame) -> DataFrame:
-    y = F.col("is_churn")
-    cells = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.abs(
-                F.avg(F.when(y == 1, F.col(f).cast("double")))
-                - F.avg(F.when(y == 0, F.col(f).cast("double")))
-            ).alias("gain"),
-        )
-        for f in _GAIN_FEATURES
-    ]
-    packed = df.agg(F.array(*cells).alias("g")).select(F.explode("g").alias("g"))
-    return packed.select("g.feature", "g.gain")
-
-
 def _gap_tables(src: Sources) -> tuple[DataFrame, DataFrame]:
-    rows = stage(
-        feature_table(src, Q2, with_logs=False).select("user_id", "is_churn", *_GAIN_FEATURES),
-        "gaps",
-    )
-    null = split.union_all(
-        [
-            _mean_gaps(models.shuffle_labels(rows, f"42:{r}")).withColumn("run", F.lit(r))
-            for r in _NULL_RUNS
-        ]
-    )
-    actual = _mean_gaps(rows).withColumnRenamed("gain", "actual_gain")
-    return stage(actual, "actual"), stage(null, "null")
+    table = guarded_feature_table(src, Q2)
+    gains = stage(models.histogram_gains(table, jobs.feature_names(table), _NULL_RUNS), "gains")
+    actual = gains.filter("run = 0").select("feature", F.col("gain").alias("actual_gain"))
+    return actual, gains.filter("run > 0")
 
 
 @register(

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from helpers import tx_rows
 from pyspark.sql import functions as F
@@ -190,3 +192,39 @@ def test_guard_labels_are_real():
 def test_good_table_passes_all(spark):
     df = spark.createDataFrame([("a", 0, 20170210, 20170201)], "user_id string, is_churn int, cutoff int, last_tx int")
     assert G.check_cohort(df, SPEC, 20170331) is df
+
+
+def test_a_repeated_row_and_a_moved_value_change_the_fingerprint(spark):
+    rows = [(1, "a", None), (2, None, "b"), (2, None, "b")]
+    schema = "user_id int, x string, y string"
+    base = content_fingerprint(spark.createDataFrame(rows, schema)).first()
+    assert base == content_fingerprint(spark.createDataFrame(rows[::-1], schema).repartition(3)).first()
+    for other in (rows + [rows[0]], rows[:2], rows[:1] + [(2, "b", None)] * 2, rows + [rows[1]] * 2):
+        assert content_fingerprint(spark.createDataFrame(other, schema)).first() != base
+    half = lambda s: int(s, 16)
+    cells = [hashlib.md5(("".join(f"{len(str(v))}:{v}" if v is not None else "-" for v in r)).encode()).hexdigest() for r in rows]
+    assert base["sum_high"] == str(sum(half(c[:16]) for c in cells) % 2**64)
+
+
+def test_guards_ride_on_a_build(spark):
+    log = G.GuardLog()
+    df = spark.createDataFrame([("a", 5, 3), ("b", 2, 3), ("c", 9, 3)], "user_id string, last_tx int, cutoff int")
+    watched = log.watch(df, [G.asof_guard()], "t")
+    watched.write.format("noop").mode("overwrite").save()
+    (found,) = log.findings()
+    assert (found.rule, found.rows, found.worst) == ("asof", 2, 6.0)
+    with pytest.raises(G.GuardViolation, match="asof: 2 rows of t"):
+        log.verify()
+
+
+def test_cohort_and_features_are_watched_while_they_are_written(spark):
+    from renewlens.plans import compose
+    from renewlens.sources.demo import Q3
+
+    src, log = compose.Sources.demo(spark, "/root/testdata/sf0.001"), G.GuardLog()
+    table = compose.guarded_feature_table(src, Q3, log)
+    assert [(f.rule, f.rows) for f in log.findings()] == [
+        (r, 0) for r in ("asof", "cutoff_window", "data_end", "logs_within_cutoff", "logs_match_cohort")
+    ]
+    assert table.columns == compose.feature_table(src, Q3).columns
+    assert sorted(map(str, table.collect())) == sorted(map(str, compose.feature_table(src, Q3).collect()))

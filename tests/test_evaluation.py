@@ -273,6 +273,15 @@ def test_assumptions_chain_and_refusals(spark):
         D.resolve_assumptions(now, before.filter("is_churn = 0")).collect()
 
 
+def test_average_precision_by_hand(scores, spark):
+    y, p = pairs(scores)
+    levels = sorted(set(p), reverse=True)
+    want = sum((y[p == v].sum() / y.sum()) * (y[p >= v].sum() / (p >= v).sum()) for v in levels)
+    assert M.pr_auc(scores).first()["pr_auc"] == pytest.approx(want, abs=1e-12)
+    with pytest.raises(Exception, match="needs a positive"):
+        M.pr_auc(frame(spark, [0, 0], [0.1, 0.2])).collect()
+
+
 # --- drift ------------------------------------------------------------------
 
 

@@ -76,11 +76,35 @@ def test_logistic_model_explains_itself_exactly(rows):
         M.linear_scorer(M.Fitted("gbt", fitted.model, FEATURES, 1), rows)
 
 
-def test_shuffled_labels_keep_the_rate_and_lose_the_link(rows):
-    out = M.shuffle_labels(rows, 7)
-    assert out.count() == 240 and out.agg(F.sum("is_churn")).first()[0] == 120
-    same = out.join(rows.select("user_id", F.col("is_churn").alias("y")), "user_id").filter("is_churn = y").count()
-    assert 90 < same < 150
+def test_permuted_labels_keep_the_rate_and_lose_the_link(rows):
+    out = M.permuted_labels(rows, 3).collect()
+    assert len(out) == 240 and all(r["side0"] == r["is_churn"] for r in out)
+    for k in (1, 2, 3):
+        assert sum(r[f"side{k}"] for r in out) == 120
+        assert 90 < sum(r[f"side{k}"] == r["side0"] for r in out) < 150
+    again = M.permuted_labels(rows.repartition(7), 3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_steps_are_primes_that_do_not_divide_the_rows():
+    first = M.run_steps(10, 3)
+    assert first == [1000003, 1000033, 1000037] and M.run_steps(1000033 * 2, 2) == [1000003, 1000037]
+
+
+def test_histogram_gains_are_the_explained_variance(rows):
+    import numpy as np
+
+    got = {(r["feature"], r["run"]): r["gain"] for r in M.histogram_gains(rows, ["signal", "gappy"], 2).collect()}
+    out = M.permuted_labels(rows, 2).collect()
+    for f in ("signal", "gappy"):
+        x = np.array([np.nan if r[f] is None else r[f] for r in out])
+        edges = np.unique(np.quantile(x[~np.isnan(x)], np.arange(1, 10) / 10))
+        bins = np.where(np.isnan(x), -1, np.searchsorted(edges, x, side="right"))
+        for run in range(3):
+            y = np.array([r[f"side{run}"] for r in out], float)
+            want = sum((bins == b).mean() * (y[bins == b].mean() - y.mean()) ** 2 for b in set(bins))
+            assert got[f, run] == pytest.approx(want, abs=1e-10)
+    assert got["signal", 0] > 5 * max(got["signal", 1], got["signal", 2])
 
 
 def test_null_importance_keeps_only_signal(rows):
