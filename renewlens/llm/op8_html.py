@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,11 +49,13 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 _NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # Element and attribute names of HTML.
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "title", "object", "canvas"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "title", "object", "canvas"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var".split()
+    " span strike strong sub sup time tt u var"
+    " math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded"
+    " mspace semantics".split()
 )
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PAGE = {"", "html", "body"}
@@ -69,12 +72,14 @@ _WORDS = set(
     " gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar nav navbar"
     " navigation menu breadcrumb breadcrumbs masthead footer comment comments disqus reply replies share sharing"
     " social related recommended recommendations widget toolbar pagination pager login search skip copyright"
-    " disclaimer".split()
+    " disclaimer bio commentlist commentform adsbygoogle".split()
 )
 # Parts of a class or id that say where or how something is, not what.
 _PLACES = set(
     "area bar block box bottom container group home inner item items left link links list main outer page panel"
-    " primary right section secondary site slot text top unit wrap wrapper".split()
+    " primary right section secondary site slot text top unit wrap wrapper"
+    # and what it belongs to or is made of
+    " article articles author body button buttons entry form news post posts reader readers stories story trail user users".split()
 )
 # What a start tag closes when it is open.
 _CLOSES = {
@@ -171,6 +176,13 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
     elements, paths = [root], {(-1, ""): 0}
     stack, out, text, links, in_link = [root], [], [], 0, 0
     at, low, n = 0, None, len(page)
+    last_close = page.rfind(">")  # beyond it nothing can be a tag
+    opened: Counter[str] = Counter()  # open elements by tag, so that a stray end tag need not search
+
+    def close_from(depth: int) -> None:
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+        del stack[depth:]
 
     def flush():
         nonlocal links
@@ -182,6 +194,9 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         links = 0
 
     while at < n:
+        if at > last_close:
+            text.append(entities.unescape(page[at:].split("<!--", 1)[0]))
+            break
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m["tag"]
@@ -194,7 +209,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             continue
         tag, closing = tag.lower(), bool(m["close"])
         if tag in _RAW and not closing:
-            if not m["attrs"].endswith("/") or tag not in ("svg", "math"):
+            if not m["attrs"].endswith("/") or tag != "svg":
                 low = page.lower() if low is None else low
                 end = low.find(f"</{tag}", at)
                 at = n if end < 0 else (low.find(">", end) + 1 or n)
@@ -207,18 +222,17 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             continue
         flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+            if opened[tag] > 0:
+                close_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             in_link = 0
             continue
         if tag in _VOID:
             continue
         if stack[-1].tag == "p":
-            stack.pop()  # a block start ends an open paragraph
+            close_from(len(stack) - 1)  # a block start ends an open paragraph
         closes = _CLOSES.get(tag, ())
         while closes and stack[-1].tag in closes and len(stack) > 1:
-            stack.pop()
+            close_from(len(stack) - 1)
         up, attrs = stack[-1], m["attrs"]
         first = re.search(r"class\s*=\s*[\"']?([\w-]+)", attrs) if attrs else None
         name = tag + (f".{first[1]}" if first else "")
@@ -228,6 +242,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             e.top = e
         elements.append(e)
         stack.append(e)
+        opened[tag] += 1
     flush()
     _exclude(out, elements)
     return out, elements

@@ -589,3 +589,33 @@ def test_pii_of_a_megabyte_of_junk_takes_no_square_time(kind):
     base, added = spans(f"x@y.zz 1.2.3.4 {JUNK[kind]} (at) b@c.de one dot two 5.6.7.8")
     assert time.process_time() - start < 8
     assert {k for k, _, _ in base} == {"email", "ip"} and len([x for x in base if x[0] == "email"]) >= 2
+
+
+@pytest.mark.parametrize(
+    "junk", ["<a " * 350_000, "<!x " * 250_000, "<div>" * 8_000 + "</p>" * 8_000, "<" * 1_000_000, "<div " * 9_000 + ">", "<a x='" * 150_000]
+)
+def test_html_junk_takes_no_square_time(junk):
+    import time
+
+    from renewlens.llm.op8_html import extract
+
+    start = time.process_time()
+    assert extract(f"<article><p>A long sentence, that stays in the text.</p></article>{junk}").startswith("A long sentence")
+    assert time.process_time() - start < 8
+
+
+def test_html_formulas_stay_and_named_parts_go():
+    from renewlens.llm.op8_html import extract
+
+    text = "<p>A first long paragraph, with commas, and a full stop.</p><p>We get <math><mi>x</mi><mo>=</mo><mn>5</mn></math> as result, and so on.</p>"
+    want = "A first long paragraph, with commas, and a full stop.\nWe get x=5 as result, and so on."
+    assert extract(f"<div>{text}</div>") == want
+    names = (
+        "comment-body commentlist reader-comments post-comments user-comment newsletter-signup-form share-buttons"
+        " related-posts entry-footer breadcrumb-trail adsbygoogle author-bio"
+    )
+    for name in names.split():
+        part = f'<div class="{name}"><p>Something else, that is not the article.</p></div>'
+        assert extract(f"<article>{text}{part}</article>{part}") == want, name
+    for name in "social-science has-sidebar page-with-nav article-body post entry-content author".split():
+        assert extract(f'<div class="{name}">{text}</div>') == want, name
