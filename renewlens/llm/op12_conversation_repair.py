@@ -15,10 +15,10 @@ needs: its edits (one letter a row) are one string, and SHA-256 of its repaired
 one task reads a conversation's rows in order, as a stream and not as a group.
 
 Defined results: a null in any column counts as one space (a null text is blank, a null role has
-the initial of none); rows are taken by turn (null first), then role, text and rows alike in any
-order (the copy that the damage adds lies beside its row); a conversation with a null id is one
-conversation; no rows after damage give zeros, an empty audit and the hash of nothing; other
-columns have no effect.
+the initial of none); rows are taken by turn (null first), then role, the first 16 characters of the
+text and its hash, rows alike in any order (the copy that the damage adds lies beside its row); a
+conversation with a null id is one conversation; no rows after damage give zeros, an empty audit and
+the hash of nothing; other columns have no effect.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from renewlens.session import stage
 
 MIN_BLOCK = 64
 CELLS = 1 << 20  # rows of blocks worked on at once in a task
-PREFIX = 256  # code points of a text that order rows of one turn and role; then its hash
+PREFIX = 16  # code points of a text that order rows of one turn and role; then its hash
 SPACE = "\t\n\x0b\f\r "
 
 # States of the pattern are 0 nothing yet, 1 after s, 2 after u, 3 after a.
