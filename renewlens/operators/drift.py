@@ -97,13 +97,19 @@ def _edges_below(value: Column, edges: Column, most: int) -> Column:
     return reduce(lambda a, b: a + b, terms) if terms else F.lit(0)
 
 
+def _constant_map(values: dict[str, str], kind: str) -> Column:
+    """A literal map from feature to an array, given as SQL: unlike a joined table it cannot move rows."""
+    entries = ", ".join(f"'{f}', {v}" for f, v in values.items())
+    return F.expr(f"map({entries})") if entries else F.create_map().cast(f"map<string,{kind}>")
+
+
 def _with_edges(long: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """Rows of the features that have edges, with their bucket number (-1 for null)."""
-    spark = long.sparkSession
-    table = spark.createDataFrame([(f, [float(e) for e in es]) for f, es in edges.items()], "feature string, edges array<double>")
+    table = {f: f"array({', '.join(f'{float(e)!r}D' for e in es)})" if es else "cast(array() as array<double>)" for f, es in edges.items()}
     most = max((len(e) for e in edges.values()), default=0)
+    known = long.withColumn("edges", F.try_element_at(_constant_map(table, "array<double>"), F.col("feature")))
     bucket = F.when(F.col("value").isNull(), -1).otherwise(_edges_below(F.col("value"), F.col("edges"), most))
-    return long.join(table, "feature").withColumn("bucket", bucket).drop("edges")
+    return known.filter(F.col("edges").isNotNull()).withColumn("bucket", bucket).drop("edges")
 
 
 def _brackets(sketch: Sequence[float], bins: int, n: int, rounds: int) -> list[float]:
@@ -142,10 +148,9 @@ def _order_statistics(
     todo = {f: e for f, e in brackets.items()}
     inside = {f: set(range(1, len(e), 2)) for f, e in brackets.items()}
     while todo:
-        opened = long.sparkSession.createDataFrame(
-            [(f, sorted(inside[f])) for f in todo], "feature string, opened array<int>"
-        )
-        tagged = _with_edges(long, todo).filter("bucket >= 0").join(opened, "feature")
+        opened = {f: f"array({', '.join(map(str, sorted(inside[f])))})" for f in todo}
+        tagged = _with_edges(long, todo).filter("bucket >= 0")
+        tagged = tagged.withColumn("opened", F.try_element_at(_constant_map(opened, "array<int>"), F.col("feature")))
         value = F.when(F.array_contains("opened", F.col("bucket")), F.col("value"))
         counts = stage(tagged.groupBy("feature", "bucket", value.alias("value")).agg(*_counts(sides)), "brackets")
         per = {}
