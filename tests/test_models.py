@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from renewlens.operators import compiled as C
@@ -68,6 +69,16 @@ def test_ensemble_is_the_mean(rows):
     assert out["p_ensemble"] == pytest.approx((out["p_forest"] + out["p_logistic"]) / 2)
 
 
+@pytest.mark.parametrize("family,params", [("forest", {"numTrees": 3, "maxDepth": 2}), ("logistic", {"maxIter": 5})])
+def test_fitted_models_score_after_a_table_was_observed(rows, family, params):
+    seen = Observation("before the fit")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 240
+    fitted = M.fit_scorer(rows, FEATURES, family=family, params=params)
+    assert fitted.predict(rows).filter("p between 0 and 1").count() == 240
+    assert fitted.rounds > 0 and max(M.gains(fitted), key=M.gains(fitted).get) == "signal"
+
+
 def test_logistic_model_explains_itself_exactly(rows):
     fitted = M.fit_scorer(rows, FEATURES, family="logistic", params={"maxIter": 20})
     scorer = M.linear_scorer(fitted, rows.filter("segment = 'train'"))
