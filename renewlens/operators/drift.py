@@ -91,10 +91,17 @@ def _counts(sides: Sequence[str]) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *[F.sum(s).cast("bigint").alias(s) for s in sides]]
 
 
-def _edges_below(value: Column, edges: Column, most: int) -> Column:
-    """How many entries of an array of at most ``most`` edges are <= value; compiled, unlike a lambda."""
-    terms = [F.coalesce((F.get(edges, F.lit(i)) <= value).cast("int"), F.lit(0)) for i in range(most)]
-    return reduce(lambda a, b: a + b, terms) if terms else F.lit(0)
+def _edges_below(df: DataFrame, value: str, edges: str, most: int, out: str) -> DataFrame:
+    """Adds how many entries of a sorted array of at most ``most`` edges are <= value, by halving.
+
+    A step per halving keeps the generated code short: one term per edge made a method that the JVM
+    refuses to compile from some twenty edges on.
+    """
+    df = df.withColumn(out, F.lit(0))
+    for step in reversed([1 << i for i in range(most.bit_length())]):
+        low = F.get(F.col(edges), F.col(out) + (step - 1))
+        df = df.withColumn(out, F.col(out) + F.when(low <= F.col(value), step).otherwise(0))
+    return df
 
 
 def _constant_map(values: dict[str, str], kind: str) -> Column:
@@ -108,8 +115,8 @@ def _with_edges(long: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     table = {f: f"array({', '.join(f'{float(e)!r}D' for e in es)})" if es else "cast(array() as array<double>)" for f, es in edges.items()}
     most = max((len(e) for e in edges.values()), default=0)
     known = long.withColumn("edges", F.try_element_at(_constant_map(table, "array<double>"), F.col("feature")))
-    bucket = F.when(F.col("value").isNull(), -1).otherwise(_edges_below(F.col("value"), F.col("edges"), most))
-    return known.filter(F.col("edges").isNotNull()).withColumn("bucket", bucket).drop("edges")
+    below = _edges_below(known.filter(F.col("edges").isNotNull()), "value", "edges", most, "bucket")
+    return below.withColumn("bucket", F.when(F.col("value").isNull(), -1).otherwise(F.col("bucket"))).drop("edges")
 
 
 def _brackets(sketch: Sequence[float], bins: int, n: int, rounds: int) -> list[float]:
@@ -147,11 +154,17 @@ def _order_statistics(
     found: dict[tuple[str, str], dict[int, float]] = {k: {} for k in totals}
     todo = {f: e for f, e in brackets.items()}
     inside = {f: set(range(1, len(e), 2)) for f, e in brackets.items()}
+    first = True
     while todo:
-        opened = {f: f"array({', '.join(map(str, sorted(inside[f])))})" for f in todo}
-        tagged = _with_edges(long, todo).filter("bucket >= 0")
-        tagged = tagged.withColumn("opened", F.try_element_at(_constant_map(opened, "array<int>"), F.col("feature")))
-        value = F.when(F.array_contains("opened", F.col("bucket")), F.col("value"))
+        # Nulls leave before the edges come: a filter on the bucket would be pushed below and repeat
+        # the search for the feature's edges once per edge.
+        tagged = _with_edges(long.filter("value is not null"), todo)
+        if first:
+            opened = F.col("bucket") % 2 == 1
+        else:
+            table = {f: f"array({', '.join(map(str, sorted(inside[f])))})" for f in todo}
+            opened = F.array_contains(F.try_element_at(_constant_map(table, "array<int>"), F.col("feature")), F.col("bucket"))
+        value = F.when(opened, F.col("value"))
         counts = stage(tagged.groupBy("feature", "bucket", value.alias("value")).agg(*_counts(sides)), "brackets")
         per = {}
         for r in counts.groupBy("feature", "bucket").agg(*[F.sum(s).alias(s) for s in sides]).collect():
@@ -180,7 +193,7 @@ def _order_statistics(
             ).filter("lo <= rank and rank < hi")
             for r in hit.collect():  # two values per inner edge, side and feature at most
                 found[r.feature, sides[r.side]][r["rank"] + r.before] = r.value
-        todo, inside = {f: todo[f] for f in again}, again
+        todo, inside, first = {f: todo[f] for f in again}, again, False
     return found
 
 

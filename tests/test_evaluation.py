@@ -11,6 +11,7 @@ from renewlens.operators import drift as DR
 from renewlens.operators import metrics as M
 from renewlens.operators import ranking as R
 from renewlens.operators.quantiles import exact_quantiles, value_counts
+from renewlens.session import stage
 
 
 def pairs(df):
@@ -400,3 +401,19 @@ def test_empty_curve_has_no_optimum(spark):
     empty = spark.createDataFrame([], "k double, expected_net double")
     with pytest.raises(ValueError, match="empty curve"):
         optimal_point(empty)
+
+
+def test_edges_are_looked_up_once_per_value(spark, monkeypatch):
+    """A filter on the bucket, pushed below, repeated the search for a feature's edges per edge."""
+    plans = []
+
+    def seen(df, name="stage"):
+        if name == "brackets":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(DR, "stage", seen)
+    df = spark.range(2000).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") % 9 > 0, -F.col("id")).alias("y"))
+    (x, y) = DR.fit_bins(DR.paired(df, df, ["x", "y"]), ["x", "y"])
+    assert list(x.edges) == pytest.approx([199.9 * i for i in range(1, 10)]) and len(y.edges) == 9
+    assert plans and all(p.count("element_at(") <= 3 for p in plans)
