@@ -11,6 +11,7 @@ from renewlens.operators import drift as DR
 from renewlens.operators import metrics as M
 from renewlens.operators import ranking as R
 from renewlens.operators.quantiles import exact_quantiles, value_counts
+from renewlens.plans.compose import compared
 from renewlens.session import stage
 
 
@@ -417,3 +418,13 @@ def test_edges_are_looked_up_once_per_value(spark, monkeypatch):
     (x, y) = DR.fit_bins(DR.paired(df, df, ["x", "y"]), ["x", "y"])
     assert list(x.edges) == pytest.approx([199.9 * i for i in range(1, 10)]) and len(y.edges) == 9
     assert plans and all(p.count("element_at(") <= 3 for p in plans)
+
+
+def test_compared_scores_are_rounded_as_in_sql(spark):
+    """Near halves, rounding in decimals and in doubles differ; ranks of tied scores then differ too."""
+    duckdb = pytest.importorskip("duckdb")
+    values = [*[0.5381744812295, 0.8516145682064999, 0.8960357334994999], 0.5, 0.0, 1.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "p double").select(compared(F.col("p"))).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 12)", [v]).fetchone()[0] for v in values]
+    plain = [r[0] for r in spark.createDataFrame([(v,) for v in values], "p double").select(F.round("p", 12)).collect()]
+    assert plain != got  # what was done before
