@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from renewlens.functions.scalars import platform_exp, sigmoid
 from renewlens.operators import calibration as C
 from renewlens.operators import decision as D
 from renewlens.operators import drift as DR
@@ -12,6 +13,7 @@ from renewlens.operators import metrics as M
 from renewlens.operators import ranking as R
 from renewlens.operators.quantiles import exact_quantiles, value_counts
 from renewlens.plans.compose import compared
+from renewlens.plans.oracle_tables import SIGMOID
 from renewlens.session import stage
 
 
@@ -428,3 +430,15 @@ def test_compared_scores_are_rounded_as_in_sql(spark):
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 12)", [v]).fetchone()[0] for v in values]
     plain = [r[0] for r in spark.createDataFrame([(v,) for v in values], "p double").select(F.round("p", 12)).collect()]
     assert plain != got  # what was done before
+
+
+def test_compared_scores_have_the_last_bit_of_exp_that_sql_has(spark):
+    """Log-odds whose score lies next to a half of the 12th decimal: the portable ``exp`` misses it."""
+    duckdb = pytest.importorskip("duckdb")
+    values = [-2.3479826333333333, -1.5379079666666666, -0.2823159666666667, 0.3933200333333333, 1.0682387, 3.7465613666666666]
+    df = spark.createDataFrame([(v,) for v in values], "z double")
+    got = df.select(compared(sigmoid(F.col("z"), platform_exp)), compared(sigmoid(F.col("z")))).collect()
+    want = [duckdb.execute(f"SELECT round({SIGMOID}, 12) FROM (SELECT CAST(? AS DOUBLE) AS z)", [v]).fetchone()[0] for v in values]
+    assert [r[0] for r in got] == want
+    assert all(r[1] != w for r, w in zip(got, want, strict=True))  # what was done before
+    assert spark.range(1).select(platform_exp(F.lit(None).cast("double"))).first()[0] is None
