@@ -329,3 +329,15 @@ def test_tree_contributions_are_shapley_values_by_definition(spark):
                 for k in itertools.combinations([other], n)
             )
             assert g[f"shap__{f}"] == pytest.approx(want)
+
+
+def test_indicators_compare_one_code_each(spark):
+    """The text of all indicators grew with the square of the levels; beyond some thirty the plan was not compiled."""
+    codes = list(range(-3, 400, 7))
+    levels = tuple(c for c in codes if c != M.MISSING_CATEGORY)
+    inputs = M.model_inputs("logistic", ["code"], {"code": levels})
+    assert len(inputs) == len(levels) + 1 and all(len(x.sql) < 100 for x in inputs)
+    df = spark.createDataFrame([(c,) for c in [*codes, None, M.MISSING_CATEGORY, 10_000]], "code int")
+    at = F.expr(M.level_number("code", levels))
+    wrong = [F.sum((F.expr(x.sql) != (at == float(i)).cast("double")).cast("int")) for i, x in enumerate(inputs)]
+    assert set(df.agg(*wrong).first()) == {0}
