@@ -124,6 +124,22 @@ def test_null_importance_keeps_only_signal(rows):
     assert "signal" in kept and null.count() == 9
 
 
+def counted_assemblies(monkeypatch):
+    seen, plain = [], M.prepare_matrix
+    monkeypatch.setattr(M, "prepare_matrix", lambda df, inputs: seen.append(1) or plain(df, inputs))
+    return seen
+
+
+def test_label_permutations_share_one_assembled_table(rows, monkeypatch):
+    seen = counted_assemblies(monkeypatch)
+    _, null = M.null_importance(rows, FEATURES, rounds=2, n_runs=3)
+    assert len(seen) == 2  # the labels' own fit and all permutations
+    label = M.permuted_labels(rows, 3).select("user_id", *FEATURES, F.col("side2").alias("is_churn"))
+    alone = M.gains(M.fit_scorer(label, FEATURES, params={"maxIter": 2}, fixed_rounds=True))
+    got = {r["feature"]: r["gain"] for r in null.filter("run = 2").collect()}
+    assert got == pytest.approx(alone)
+
+
 def test_bundle_round_trip_and_refusals(spark, rows, boosted, tmp_path):
     meta = jobs.bundle_metadata(
         COHORTS["feb_t7"],
