@@ -140,6 +140,22 @@ def test_label_permutations_share_one_assembled_table(rows, monkeypatch):
     assert got == pytest.approx(alone)
 
 
+def test_folds_share_one_assembled_table_while_their_levels_agree(rows, monkeypatch):
+    name = "last_payment_method_id"
+    # fold 2 alone holds code 9: without it the training rows have other levels
+    folds = rows.select(
+        "*", F.expr("cast(substr(user_id, 2) as int) % 3 as fold"), F.expr("cast(substr(user_id, 2) as int) % 2 as code")
+    ).withColumn(name, F.expr("case when fold = 2 then 9 else code end")).drop("code")
+    features = [*FEATURES, name]
+    want = {}
+    for k in range(3):
+        fitted = M.fit_scorer(folds.filter(f"fold <> {k}"), features, params=FAST, fixed_rounds=True)
+        want[k] = M.evaluate(fitted, folds.filter(f"fold = {k}"))
+    seen = counted_assemblies(monkeypatch)
+    got = {r["fold"]: r["log_loss"] for r in M.cv_variance(folds, features, params=FAST).collect()}
+    assert got == pytest.approx(want) and len(seen) == 2
+
+
 def test_bundle_round_trip_and_refusals(spark, rows, boosted, tmp_path):
     meta = jobs.bundle_metadata(
         COHORTS["feb_t7"],
