@@ -5,6 +5,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from renewlens.operators import compiled as C
+from renewlens.operators import encode
 from renewlens.operators import experiments as X
 from renewlens.operators import models as M
 from renewlens.operators.attribution import assert_local_accuracy
@@ -156,6 +157,36 @@ def test_folds_share_one_assembled_table_while_their_levels_agree(rows, monkeypa
     assert got == pytest.approx(want) and len(seen) == 2
 
 
+def test_encodings_stand_in_one_table_and_lose_what_single_fits_lose(rows, monkeypatch):
+    name = jobs.ENCODED_COLUMN
+    coded = rows.withColumn(name, F.expr("case when noise < -1 then null else cast(noise * 2 as int) end"))
+    features = [*FEATURES, name]
+    late = coded.drop("segment").withColumn("signal", F.col("signal") + 0.1)
+    train, others = coded.filter("segment = 'train'"), coded.filter("segment <> 'train'")
+    want = {}
+    for label, source, column in (
+        ("native", None, None), ("oof", train, name), ("naive", train, name),
+        ("naive_user", train, "user_id"), ("naive_user_presplit", coded, "user_id"),
+    ):
+        data, last, cols = coded, late, features
+        if column:
+            table = encode.target_encode_fit(source, column)
+            first = encode.target_encode_oof(train, column).drop("fold") if label == "oof" else encode.target_encode_apply(train, table, column)
+            data = first.unionByName(encode.target_encode_apply(others, table, column))
+            last, cols = encode.target_encode_apply(late, table, column), [c for c in features if c != column] + [f"{column}_te"]
+        fitted = M.fit_scorer(data, cols, params=FAST)
+        want[label] = (fitted.rounds, M.evaluate(fitted, data.filter("segment = 'sel'")), M.evaluate(fitted, last))
+    assemblies, levels, stored = counted_assemblies(monkeypatch), [], []
+    plain, store = M.training_levels, jobs.stage
+    monkeypatch.setattr(M, "training_levels", lambda df, names: levels.append(1) or plain(df, names))
+    monkeypatch.setattr(jobs, "stage", lambda df, what: stored.append(what) or store(df, what))
+    out = jobs.target_encoding_experiment(coded.select("user_id", "is_churn", *features, "segment"), late.select("user_id", "is_churn", *features), params=FAST)
+    got = {r["label"]: (r["rounds"], r["sel_log_loss"], r["valid_log_loss"]) for r in out.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    # per fit one table for training and selection rows and one for the later cohort
+    assert len(levels) == 1 and len(assemblies) == 10 and stored.count("encoded") == stored.count("late") == 1
+
+
 def test_bundle_round_trip_and_refusals(spark, rows, boosted, tmp_path):
     meta = jobs.bundle_metadata(
         COHORTS["feb_t7"],
